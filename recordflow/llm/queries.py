@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .bpe import encode_documents
 from .jaccard import jaccard_components
+from .ogg import media_features
 
 
 #: Vocabulary file of the queries that need token ids; the operators take its path as a parameter.
@@ -33,6 +34,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_documents(spark, sf_dir), vocabulary())
 
 
+def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
