@@ -10,6 +10,7 @@ from . import oracles
 from .bpe import encode_documents
 from .jaccard import jaccard_components
 from .ogg import media_features
+from .packing import pack_documents
 
 
 #: Vocabulary file of the queries that need token ids; the operators take its path as a parameter.
@@ -38,6 +39,10 @@ def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(_documents(spark, sf_dir))
 
 
+def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), vocabulary(), capacity=2048, separator=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
