@@ -11,6 +11,7 @@ from .bpe import encode_documents
 from .jaccard import jaccard_components
 from .ogg import media_features
 from .packing import pack_documents
+from .secretscan import secret_spans
 
 
 #: Vocabulary file of the queries that need token ids; the operators take its path as a parameter.
@@ -43,6 +44,10 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), vocabulary(), capacity=2048, separator=0)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
