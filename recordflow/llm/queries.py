@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracles, toxicity
 from .bpe import encode_documents
 from .jaccard import jaccard_components
 from .ogg import media_features
@@ -48,6 +49,19 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(_documents(spark, sf_dir))
 
 
+def crc(column: str) -> Column:
+    """crc32 of an id as text."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc("doc_id") % 5 != 0)
+    index = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs, index)
+    return scored.select("doc_id", (crc("doc_id") % 5 == 0).alias("held_out"), "score", "predicted", "evidence", "cosines")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
