@@ -22,4 +22,20 @@ select s.doc_id, cast(len(s.sh) as bigint) as n_shingles, m.root as component_id
 from s join (select doc_id, min(root) as root from r group by doc_id) m on m.doc_id = s.doc_id
 """
 
-SQL = {"op5_jaccard_components": OP5}
+#: Windows with the first place of each word sequence; a word goes if a window over it is not a first one.
+OP4 = r"""
+with w as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents
+), win as (
+  select doc_id, unnest(range(0, len(ws) - 19)) as s, unnest(list_transform(range(1, len(ws) - 18), lambda i: md5(array_to_string(ws[i:i + 19], ' ')))) as h from w where len(ws) >= 20
+), later as (
+  select doc_id, s from (select doc_id, s, row_number() over (partition by h order by doc_id, s) as k from win) where k > 1
+), gone as (
+  select doc_id, list(distinct p) as ps from (select doc_id, s + unnest(range(1, 21)) as p from later) group by doc_id
+)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(len(ps), 0) as bigint) as n_removed,
+  sha256(array_to_string(case when ps is null then ws else list_transform(list_filter(range(1, len(ws) + 1), lambda i: not list_contains(ps, i)), lambda i: ws[i]) end, ' ')) as kept_sha256
+from w left join gone on gone.doc_id = w.doc_id
+"""
+
+SQL = {"op4_substring_dedup": OP4, "op5_jaccard_components": OP5}

@@ -13,6 +13,7 @@ from .jaccard import jaccard_components
 from .ogg import media_features
 from .packing import pack_documents
 from .secretscan import secret_spans
+from .substring import dedup_substrings
 
 
 #: Vocabulary file of the queries that need token ids; the operators take its path as a parameter.
@@ -29,6 +30,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_documents(spark, sf_dir), size=20)
+
+
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), k=5, percent=80)
 
