@@ -14,6 +14,7 @@ from .ogg import media_features
 from .packing import pack_documents
 from .secretscan import secret_spans
 from .substring import dedup_substrings
+from .winnow import compare_fingerprints
 
 
 #: Vocabulary file of the queries that need token ids; the operators take its path as a parameter.
@@ -67,6 +68,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc("doc_id") % 5 == 0).alias("held_out"), "score", "predicted", "evidence", "cosines")
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_fingerprints(_documents(spark, sf_dir), k=5, w=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
