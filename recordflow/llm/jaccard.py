@@ -12,8 +12,8 @@ XOR of the mixed positions of its odd bits.
 * d bounds the symmetric difference of a set and any partner.  At most d chunks
   differ, so K - d are equal and, by any order of chunks that their content
   decides, the first d + 1 of one set hit a chunk that both have (pigeonhole).
-  The order takes chunks with rare shingles first; how rare comes from a counter
-  array of fixed size that is summed over all documents.
+  The order takes chunks with many uncommon shingles first; which are common
+  comes from a counter array of fixed size that is summed over all documents.
 * Equal sets are collapsed first: a class is one row with its smallest id.
 * Classes that share a chunk are tied to the smallest id with that chunk; the
   components of these ties (families) hold every linked pair.  A family is
@@ -39,15 +39,17 @@ from .store import cut, drop
 #: Bits of a dense sketch; a multiple of 64.
 DENSE = 2048
 #: Members of a block; a family of m members is compared in (m / BLOCK)^2 / 2 tasks' worth of blocks.
-BLOCK = 512
+BLOCK = 2048
 #: log2 of the number of shared counters for shingle frequency.
 COUNTER_BITS = 18
+#: A class of shingles is common from so many times the mean on.
+COMMON = 3.0
 #: Sizes of a band differ by this factor at most.
 BAND = 3.0
 
 
-def counter_array(docs: DataFrame, k: int) -> np.ndarray:
-    """How common the shingles of each of 2^COUNTER_BITS hash classes are, in half powers of two over the mean.
+def common_classes(docs: DataFrame, k: int) -> np.ndarray:
+    """Which of 2^COUNTER_BITS classes of shingle hashes hold far more shingles than the mean class.
 
     Its size does not depend on the corpus, and each partial sum is as large.
     """
@@ -82,7 +84,7 @@ def counter_array(docs: DataFrame, k: int) -> np.ndarray:
     for chunk, counts in summed:
         total[chunk * per_row : (chunk + 1) * per_row] += counts
     mean = max(1.0, total.mean())
-    return np.clip(np.floor(2 * np.log2((total + 1) / mean)) + 32, 0, 255).astype(np.uint8)
+    return total > COMMON * mean
 
 
 def _bands(n: int, percent: int) -> list[tuple[int, int]]:
@@ -90,7 +92,7 @@ def _bands(n: int, percent: int) -> list[tuple[int, int]]:
     out = []
     for size in {_band(n), _band(n * 100 // percent)}:
         upper = int(BAND ** (size + 1))
-        out.append((size, _allowed(upper, upper, percent) + 1 + max(4, upper // 3)))
+        out.append((size, _allowed(upper, upper, percent) + 1 + max(1, upper // 11)))
     return sorted(out)
 
 
@@ -109,7 +111,7 @@ def _allowed(a, b, percent: int):
 def _keys(s: np.ndarray, n: int, percent: int, common: np.ndarray) -> np.ndarray:
     """The chunks by which a set is found: in each band the first d + 1 in the order that content decides."""
     out = []
-    rank = common[(s & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64)]
+    uncommon = ~common[(s & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64)]
     high = s >> np.uint64(32)
     for band, chunks in _bands(n, percent):
         upper = int(BAND ** (band + 1))
@@ -119,10 +121,9 @@ def _keys(s: np.ndarray, n: int, percent: int, common: np.ndarray) -> np.ndarray
         order = np.argsort(chunk, kind="stable")
         filled, start = np.unique(chunk[order], return_index=True)
         parity = np.bitwise_xor.reduceat(W.mix(s[order], 7), start)
-        rarest = np.minimum.reduceat(rank[order], start)
-        many = np.minimum(np.diff(np.append(start, n)), 255).astype(np.uint64)
+        rare = np.minimum(np.add.reduceat(uncommon[order].astype(np.int64), start), 255).astype(np.uint64)
         key = W.mix(parity ^ W.mix(filled.astype(np.uint64), 1000 + band))
-        first = (rarest.astype(np.uint64) << np.uint64(56)) | ((np.uint64(255) - many) << np.uint64(48)) | (key >> np.uint64(16))
+        first = ((np.uint64(255) - rare) << np.uint64(48)) | (key >> np.uint64(16))
         out.append(key[np.argsort(first, kind="stable")[:take]])
         if len(filled) < take:  # empty chunks come last in the order
             empty = np.setdiff1d(np.arange(chunks), filled)[: take - len(filled)]
@@ -275,7 +276,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    common = spark.sparkContext.broadcast(counter_array(docs, k))
+    common = spark.sparkContext.broadcast(common_classes(docs, k))
     table = cut(class_table(docs, k, percent, common), "classes")
     held = table.where("sig is not null and doc_id is not null")
     heads = held.groupBy("sig").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("head"))
@@ -304,5 +305,6 @@ def _repeats(held: DataFrame) -> bool:
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, once each; a row without a doc_id stays."""
     own = jaccard_components(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(own, "doc_id", "left_semi")
-    return named.union(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    kept = named.join(own, named.doc_id.cast("long") == own.doc_id, "left_semi")
+    return (kept.dropDuplicates(["doc_id"]) if _repeats(named) else kept).union(docs.where("doc_id is null"))
