@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,11 +61,14 @@ def crc(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def learned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled rows that may be learned from; the rest measure accuracy."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc("doc_id") % 5 != 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc("doc_id") % 5 != 0)
-    index = toxicity.fit(docs, labels)
-    scored = toxicity.score(docs, index)
+    scored = toxicity.score(docs, toxicity.fit(docs, learned_labels(spark, sf_dir)))
     return scored.select("doc_id", (crc("doc_id") % 5 == 0).alias("held_out"), "score", "predicted", "evidence", "cosines")
 
 
@@ -72,8 +76,14 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_fingerprints(_documents(spark, sf_dir), k=5, w=16)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if re.match(r"op\d", name)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
