@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles, toxicity
+from . import langid, oracles, toxicity
 from .bpe import encode_documents
 from .jaccard import jaccard_components
+from .materialize import materialize
 from .ogg import media_features
 from .packing import pack_documents
 from .secretscan import secret_spans
@@ -72,6 +73,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc("doc_id") % 5 == 0).alias("held_out"), "score", "predicted", "evidence", "cosines")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = langid.label(docs, langid.learn(docs.where(crc("doc_id") % 4 != 2)))
+    return found.select("doc_id", (crc("doc_id") % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(_documents(spark, sf_dir), vocabulary(), length=512, shard_rows=8192, key=1)
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_fingerprints(_documents(spark, sf_dir), k=5, w=16)
 

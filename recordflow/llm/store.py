@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 _OWN: dict[str, str] = {}
 
@@ -44,3 +45,12 @@ def drop(df: DataFrame) -> None:
         if "/recordflow-" in p:
             path = spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of two or three numbers that may be broadcast.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df marked for a broadcast if it has at most SMALL_ROWS rows, which is counted; else as it is, for a shuffle join."""
+    return broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
