@@ -20,6 +20,7 @@ from ..functions import FUNCTIONS, GENERATORS, STRINGS
 from ..functions.registry import is_array, is_bool, is_number, is_object, is_string, is_whole, kind
 
 #: Dates and times are ISO text in the language.
+_COMPARISONS = ("==", "!=", "<", "<=", ">", ">=")
 _TEXT = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
@@ -149,29 +150,41 @@ class Compiler:
         op = node.op
         if op in ("and", "or"):
             return Val(self.truth(node, cur), T.BooleanType())
+        if op in _COMPARISONS:
+            return Val(F.coalesce(self._compare(node, cur), F.lit(False)), T.BooleanType())
         a, b = self.compile(node.left, cur), self.compile(node.right, cur)
         if op == "//":
             a, b = self._alike(a, b)
             if isinstance(a.type, T.NullType):
                 return b
             return Val(F.coalesce(F.when(a.col, a.col) if is_bool(a.type) else a.col, b.col), a.type)
-        if op in ("==", "!=", "<", "<=", ">", ">="):
-            return Val(self._compare(op, a, b), T.BooleanType())
         return self._arithmetic(op, a, b)
 
-    def _compare(self, op: str, a: Val, b: Val) -> Column:
-        """Nothing found compares false; so do different types, except that they are unequal."""
-        if isinstance(b.type, T.NullType) or isinstance(a.type, T.NullType):
-            other = a if isinstance(b.type, T.NullType) else b
-            both = isinstance(a.type, T.NullType) and isinstance(b.type, T.NullType)
-            return F.lit(both) if op == "==" and both else other.col.isNull() if op == "==" else other.col.isNotNull() if op == "!=" and not both else F.lit(False)
-        same = kind(a.type) == kind(b.type)
-        if not same:
-            return F.coalesce(a.col.isNotNull() & b.col.isNotNull(), F.lit(False)) if op == "!=" else F.lit(False)
-        if is_object(a.type) and isinstance(a.type, T.MapType):
+    def _compare(self, node: N.Binary, cur: Val | None) -> Column:
+        """SQL's comparison, null where a side is not found; different types are unequal and not ordered."""
+        op, a, b = node.op, self.compile(node.left, cur), self.compile(node.right, cur)
+        null = [isinstance(x, N.Literal) and x.value is None for x in (node.left, node.right)]
+        if any(null):
+            other = b if null[0] else a
+            there = F.lit(False) if all(null) or isinstance(other.type, T.NullType) else other.col.isNotNull()
+            return ~there if op == "==" else there if op == "!=" else F.lit(False)
+        if isinstance(a.type, T.NullType) or isinstance(b.type, T.NullType):
+            return F.lit(False)
+        if kind(a.type) != kind(b.type):
+            return a.col.isNotNull() & b.col.isNotNull() if op == "!=" else F.lit(False)
+        if isinstance(a.type, T.MapType):
             return F.lit(op == "!=")
         made = {"==": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
-        return F.coalesce(made[op](a.col, b.col), F.lit(False))
+        return made[op](a.col, b.col)
+
+    def condition(self, node: N.Node, cur: Val | None) -> Column:
+        """A condition for a filter: null drops the record like false, so comparisons stay plain and reach the scan."""
+        if isinstance(node, N.Binary) and node.op in ("and", "or"):
+            a, b = self.condition(node.left, cur), self.condition(node.right, cur)
+            return (a & b) if node.op == "and" else (a | b)
+        if isinstance(node, N.Binary) and node.op in _COMPARISONS:
+            return self._compare(node, cur)
+        return self.truth(node, cur)
 
     def _arithmetic(self, op: str, a: Val, b: Val) -> Val:
         if is_number(a.type) and is_number(b.type):
@@ -313,7 +326,7 @@ def _stage(df: DataFrame, node: N.Node, scalar: bool) -> tuple[DataFrame, bool]:
     if isinstance(node, N.Identity):
         return df, scalar
     if isinstance(node, N.Call) and node.name == "select":
-        return df.where(c.truth(node.args[0], cur)), scalar
+        return df.where(c.condition(node.args[0], cur)), scalar
     if isinstance(node, N.Call) and node.name == "del" and not scalar and (path := N.path_of(node.args[0])) and len(path) == 1:
         return df.drop(*[x for x in df.columns if x == path[0]]), False
     if isinstance(node, N.Iterate):
