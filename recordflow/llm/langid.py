@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .store import first_by_hash
 
 #: Labelled rows of each language that are learned from at most.
 PER_LANGUAGE = 1500
@@ -113,11 +114,12 @@ class Model:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """The model of rows (doc_id, text, lang) with a language and a text; at most per_language of each, the first by hash."""
     known = docs.where("lang is not null and text is not null and text <> ''").select("doc_id", "text", "lang")
-    languages = sorted(r.lang for r in known.groupBy("lang").count().collect())
+    total = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    languages = sorted(total)
     empty = Model(languages, np.zeros((CLASSES, len(languages)), np.float32), np.ones((len(NAMES), len(languages)), bool))
     if not languages:
         return empty
-    parts = [known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language).select("text", F.lit(k).alias("k")) for k, lang in enumerate(languages)]
+    parts = [first_by_hash(known.where(F.col("lang") == lang), ["doc_id"], per_language, total[lang]).select("text", F.lit(k).alias("k")) for k, lang in enumerate(languages)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = np.zeros((CLASSES, len(languages)))

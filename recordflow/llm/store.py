@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
+from pyspark.sql.functions import broadcast, lit, pmod, xxhash64
 
 _OWN: dict[str, str] = {}
 
@@ -54,3 +54,15 @@ SMALL_ROWS = 1_000_000
 def small(df: DataFrame) -> DataFrame:
     """df marked for a broadcast if it has at most SMALL_ROWS rows, which is counted; else as it is, for a shuffle join."""
     return broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+def first_by_hash(df: DataFrame, keys: list[str], n: int, total: int) -> DataFrame:
+    """n of df's total rows, those with the smallest hashes of keys.
+
+    Rows whose hash is far beyond the n-th smallest are dropped before the sort, so
+    what the tasks send does not grow with their number.
+    """
+    span = 1 << 40
+    h = pmod(xxhash64(*keys), lit(span))
+    bound = span if total <= 2 * n else int(span * (n + 6 * n**0.5 + 50) / total)
+    return df.where(h < bound).orderBy(h, *keys).limit(n)

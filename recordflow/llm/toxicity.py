@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .store import first_by_hash
 
 #: Labelled rows of each label that are used at most.
 PER_LABEL = 2000
@@ -142,10 +143,10 @@ class Index:
         return float(1 / (1 + np.exp(-np.clip(a * np.log(max(vote, 1e-6) / max(1 - vote, 1e-6)) + b * top + c, -30, 30))))
 
 
-def sampled(labels: DataFrame, per_label: int) -> DataFrame:
+def sampled(labels: DataFrame, per_label: int, counted: dict[int, int]) -> DataFrame:
     """One row per doc_id with its label (toxic if any row says so), per_label of each, the first by hash."""
     each = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    parts = [each.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
+    parts = [first_by_hash(each.where(F.col("toxic") == y), ["doc_id"], per_label, counted[y]) for y in (0, 1)]
     return parts[0].union(parts[1])
 
 
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Index
     counted = {r[0]: r[1] for r in labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).groupBy("toxic").count().collect()}
     if len(counted) < 2:
         return None
-    rows = _example_terms(docs, sampled(labels, per_label))
+    rows = _example_terms(docs, sampled(labels, per_label, counted))
     seen: dict[tuple, list] = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.terms)):  # equal bags of words are one example with the mean label
         seen.setdefault((bytes(r.terms), bytes(r.counts)), []).append(r)
