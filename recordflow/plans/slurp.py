@@ -43,16 +43,9 @@ class _Aggregates:
         if _call(head, "unique_by") and len(rest) == 1 and _call(rest[0], "length"):
             return F.count_distinct(self.c.compile(head.args[0], None).col)
         if _call(head, "map"):
-            body, value = self.split(head.args[0])
-            if isinstance(body, N.Node) and value is None:
-                value = self.c.compile(body, None)
-            return self.fold(value, rest)
+            return self.fold(self.c.compile(head.args[0], None), rest)
         raise ExpressionError("this form over a slurped stream is not supported")
 
-    def split(self, body: N.Node) -> tuple[N.Node, Val | None]:
-        """map(select(c) | e): the value of e where c holds."""
-        return body, None
-
     def join(self, parts: list[N.Node]) -> N.Node:
         out = parts[0]
         for p in parts[1:]:
@@ -66,8 +59,7 @@ class _Aggregates:
         if name == "unique" and len(rest) == 2 and _call(rest[1], "length"):
             return F.count_distinct(v.col)
         if len(rest) > 1:
-            inner = self.fold(v, rest[:1])
-            raise ExpressionError(f"nothing may follow {name!r} here") if inner is None else ExpressionError("put what follows an aggregate outside the group")
+            raise ExpressionError(f"nothing may follow {name!r} here; put it after the group")
         if name == "add":
             if is_number(v.type):
                 return F.sum(v.col.cast("bigint" if is_whole(v.type) else "double"))
