@@ -105,7 +105,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
         return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     row = lambda r, to: F.struct(F.lit(r.f.i).cast("long").alias("_i"), F.lit(r.f._h).cast("long").alias("_fh"), F.lit(to).alias("_to"))
     firsts = spark.range(1).select(F.explode(F.array(*(row(r, least[k - 1]._range) for k, r in enumerate(least)))).alias("r")).select("r.*")
-    after = keyed.join(F.broadcast(firsts), (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_i")) & (F.col("_h") == F.col("_fh"))).dropDuplicates(["_i", "_fh", "_to"])
+    ids = sorted({r.f.i for r in least})
+    first = F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if ids[0] == -(2**63) else F.lit(False))  # goes down to the scan, before any fingerprint
+    after = keyed.where(first).join(F.broadcast(firsts), (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_i")) & (F.col("_h") == F.col("_fh"))).dropDuplicates(["_i", "_fh", "_to"])
     both = keyed.withColumn("_last", F.lit(0)).unionByName(after.withColumn("_range", F.col("_to")).withColumn("_last", F.lit(1)).drop("_i", "_fh", "_to"))
     order = Window.partitionBy("_range").orderBy("_last", F.col("doc_id").asc_nulls_first(), "_h")
     return both.select(*docs.columns, "_last", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("_last = 0").drop("_last")
