@@ -36,8 +36,13 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
-    """The text column as large strings, nulls as empty strings."""
-    return pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    """The text column as large strings in buffers of their own, nulls as empty strings.
+
+    Slices are copied: ascii_lower of this Arrow version returns zero bytes for a
+    large string array whose data does not begin its buffer.
+    """
+    own = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
+    return own.take(pa.array(np.arange(len(own))))
 
 
 def split(text: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
