@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .store import cut, drop
+from .store import cut, drop, small
 
 #: Bits of a dense sketch; a multiple of 64.
 DENSE = 2048
@@ -287,8 +287,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     heads = held.groupBy("sig").agg(F.min("doc_id").alias("head"))
     families = components(ties, "families")
     size = families.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    known = families.join(size, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("family"), "blocks")
-    links = cut(block_links(member_table(docs.join(known, "doc_id"), k), percent), "links")
+    known = cut(families.join(size, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("family"), "blocks"), "members")
+    links = cut(block_links(member_table(docs.join(small(known), "doc_id"), k), percent), "links")
     drop(ties)
     if _repeats(held):  # a doc_id with several texts ties their classes together
         links = links.union(held.join(heads, "sig").select("doc_id", "head"))
