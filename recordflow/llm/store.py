@@ -31,7 +31,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordflow-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of the finished job
     return spark.read.schema(df.schema).parquet(path)

@@ -35,7 +35,7 @@ from .store import cut, drop
 #: Words of an anchor phrase.
 ANCHOR = 12
 #: Occurrences from which an anchor's windows are taken one by one.
-FREQUENT = 2000
+FREQUENT = 20_000
 #: Passages of a shard, about.
 SHARD = 8000
 
@@ -221,7 +221,8 @@ def repeated_windows(docs: DataFrame, size: int = 20) -> tuple[DataFrame, DataFr
     dealt = counted.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).agg(F.collect_list(F.struct("key", "words", "n", "first.doc_id", "first.start")).alias("passages"))
     hits = locate(dealt, size)
     later = F.expr("filter(transform(offsets, (o, i) -> if(struct(doc_id, start + o) > struct(first_docs[i], first_starts[i]), start + o, null)), x -> x is not null)")
-    starts = reach.join(hits, ["key", "words"]).select("doc_id", F.explode(later).alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("starts"))
+    same = F.xxhash64("words").alias("same")  # with the key it names a passage; the words need not travel again
+    starts = reach.select("key", same, "doc_id", "start").join(hits.withColumn("same", same).drop("words"), ["key", "same"]).select("doc_id", F.explode(later).alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("starts"))
     starts = cut(starts, "starts")
     drop(reach)
     drop(found)
