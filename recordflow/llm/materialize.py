@@ -1,27 +1,33 @@
 """Training-order materialisation of token ids in fixed-stride shards.
 
 Every document's ids are cut into sequences of one length, padded to one stride.
-Sequences are numbered from 0 without gaps; a keyed Feistel network on the next
+Sequences are numbered from 0 without gaps, by document id, text and piece and not
+by where a row stands, so the same documents and key give the same order; a keyed Feistel network on the next
 even number of bits, walked along its cycle until it falls below the count,
 permutes the numbers: the global slot in training order.  Shards are ranges of
 slots, so place and resumption are arithmetic: slot s stands in shard
-s // shard_rows at byte (s % shard_rows) * stride.
+s // shard_rows at byte (s % shard_rows) * stride.  Each range partition writes its
+shards as binary files of shard_rows * stride bytes (the last one ends with the
+last slot), which are read by seek.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe as B
 from . import words as W
-from .store import cut, small
+from .store import cut, drop, shared_dir, small
 
 ROUNDS = 6
 
@@ -42,7 +48,7 @@ def permute(number: np.ndarray, count: int, key: int) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, path: str, length: int, separator: int, pad: int) -> DataFrame:
-    """uid, doc_id, piece, n_tokens, ids_crc32, payload (length ids as unsigned 16 bits, padded)."""
+    """uid, doc_id, digest (of the text), piece, n_tokens, ids_crc32, payload (length ids as unsigned 16 bits, padded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = B.load(path)
@@ -65,26 +71,112 @@ def sequences(docs: DataFrame, path: str, length: int, separator: int, pad: int)
                 body = [raw[2 * length * k : 2 * length * (k + 1)] for k in range(len(owner))]
                 crc = [zlib.crc32(b[: 2 * m]) for b, m in zip(body, n.tolist(), strict=True)]
                 take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([part.column("uid").take(take), part.column("doc_id").take(take), pa.array(piece, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([bytes(b) for b in body], pa.binary())], names=["uid", "doc_id", "piece", "n_tokens", "ids_crc32", "payload"])
+                yield pa.RecordBatch.from_arrays([part.column("uid").take(take), part.column("doc_id").take(take), part.column("digest").take(take), pa.array(piece, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([bytes(b) for b in body], pa.binary())], names=["uid", "doc_id", "digest", "piece", "n_tokens", "ids_crc32", "payload"])
 
-    keyed = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keyed.mapInArrow(run, "uid bigint, doc_id bigint, piece bigint, n_tokens bigint, ids_crc32 bigint, payload binary")
+    keyed = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"), "text")
+    return keyed.mapInArrow(run, "uid bigint, doc_id bigint, digest binary, piece bigint, n_tokens bigint, ids_crc32 bigint, payload binary")
 
 
 def first_numbers(pieces: DataFrame) -> DataFrame:
-    """uid -> base: how many sequences stand before the row's first, in order of hash bucket, doc_id and row."""
-    each = pieces.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    """uid -> base: how many sequences stand before the row's first, in order of hash bucket, doc_id and digest.
+
+    uid only tells rows apart that are alike, so the order of the sequences does not depend on it.
+    """
+    each = pieces.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.count("*").alias("n"))
     buckets = max(256, -(-pieces.count() // 1_000_000))
-    each = each.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
+    each = each.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)))
     total = each.groupBy("bucket").agg(F.sum("n").alias("all"))
     before = total.select("bucket", (F.sum("all").over(Window.orderBy("bucket")) - F.col("all")).alias("before"))  # a row for each bucket
-    own = F.sum("n").over(Window.partitionBy("bucket").orderBy("doc_id", "uid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    own = F.sum("n").over(Window.partitionBy("bucket").orderBy("doc_id", "digest", "uid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     return each.withColumn("own", own).join(F.broadcast(before), "bucket").select("uid", (F.col("before") + F.col("own")).alias("base"))
 
 
-def materialize(docs: DataFrame, path: str, length: int = 512, shard_rows: int = 8192, key: int = 1, separator: int = 0, pad: int = 0) -> DataFrame:
-    """slot, shard, byte_offset, doc_id, piece, n_tokens, ids_crc32, payload of every sequence, dealt out and sorted by slot.
+def _place(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri if ":" in uri else os.path.abspath(uri))
+
+
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """rows, dealt out by shard and sorted by slot, with file: where each stands; the binary files are written as rows pass.
 
+    A shard's file gets its name when it is complete, so a task that runs again replaces it by the same bytes.
+    """
+    rows = rows.drop("file")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _place(folder)
+        store.create_dir(base, recursive=True)
+        now, out, name, temp = None, None, "", ""
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                store.move(f"{base}/{temp}", f"{base}/{name}")
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard, offset, payload = batch.column("shard").to_numpy(), batch.column("byte_offset").to_numpy(), batch.column("payload")
+            ends = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            files = []
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                if shard[a] != now:
+                    close()
+                    now, name, temp = shard[a], f"shard-{shard[a]:08d}-{len(payload[a].as_py())}.bin", f".{uuid.uuid4().hex}"
+                    out = store.open_output_stream(f"{base}/{temp}")
+                if out.tell() != offset[a]:
+                    raise ValueError(f"slots of shard {now} are not in order or not complete")
+                out.write(b"".join(payload[a:b].to_pylist()))
+                files += [f"{folder}/{name}"] * (b - a)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(files, pa.string())], names=[*batch.schema.names, "file"])
+        close()
+
+    return rows.mapInArrow(run, rows.schema.simpleString()[7:-1].replace(":", " ") + ", file string")
+
+
+def read_files(index: DataFrame) -> DataFrame:
+    """The rows of write_files without their payload, in slot order -> with it, read by seek."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, source = None, None
+        for batch in batches:
+            file, offset = batch.column("file").to_pylist(), batch.column("byte_offset").to_numpy()
+            found, a = [], 0
+            while a < len(file):
+                stride, b = stride_of(file[a]), a + 1
+                while b < len(file) and file[b] == file[a] and offset[b] == offset[b - 1] + stride:
+                    b += 1
+                if file[a] != now:
+                    store, path = _place(file[a])
+                    now, source = file[a], store.open_input_file(path)
+                raw = source.read_at((b - a) * stride, int(offset[a]))
+                if len(raw) != (b - a) * stride:
+                    raise ValueError(f"{now} ends early")
+                found += [raw[k : k + stride] for k in range(0, len(raw), stride)]
+                a = b
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "payload"])
+
+    return index.mapInArrow(run, index.schema.simpleString()[7:-1].replace(":", " ") + ", payload binary")
+
+
+def stride_of(file: str) -> int:
+    """Bytes of a sequence in a shard's file, from its name."""
+    return int(file.rsplit("-", 1)[1].removesuffix(".bin"))
+
+
+def read_slots(file: str, from_byte: int = 0) -> Iterator[np.ndarray]:
+    """Token ids of a shard's sequences in training order, resumed at a byte offset; no Spark."""
+    store, path = _place(file)
+    with store.open_input_file(path) as source:
+        source.seek(from_byte)
+        while raw := source.read(stride_of(file)):
+            yield np.frombuffer(raw, "<u2")
+
+
+def materialize(docs: DataFrame, path: str, length: int = 512, shard_rows: int = 8192, key: int = 1, separator: int = 0, pad: int = 0, folder: str | None = None) -> DataFrame:
+    """slot, shard, byte_offset, doc_id, piece, n_tokens, ids_crc32, file, payload of every sequence, dealt out and sorted by slot.
+
+    The shards are written to folder (by default, one of its own in the shared
+    folder), file is the one with the slot, and payload is read back from it.
     A null text counts as empty: one sequence with the separator.  Repeated rows
     have slots of their own; other columns are ignored; an empty table gives no rows.
     """
@@ -107,14 +199,21 @@ def materialize(docs: DataFrame, path: str, length: int = 512, shard_rows: int =
         "ids_crc32",
         "payload",
     )
-    return rows.repartitionByRange(max(1, -(-count // shard_rows)), "shard").sortWithinPartitions("slot")
+    shards = max(1, -(-count // shard_rows))
+    folder = folder or f"{shared_dir(docs.sparkSession)}/recordflow-shards-{uuid.uuid4().hex}"
+    written = write_files(rows.repartitionByRange(shards, "shard").sortWithinPartitions("slot"), folder)
+    index = cut(written.drop("payload"), "index")
+    drop(pieces)
+    drop(base)
+    return read_files(index.repartitionByRange(shards, "shard").sortWithinPartitions("slot"))
 
 
 def write_shards(rows: DataFrame, folder: str) -> None:
-    """materialize()'s rows as a table with one folder for each shard, in slot order."""
-    rows.write.partitionBy("shard").parquet(folder)
+    """materialize()'s rows as a table with one folder for each shard, and the binary shards in its folder _binary."""
+    write_files(rows, f"{folder}/_binary").write.partitionBy("shard").parquet(folder)
 
 
 def read_shard(spark: SparkSession, folder: str, shard: int, from_byte: int = 0) -> DataFrame:
-    """A shard's rows in training order, resumed at a byte offset."""
-    return spark.read.parquet(folder).where((F.col("shard") == shard) & (F.col("byte_offset") >= from_byte)).orderBy("slot")
+    """A shard's rows in training order, resumed at a byte offset; the table gives the places, the binary file the ids."""
+    index = spark.read.parquet(folder).drop("payload").where((F.col("shard") == shard) & (F.col("byte_offset") >= from_byte))
+    return read_files(index.orderBy("slot"))
