@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +29,29 @@ def ready(tasks: DataFrame) -> DataFrame:
     return tasks.where("status = 'pending'").join(_open_edges(tasks), "id", "left_anti")
 
 
-def tree(tasks: DataFrame, roots: DataFrame, parent: str = "parent", depth: int = 64) -> DataFrame:
-    """(root, id, depth) of everything below the roots, level by level; a cycle ends at the depth given."""
+def tree(tasks: DataFrame, roots: DataFrame, parent: str = "parent", depth: int | None = None) -> DataFrame:
+    """(root, id, depth) of everything below the roots, level by level, to any depth unless one is given.
+
+    An id is listed once for each root, where it is met first; a level without a
+    new (root, id) ends the search, so cycles end too.  Levels are written to the
+    shared folder, and each is built from the last.
+    """
+    spark = tasks.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="recordflow-")
+    folder, paths = f"{shared}/recordflow-tree-{uuid.uuid4().hex}", []
     links = tasks.select(F.col("id").alias("child"), F.col(parent).alias("up")).where("up is not null")
-    level = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, depth + 1):
-        level = level.join(links, level.id == links.up).select("root", F.col("child").alias("id"), F.lit(d).alias("depth"))
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
+    level = roots.select(F.col("id").alias("root"), "id").distinct()
+    schema = level.withColumn("depth", F.lit(0)).schema
+    while True:
+        d = len(paths)
+        paths.append(f"{folder}/{d}")
+        level.select("root", "id", F.lit(d).alias("depth")).write.parquet(paths[-1])
+        level = spark.read.schema(schema).parquet(paths[-1])
+        out = spark.read.schema(schema).parquet(*paths)
+        if d == depth or level.isEmpty():
+            return out
+        below = level.join(links, level.id == links.up).select("root", F.col("child").cast(schema["id"].dataType).alias("id")).distinct()
+        level = below.join(out.select("root", "id"), ["root", "id"], "left_anti")
 
 
 def counts(tasks: DataFrame) -> DataFrame:
