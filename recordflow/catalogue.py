@@ -177,8 +177,8 @@ _add("dup_check", lambda s, t: docstore.check(_store(t)).where("problem = 'dupli
 _add("docstore_insert", lambda s, t: docstore.insert(docstore.empty(s, "r_regionkey int, r_name string"), t("region"), ["r_regionkey"]).select("r_name", F.col("_meta.id").alias("id"), F.col("_meta.version").alias("version")), "select r_name, row_number() over (order by r_regionkey) as id, 1::bigint as version from region")
 
 
-def _tasks(t) -> DataFrame:
-    o = t("orders").where("o_orderkey <= 2000")
+def _tasks(t, where: str = "o_orderkey <= 2000") -> DataFrame:
+    o = t("orders").where(where)
     return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("pending").alias("status"), F.array((F.col("o_orderkey") + 1), (F.col("o_orderkey") * 2)).alias("blockers"), F.when(F.col("o_orderkey") > 1, F.floor(F.col("o_orderkey") / 2)).alias("parent"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("due"), F.array(F.col("o_orderpriority")).alias("tags"))
 
 
@@ -189,6 +189,13 @@ _add("tasks_due", lambda s, t: tasks.due(_tasks(t), "1998-01-01", 7).groupBy("bu
 _add("tasks_tags", lambda s, t: tasks.top_tags(_tasks(t)), _T + "select tag, count(*) as count from t group by 1 order by 2 desc, 1 limit 5")
 _add("graph_tree", lambda s, t: tasks.tree(_tasks(t), _tasks(t).where("id = 1")).select("id", "depth"), "with recursive r(id, depth) as (select o_orderkey, 0 from orders where o_orderkey = 1 union all select o.o_orderkey, r.depth + 1 from r join orders o on o.o_orderkey // 2 = r.id and o.o_orderkey > 1 and o.o_orderkey <= 2000) select id, depth from r")
 
+_T_ALL = _T.replace(" where o_orderkey <= 2000", "")
+_add("tasks_blocked_all", lambda s, t: tasks.blocked(_tasks(t, "true")).select("id"), _T_ALL + "select id from t where status = 'pending' and id in (select id from e)")
+_add("tasks_ready_all", lambda s, t: tasks.ready(_tasks(t, "true")).select("id"), _T_ALL + "select id from t where status = 'pending' and id not in (select id from e)")
+_add("tasks_due_all", lambda s, t: tasks.due(_tasks(t, "true"), "1998-01-01", 7).groupBy("bucket").agg(F.count("*").alias("n")), _T_ALL + "select case when due::date < date '1998-01-01' then 'overdue' when due::date <= date '1998-01-08' then 'soon' else 'upcoming' end as bucket, count(*) as n from t where status <> 'completed' group by 1")
+_add("tasks_tags_all", lambda s, t: tasks.top_tags(_tasks(t, "true")), _T_ALL + "select tag, count(*) as count from t group by 1 order by 2 desc, 1 limit 5")
+_add("graph_tree_all", lambda s, t: tasks.tree(_tasks(t, "true"), _tasks(t, "true").where("id = 1")).select("id", "depth"), "with recursive r(id, depth) as (select o_orderkey, 0 from orders where o_orderkey = 1 union all select o.o_orderkey, r.depth + 1 from r join orders o on o.o_orderkey // 2 = r.id and o.o_orderkey > 1) select id, depth from r")
+
 
 def _sql_profile(s: SparkSession, t) -> DataFrame:
     t("customer").createOrReplaceTempView("customer")
