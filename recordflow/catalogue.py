@@ -108,6 +108,7 @@ _expr("array_sort_unique", "embeddings", "{vec_id, s: (.embedding[0:4] | sort),
 _expr("array_filter", "embeddings", "{vec_id, n: (.embedding | map(select(. > 0)) | length)}", "select vec_id, cast(len(list_filter(embedding, lambda x: x > 0)) as bigint) as n from embeddings")
 _expr("array_by", "embeddings", "{vec_id, a: (.embedding[0:6] | max_by(.)), b: (.embedding[0:6] | min_by(.)), c: (.embedding[0:6] | sort_by(.) | first)}", "select vec_id, list_max(embedding[1:6]) as a, list_min(embedding[1:6]) as b, list_min(embedding[1:6]) as c from embeddings")
 _expr("iterate_explode", "embeddings", "select(.vec_id < 20) | .embedding[] | {x: .}", "select unnest(embedding) as x from embeddings where vec_id < 20")
+_expr("iterate_explode_all", "embeddings", ".embedding[] | {x: .}", "select unnest(embedding) as x from embeddings")
 _expr("entries_roundtrip", "nation", "{k: .n_nationkey, o: ({name: .n_name, twice: (.n_name + .n_name)} | to_entries | from_entries | to_entries | length), ks: ({b: 1, a: 2} | keys)}", "select n_nationkey as k, 2::bigint as o, ['b', 'a'] as ks from nation")
 _expr("has_key", "nation", '{k: .n_nationkey, a: ({x: 1} | has("x")), b: ({x: 1} | has("y"))}', "select n_nationkey as k, true as a, false as b from nation")
 _add("json_field", lambda s, t: dynamic.dynamic(t("events"), "props").select("event_id", dynamic.get("$.k", "bigint").alias("k")), "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
