@@ -151,6 +151,8 @@ _add("join_null_safe", lambda s, t: join(t("nation").select(F.nullif("n_regionke
 _add("join_kinds_differ", lambda s, t: join(t("nation").select("n_nationkey"), t("region").select(F.col("r_regionkey").cast("string").alias("k"), "r_name"), left_key="n_nationkey", right_key="k"), "select n_nationkey, cast(null as varchar) as r_name from nation")
 _add("join_composite", lambda s, t: join(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")), on=["l_orderkey", "l_linenumber"], how="inner"), "select a.l_orderkey, a.l_linenumber, l_partkey, l_quantity, n from lineitem a join (select l_orderkey, l_linenumber, count(*) as n from lineitem group by all) b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber")
 _add("join_full_indicator", lambda s, t: join(t("customer").where("c_custkey < 50").select("c_custkey"), t("orders").where("o_orderkey < 200").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), on="c_custkey", how="left", indicator="side"), "select c_custkey, o_orderkey, case when o_orderkey is null then 'left_only' else 'both' end as side from (select c_custkey from customer where c_custkey < 50) left join (select o_custkey as c_custkey, o_orderkey from orders where o_orderkey < 200) using (c_custkey)")
+_add("join_full_indicator_all", lambda s, t: join(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), on="c_custkey", how="full", indicator="side"), "select coalesce(c.c_custkey, o_custkey) as c_custkey, o_orderkey, case when o_orderkey is null then 'left_only' when c.c_custkey is null then 'right_only' else 'both' end as side from customer c full join orders on c.c_custkey = o_custkey")
+_add("join_right_wins_all", lambda s, t: join(t("nation"), t("nation").select("n_nationkey", F.upper("n_name").alias("n_name")), on="n_nationkey"), "select n_nationkey, upper(n_name) as n_name, n_regionkey from nation")
 _add("semi_join", lambda s, t: semi(t("customer"), t("orders").where("o_totalprice > 300000"), "c_custkey", "o_custkey").select("c_custkey"), "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 _add("anti_join", lambda s, t: anti(t("customer"), t("orders").where("o_totalprice > 300000"), "c_custkey", "o_custkey").select("c_custkey"), "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 _add("range_join", lambda s, t: range_join(t("events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at")), t("events").where("event_type = 'error'").select(F.col("user_id").alias("u"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("lo"), (F.unix_timestamp(F.col("ts").cast("timestamp")) + 3600).alias("hi"), F.col("event_id").alias("error_id")), [("user_id", "u")], "at", "lo", "hi", width=3600).select("event_id", "error_id"), "select a.event_id, b.event_id as error_id from events a join events b on a.user_id = b.user_id and b.event_type = 'error' and floor(epoch(a.ts)) between floor(epoch(b.ts)) and floor(epoch(b.ts)) + 3600")

@@ -35,7 +35,7 @@ def join(left: DataFrame, right: DataFrame, on: str | list[str] | None = None, l
     if how in ("semi", "anti"):
         return l.join(r, test, f"left_{how}")
     if indicator:
-        r = right.withColumn("_there", F.lit(True)).alias("r")
+        l, r = left.withColumn("_here", F.lit(True)).alias("l"), right.withColumn("_there", F.lit(True)).alias("r")  # noqa: E741
     joined = l.join(r, test, how)
     extra = [c for c in right.columns if c not in rk]
     outer = how in ("right", "full", "outer")
@@ -50,7 +50,7 @@ def join(left: DataFrame, right: DataFrame, on: str | list[str] | None = None, l
             out.append(F.coalesce(F.col(f"r.`{c}`"), col).alias(c) if left.schema[c].dataType == right.schema[c].dataType else F.col(f"r.`{c}`").alias(c))
     out += [F.col(f"r.`{c}`").alias(c + suffix if suffix is not None and c in left.columns else c) for c in extra if suffix is not None or c not in left.columns]
     if indicator:
-        out.append(F.when(F.col("r._there").isNull(), "left_only").otherwise("both").alias(indicator))
+        out.append(F.when(F.col("r._there").isNull(), "left_only").when(F.col("l._here").isNull(), "right_only").otherwise("both").alias(indicator))
     return joined.select(*out)
 
 
