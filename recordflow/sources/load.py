@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 import urllib.request
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,14 +39,35 @@ def sniff(lines: list[str]) -> str:
     return found
 
 
+def _separators(line: str | Column, sep: str) -> Column:
+    """How many separators of a line can end a value, those in quoted values left out."""
+    s = re.escape(sep)
+    bare = F.regexp_replace(line, f'(^|{s})[ \\t]*"(?:[^"]|"")*"[ \\t]*(?=$|{s})', "$1")
+    return F.size(F.split(bare, s)) - 1
+
+
+def _ragged(reader: DataFrameReader, source, lines: DataFrame, sep: str, header: bool) -> DataFrame:
+    """Rows longer than the first have their surplus values in _extra0, _extra1, ... (without a header, in further colN)."""
+    out = reader.csv(source)
+    names = out.columns if header else [f"col{k}" for k in range(len(out.columns))]
+    most = (lines.agg(F.max(_separators("value", sep))).first()[0] or 0) + 1
+    more = [f"_extra{k}" if header else f"col{len(names) + k}" for k in range(max(0, most - len(names)))]
+    if not names or not more:
+        return out if header else out.toDF(*names)
+    reader = reader.option("maxColumns", max(20480, most))
+    schema = lambda extra: T.StructType([T.StructField(n, T.StringType()) for n in [*names, *extra]])
+    last = reader.schema(schema(more)).csv(source).agg(F.max(F.greatest(F.lit(0), *(F.when(F.col(f"`{n}`").isNotNull(), k + 1) for k, n in enumerate(more))))).first()[0]
+    return reader.schema(schema(more[: last or 0])).csv(source)
+
+
 def _csv(spark: SparkSession, path: str, options: dict) -> DataFrame:
-    """All values are text; a missing trailing value is null; without a header columns are col0, col1, ..."""
+    """All values are text; a missing trailing value is null; without a header columns are col0, col1, ...; surplus values are _extra0, ..."""
     sep = options.get("delimiter", "auto")
-    sep = SEPARATORS.get(sep, sep) or sniff([r.value for r in spark.read.text(path).limit(50).collect()])
+    lines = spark.read.text(path)
+    sep = SEPARATORS.get(sep, sep) or sniff([r.value for r in lines.limit(50).collect()])
     header = str(options.get("header", "true")).lower() != "false" and "no-header" not in options
     reader = spark.read.options(sep=sep, quote='"', escape='"', inferSchema="false", header=str(header).lower(), mode="PERMISSIVE", emptyValue="")
-    out = reader.csv(path)
-    return out if header else out.toDF(*(f"col{k}" for k in range(len(out.columns))))
+    return _ragged(reader, path, lines, sep, header)
 
 
 def _documents(spark: SparkSession, path: str, name: str, options: dict) -> DataFrame:
@@ -107,7 +129,9 @@ def _text_records(spark: SparkSession, lines: list[str], name: str, options: dic
         lines = records(name, "\n".join(lines).encode(), options)
     elif name == "csv":
         sep = SEPARATORS.get(options.get("delimiter", "auto"), options.get("delimiter")) or sniff(lines)
-        return spark.read.options(sep=sep, quote='"', escape='"', header="true").csv(spark.sparkContext.parallelize([x for x in lines if x.strip()]))
+        lines = [x for x in lines if x.strip()]
+        reader = spark.read.options(sep=sep, quote='"', escape='"', header="true")
+        return _ragged(reader, spark.sparkContext.parallelize(lines), spark.createDataFrame([(x,) for x in lines], "value string"), sep, True)
     elif name == "json":
         doc = json.loads("\n".join(lines))
         lines = [json.dumps(x) for x in (doc if isinstance(doc, list) else [doc])]
