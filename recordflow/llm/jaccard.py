@@ -20,6 +20,8 @@ XOR of the mixed positions of its odd bits.
   compared in blocks: Hamming distance of dense sketches, then exact sets, for
   pairs that no link found so far connects.  A block returns a forest, not its
   pairs.  No bucket, family or partner count is capped.
+* The forest is the shortcut of jaccard_components.  jaccard_join checks every
+  candidate pair of a block and returns all links between classes.
 """
 
 from __future__ import annotations
@@ -176,9 +178,9 @@ def member_table(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.select("family", "blocks", "doc_id", "text").mapInArrow(run, "family bigint, blocks bigint, doc_id bigint, sketch binary, set binary")
 
 
-def _forest(ids: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within a block, or between two (side 0 and 1)."""
-    parent = list(range(len(ids)))
+def _pairs(sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray, two: bool, percent: int, every: bool) -> list[tuple[int, int, int]]:
+    """(i, j, common shingles) of the links within a block, or between two (side 0 and 1): every one, or a spanning forest."""
+    parent = list(range(len(sets)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -188,26 +190,29 @@ def _forest(ids: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], side: n
 
     out = []
     n = np.array([len(s) for s in sets])
-    two = side.max() > side.min()
-    for i in range(len(ids)):
-        others = np.flatnonzero(side > side[i]) if two else np.arange(i + 1, len(ids))
+    for i in range(len(sets)):
+        others = np.flatnonzero(side > side[i]) if two else np.arange(i + 1, len(sets))
         others = others[np.minimum(n[others], n[i]) * 100 >= percent * np.maximum(n[others], n[i])]
         if not len(others):
             continue
         apart = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1)
         for j in others[apart <= _allowed(n[others], n[i], percent)]:
             a, b = find(i), find(int(j))
-            if a == b:
+            if a == b and not every:
                 continue
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * common >= percent * (n[i] + n[j] - common):
                 parent[max(a, b)] = min(a, b)
-                out.append((int(ids[i]), int(ids[j])))
+                out.append((i, int(j), common))
     return out
 
 
-def block_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) whose components are those of all links, from members dealt out to pairs of blocks."""
+def block_links(members: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Links from members dealt out to pairs of blocks.
+
+    (a, b), ids whose components are those of all links; or every link as
+    (a, b, n_a, n_b, n_common), a and b the hashes of the sets, a < b.
+    """
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     dealt = members.withColumn("own", mine).withColumn(
         "pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"))))
@@ -220,8 +225,13 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
                 return None
             ids = np.array([r[4] for r in rows], np.int64)
             sketch = np.frombuffer(b"".join(r[5] for r in rows), np.uint64).reshape(len(rows), -1)
-            links = _forest(ids, sketch, [np.frombuffer(r[6], np.uint64) for r in rows], np.array([r[3] for r in rows]), percent)
-            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"]) if links else None
+            sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+            links = _pairs(sketch, sets, np.array([r[3] for r in rows]), rows[0][1] != rows[0][2], percent, every)
+            if not every:
+                return pa.RecordBatch.from_arrays([pa.array([int(ids[x[c]]) for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"]) if links else None
+            sig = [hashlib.blake2b(r[6], digest_size=16).digest() for r in rows]
+            found = [(sig[i], sig[j], len(sets[i]), len(sets[j]), common) if sig[i] < sig[j] else (sig[j], sig[i], len(sets[j]), len(sets[i]), common) for i, j, common in links if sig[i] != sig[j]]
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.binary() if c < 2 else pa.int64()) for c in range(5)], names=["a", "b", "n_a", "n_b", "n_common"]) if found else None
 
         rows: list[tuple] = []
         for batch in batches:
@@ -234,7 +244,7 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
         if (out := close(rows)) is not None:
             yield out
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, "a binary, b binary, n_a bigint, n_b bigint, n_common bigint" if every else "a bigint, b bigint")
 
 
 def shared_chunks(heads: DataFrame) -> DataFrame:
@@ -265,6 +275,22 @@ def shared_chunks(heads: DataFrame) -> DataFrame:
     return rows.select("head", F.coalesce("lead", least).alias("lead")).where("head <> lead").select(F.col("head").alias("a"), F.col("lead").alias("b")).distinct()
 
 
+def _candidates(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """classes (doc_id, n, sig) of every row, and the family members that may link (family, blocks, doc_id, sketch, set)."""
+    common = docs.sparkSession.sparkContext.broadcast(common_classes(docs, k))
+    table = cut(class_table(docs, k, percent, common), "classes")
+    held = table.where("sig is not null and doc_id is not null")
+    heads = held.groupBy("sig").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("head"))
+    ties = cut(shared_chunks(heads), "ties")
+    classes = cut(table.select("doc_id", "n", "sig"), "classes")
+    drop(table)
+    families = components(ties, "families")
+    size = families.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    known = cut(families.join(size, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("family"), "blocks"), "members")
+    drop(ties)
+    return classes, member_table(docs.join(small(known), "doc_id"), k)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
@@ -274,22 +300,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     row without a doc_id links with nothing and has a null component.  Other
     columns of docs are ignored.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    common = spark.sparkContext.broadcast(common_classes(docs, k))
-    table = cut(class_table(docs, k, percent, common), "classes")
-    held = table.where("sig is not null and doc_id is not null")
-    heads = held.groupBy("sig").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("head"))
-    ties = cut(shared_chunks(heads), "ties")
-    classes = cut(table.select("doc_id", "n", "sig"), "classes")
-    drop(table)
+    classes, members = _candidates(docs, k, percent)
     held = classes.where("sig is not null and doc_id is not null")
     heads = held.groupBy("sig").agg(F.min("doc_id").alias("head"))
-    families = components(ties, "families")
-    size = families.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    known = cut(families.join(size, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("family"), "blocks"), "members")
-    links = cut(block_links(member_table(docs.join(small(known), "doc_id"), k), percent), "links")
-    drop(ties)
+    links = cut(block_links(members, percent), "links")
     if _repeats(held):  # a doc_id with several texts ties their classes together
         links = links.union(held.join(heads, "sig").select("doc_id", "head"))
     roots = components(links, "roots")
@@ -297,6 +312,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     return classes.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(links, members): every pair of different sets that links, and which rows have which set.
+
+    links: a, b, n_a, n_b, n_common, once for each pair of classes, verified on the
+    sets themselves.  members: doc_id, n_shingles, sig for every row of docs; sig is
+    null without a shingle.  Rows of one sig link with each other too.  Rows without a
+    doc_id stand in no link.  The number of links grows with the square of a group
+    of near copies, as the join's result does; exact copies add none.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    classes, members = _candidates(docs, k, percent)
+    links = block_links(members, percent, every=True)
+    if _repeats(classes.where("sig is not null and doc_id is not null")):  # a class may stand in several families then
+        links = links.distinct()
+    return cut(links, "links"), classes.select("doc_id", F.col("n").alias("n_shingles"), "sig")
+
+
+def link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, n_links for every row of docs: how many other rows with a doc_id it links with, equal ones included."""
+    links, members = jaccard_join(docs, k, percent)
+    sizes = members.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.count("*").alias("size"))
+    both = links.select(F.col("a").alias("own"), F.col("b").alias("sig")).union(links.select(F.col("b").alias("own"), F.col("a").alias("sig")))
+    others = both.join(sizes, "sig").groupBy("own").agg(F.sum("size").alias("near")).withColumnRenamed("own", "sig")
+    total = sizes.join(others, "sig", "left").select("sig", (F.col("size") - 1 + F.coalesce("near", F.lit(0))).alias("found"))
+    return members.join(total, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("found", F.lit(0))).cast("long").alias("n_links"))
+
+
 def _repeats(held: DataFrame) -> bool:
     """Whether some doc_id stands in several rows."""
     return bool(held.groupBy("doc_id").count().where("count > 1").limit(1).count())
