@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .store import cut, drop, small
+from .store import cut, drop, small, summed
 
 #: Bits of a dense sketch; a multiple of 64.
 DENSE = 2048
@@ -55,38 +55,19 @@ def common_classes(docs: DataFrame, k: int) -> np.ndarray:
 
     Its size does not depend on the corpus, and each partial sum is as large.
     """
-    slots, per_row = 1 << COUNTER_BITS, 1 << 12
+    slots = 1 << COUNTER_BITS
 
-    def rows(total: np.ndarray, chunks: list[int]) -> pa.RecordBatch:
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chunks) + 1) * per_row, pa.int32()), pa.array(total.ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), lists], names=["chunk", "counts"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(slots, np.int64)
         for batch in batches:
             for part in W.slices(batch):
                 flat, offsets = W.split(W.texts(part), lower=True)
                 s, _ = W.shingles(W.word_hashes(flat), offsets, k)
                 total += np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
-        if total.any():
-            yield rows(total, list(range(slots // per_row)))
+        return total
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            counts = batch.column("counts").flatten().to_numpy().reshape(-1, per_row)
-            for chunk, own in zip(batch.column("chunk").to_pylist(), counts, strict=True):
-                sums[chunk] = sums[chunk] + own if chunk in sums else own
-        if sums:
-            yield rows(np.stack(list(sums.values())), list(sums))
-
-    schema = "chunk int, counts array<bigint>"
-    summed = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect()
-    total = np.zeros(slots, np.int64)
-    for chunk, counts in summed:
-        total[chunk * per_row : (chunk + 1) * per_row] += counts
-    mean = max(1.0, total.mean())
-    return total > COMMON * mean
+    total = summed(docs.select("text"), count, slots)
+    return total > COMMON * max(1.0, total.mean())
 
 
 def _bands(n: int, percent: int) -> list[tuple[int, int]]:

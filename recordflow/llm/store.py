@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast, lit, pmod, xxhash64
 
-_OWN: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (local tests), a folder made here."""
+    """spark.checkpoint.dir; where it is unset (local tests), a folder in the warehouse, which executors share as well."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="recordflow-")
-    return _OWN[app]
+    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/recordflow-checkpoints"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -66,3 +61,40 @@ def first_by_hash(df: DataFrame, keys: list[str], n: int, total: int) -> DataFra
     h = pmod(xxhash64(*keys), lit(span))
     bound = span if total <= 2 * n else int(span * (n + 6 * n**0.5 + 50) / total)
     return df.where(h < bound).orderBy(h, *keys).limit(n)
+
+
+#: Numbers of a row in which tasks send arrays of counts.
+CHUNK = 1 << 12
+
+
+def summed(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+    """The sum of the arrays (size whole numbers) that count makes of each partition; its size does not depend on the rows."""
+    whole = max(1, -(-size // CHUNK)) * CHUNK
+
+    def rows(total: np.ndarray, chunks: list[int]) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chunks) + 1) * CHUNK, pa.int32()), pa.array(total.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), lists], names=["chunk", "counts"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = count(batches)
+        if total.any():
+            total = np.concatenate((total, np.zeros(whole - size, np.int64))).reshape(-1, CHUNK)
+            some = np.flatnonzero(total.any(axis=1))
+            yield rows(total[some], some.tolist())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            counts = batch.column("counts").flatten().to_numpy().reshape(-1, CHUNK)
+            for chunk, values in zip(batch.column("chunk").to_pylist(), counts, strict=True):
+                sums[chunk] = sums[chunk] + values if chunk in sums else values
+        if sums:
+            yield rows(np.stack(list(sums.values())), list(sums))
+
+    schema = "chunk int, counts array<bigint>"
+    found = df.mapInArrow(own, schema).repartition("chunk").mapInArrow(add, schema).toArrow()
+    total = np.zeros(whole, np.int64)
+    for batch in found.to_batches():
+        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").flatten().to_numpy().reshape(-1, CHUNK), strict=True):
+            total[chunk * CHUNK : (chunk + 1) * CHUNK] += counts
+    return total[:size]

@@ -1,14 +1,17 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 1. A bounded, hash-ordered sample of labelled rows (``per_label`` of each label)
-   gives the examples and, by their association with the label, the terms.
-2. Document frequencies of the terms are counted over all documents.
-3. Examples are unit TF-IDF vectors in an inverted index of blocks; each block
-   keeps, for every term, the largest weight in it.  A query visits blocks in the
-   order of their upper bounds and stops when no block left can change its
-   nearest examples: the neighbours are exact.
-4. Neighbours vote with their squared cosine, weighted to the natural share of
-   the labels; a logistic fit on leave-one-out votes of the examples turns votes
+   gives the examples.  All their words are terms; none is left out.
+2. Document frequencies of the terms are counted over all documents.  A term
+   weighs (1 + ln tf) * idf * rf^relevance; rf, the relevance frequency
+   log2(2 + toxic / clean), says how many times more toxic than clean examples
+   hold the term (relevance=0 is plain TF-IDF).
+3. Examples are unit vectors in an inverted index whose lists are cut into
+   blocks of examples.  Short lists are summed for every query.  Of long lists a
+   block keeps only the largest weight until it is visited: blocks whose bound
+   can't reach a query's nearest examples are skipped, so the neighbours are exact.
+4. Neighbours vote with their cosine, weighted to the natural share of the
+   labels; a logistic fit on leave-one-out votes of the examples turns votes
    into probabilities.  The neighbours and their cosines are the evidence.
 """
 
@@ -25,122 +28,140 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import first_by_hash
+from .store import first_by_hash, summed
 
 #: Labelled rows of each label that are used at most.
 PER_LABEL = 2000
-#: Terms kept at most; those with the strongest association.
-TERMS = 4096
-#: Least chi-squared of a term with the label, over twice the log of the number of terms tried; and least toxic share
-#: of the rows that hold it, one clean row added.
-CHI_SQUARED, PURITY = 10.0, 0.6
-NEIGHBOURS = 16
-#: Lengths of the word beginnings that are terms too.
-PREFIXES = (4, 5, 6, 7)
-BLOCK = 64
+#: Power of the relevance frequency in a term's weight.
+RELEVANCE = 2.0
+NEIGHBOURS = 32
+#: Examples of a block, queries handled at once, and blocks that every query visits first.
+BLOCK, QUERIES, FIRST = 64, 256, 4
+#: A list is long if it has more than this share of the examples (and BLOCK of them).
+LONG = 1 / 32
 
 _TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”„«»‘’¿¡"
 
 
-def _terms_of(names: pa.Array) -> np.ndarray:
-    """Hashes of each word's terms, words x (1 + prefixes); 0 where a word is empty or not longer than the prefix.
+def bags(text: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (text, term, count) of the texts' bags of words, by text and term.
 
-    Besides the word itself its first characters are terms, so that inflected and
-    compound forms of a word meet.
-    """
-    one = xxhash.xxh3_64_intdigest
-    length = pc.utf8_length(names).to_numpy(zero_copy_only=False)
-    out = np.zeros((len(names), 1 + len(PREFIXES)), np.uint64)
-    for k, size in enumerate((0, *PREFIXES)):
-        cut = names if not size else pc.utf8_slice_codeunits(names, 0, size)
-        out[:, k] = np.fromiter((one(w, seed=k) for w in cut.cast(pa.large_binary()).to_pylist()), np.uint64, len(names))
-        out[length <= size, k] = 0
-    return out
-
-
-def words_and_terms(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text and distinct-word index of each word, and the term hashes of the distinct words.
-
-    Words are lower-case, without punctuation at their ends.
+    Words are lower-case, without punctuation at their ends.  A term is the word's
+    hash, or its place among the wanted hashes (sorted); others are left out then.
     """
     flat, offsets = W.split(pc.utf8_lower(text))
     index, distinct = W.encode(flat)
     at, names = W.encode(pc.utf8_trim(distinct, _TRIM))
-    return np.repeat(np.arange(len(text)), np.diff(offsets)), at[index].astype(np.int64) if len(index) else index, _terms_of(names)
-
-
-def wanted_counts(text: pa.Array, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text * number of terms + term) of the wanted terms (sorted hashes) that occur, and how often."""
-    doc, word, terms = words_and_terms(text)
-    place = np.minimum(np.searchsorted(wanted, terms), len(wanted) - 1)
-    code = np.where((wanted[place] == terms) & (terms > 0), place, -1)
-    keys = []
-    some = code.max(axis=1, initial=-1) >= 0
-    at = np.flatnonzero(some[word]) if len(word) else word
-    for k in range(code.shape[1]):
-        c = code[word[at], k]
-        keys.append(doc[at][c >= 0] * len(wanted) + c[c >= 0])
-    return np.unique(np.concatenate(keys), return_counts=True)
+    one = xxhash.xxh3_64_intdigest
+    hashes = np.fromiter((one(w) if w else 0 for w in names.cast(pa.large_binary()).to_pylist()), np.uint64, len(names))
+    if wanted is None:
+        values, code = np.unique(hashes, return_inverse=True)
+        code = np.where(hashes > 0, code, -1)
+    else:
+        values = np.arange(len(wanted))
+        code = np.minimum(np.searchsorted(wanted, hashes), max(len(wanted) - 1, 0))
+        code = np.where((hashes > 0) & (wanted[code] == hashes), code, -1) if len(wanted) else np.full(len(hashes), -1)
+    if not len(index):
+        return np.zeros(0, np.int64), values[:0], np.zeros(0, np.int64)
+    term = code[at[index]]
+    doc = np.repeat(np.arange(len(text)), np.diff(offsets))[term >= 0]
+    key, count = np.unique(doc * len(values) + term[term >= 0], return_counts=True)
+    return key // max(1, len(values)), values[key % max(1, len(values))], count
 
 
 @dataclass
 class Index:
-    """Examples as unit vectors, in blocks with the largest weight of each term."""
+    """Examples as unit vectors in inverted lists."""
 
-    #: Hashes of the terms, ascending.
+    #: Hashes of the terms, ascending, and the factor of each: idf and relevance.
     terms: np.ndarray
-    idf: np.ndarray
+    factor: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     weight: np.ndarray
-    #: Postings by term: examples and weights, between starts[t] and starts[t + 1].
+    #: Lists by term: examples and weights, between starts[t] and starts[t + 1].
     starts: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
-    #: Largest weight of a term in a block, blocks x terms.
-    ceiling: np.ndarray
     share: float
-    slope: tuple[float, float, float] = (0.0, 0.0, 0.0)
-
-    def vector(self, counts: np.ndarray, terms: np.ndarray) -> np.ndarray:
-        """Unit TF-IDF weights of a text's terms."""
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return w / max(1e-12, np.sqrt((w * w).sum()))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine, ties by example; ``without``: an example class left out."""
-        bounds = self.ceiling[:, terms] @ weights
-        order = np.argsort(-bounds, kind="stable")
-        best_id, best = np.zeros(0, np.int64), np.zeros(0)
-        spans = [(self.starts[t], self.starts[t + 1]) for t in terms]
-        for b in order:
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for (lo, hi), w in zip(spans, weights, strict=True):
-                own = self.examples[lo:hi]
-                x, y = np.searchsorted(own, (b * BLOCK, (b + 1) * BLOCK))
-                score[own[x:y] - b * BLOCK] += w * self.weights[lo + x : lo + y]
-            here = np.flatnonzero(score)
-            ids = np.append(best_id, here + b * BLOCK)
-            values = np.append(best, score[here])
-            if without >= 0:
-                values, ids = values[ids != without], ids[ids != without]
-            top = np.lexsort((ids, -values))[:k]
-            best_id, best = ids[top], values[top]
-        return best_id, best
-
-    def votes(self, found: np.ndarray, cosine: np.ndarray) -> tuple[float, float]:
-        """The toxic share of the votes, with one vote of the natural share at a cosine of 0.2; the largest cosine."""
-        w = np.minimum(cosine, 1.0) ** 2
-        natural = self.weight[found]
-        up = (w * natural * self.labels[found]).sum()
-        all_ = (w * natural).sum()
-        return float((up + 0.04 * self.share) / (all_ + 0.04)), float(cosine.max(initial=0.0))
-
-    def probability(self, vote: float, top: float) -> float:
+    slope: tuple[float, float, float] = (1.0, 0.0, 0.0)
+
+    def prepare(self) -> None:
+        """The long lists as a matrix, and their largest weights by block; once in each worker."""
+        if hasattr(self, "long"):
+            return
+        size, n = np.diff(self.starts), len(self.ids)
+        many = np.flatnonzero(size > max(BLOCK, LONG * n))
+        self.long = np.full(len(self.terms), -1)
+        self.long[many] = np.arange(len(many))
+        self.blocks = -(-n // BLOCK)
+        self.matrix = np.zeros((len(many), self.blocks * BLOCK))
+        for row, t in enumerate(many.tolist()):
+            a, b = self.starts[t], self.starts[t + 1]
+            self.matrix[row, self.examples[a:b]] = self.weights[a:b]
+        self.ceiling = self.matrix.reshape(len(many), self.blocks, BLOCK).max(axis=2)
+
+    def vectors(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        """Unit weights of bags' entries."""
+        w = (1 + np.log(count)) * self.factor[term]
+        return w / np.sqrt(np.maximum(np.bincount(doc, weights=w * w, minlength=n), 1e-24))[doc]
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, loo: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """For each of n queries the k examples of largest positive cosine, ties by example, and the cosines.
+
+        Examples are -1 where there are fewer.  loo: query i is example i and leaves itself out.
+        """
+        self.prepare()
+        found, cosine = np.full((n, k), -1), np.zeros((n, k))
+        for lo in range(0, n, QUERIES):
+            m = min(QUERIES, n - lo)
+            a, b = np.searchsorted(doc, (lo, lo + m))
+            row, col, value = self._batch(doc[a:b] - lo, term[a:b], weight[a:b], m, k, np.arange(lo, lo + m) if loo else None)
+            first = np.searchsorted(row, np.arange(m))
+            place = np.arange(len(row)) - first[row]
+            few = place < k
+            found[lo + row[few], place[few]], cosine[lo + row[few], place[few]] = col[few], np.minimum(value[few], 1.0)
+        return found, cosine
+
+    def _batch(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        width = self.blocks * BLOCK
+        place = self.long[term]
+        short = place < 0
+        t, size = term[short], np.diff(self.starts)[term[short]]
+        at = np.arange(int(size.sum())) + np.repeat(self.starts[t] - np.cumsum(size) + size, size)
+        score = np.bincount(np.repeat(doc[short], size) * width + self.examples[at], weights=np.repeat(weight[short], size) * self.weights[at], minlength=m * width).reshape(m, width)
+        query = np.zeros((m, len(self.matrix)))
+        query[doc[~short], place[~short]] = weight[~short]
+        bound = query @ self.ceiling + score.reshape(m, self.blocks, BLOCK).max(axis=2)
+        exact = np.zeros((m, width))
+
+        def visit(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows, span = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                exact[rows, span] = score[rows, span] + query[rows] @ self.matrix[:, span]
+            if own is not None:
+                exact[np.arange(m), own] = 0
+
+        first = np.zeros((m, self.blocks), bool)
+        first[np.arange(m)[:, None], np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]] = True
+        visit(first)
+        floor = -np.partition(-exact, min(k, width) - 1, axis=1)[:, min(k, width) - 1]
+        visit((bound > 0) & (bound >= floor[:, None] - 1e-9) & ~first)
+        floor = -np.partition(-exact, min(k, width) - 1, axis=1)[:, min(k, width) - 1]
+        row, col = np.nonzero((exact > 1e-12) & (exact >= floor[:, None]))
+        value = exact[row, col]
+        order = np.lexsort((col, -value, row))
+        return row[order], col[order], value[order]
+
+    def votes(self, found: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The toxic share of the votes, with a small vote of the natural share; the largest cosine."""
+        w = np.where(found >= 0, cosine * self.weight[found], 0.0)
+        return ((w * self.labels[found]).sum(axis=1) + 0.05 * self.share) / (w.sum(axis=1) + 0.05), cosine.max(axis=1, initial=0.0)
+
+    def probability(self, vote: np.ndarray, top: np.ndarray) -> np.ndarray:
         a, b, c = self.slope
-        return float(1 / (1 + np.exp(-np.clip(a * np.log(max(vote, 1e-6) / max(1 - vote, 1e-6)) + b * top + c, -30, 30))))
+        vote = np.clip(vote, 1e-6, 1 - 1e-6)
+        return 1 / (1 + np.exp(-np.clip(a * np.log(vote / (1 - vote)) + b * top + c, -30, 30)))
 
 
 def sampled(labels: DataFrame, per_label: int, counted: dict[int, int]) -> DataFrame:
@@ -156,12 +177,9 @@ def _example_terms(docs: DataFrame, sample: DataFrame) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch):
-                doc, word, terms = words_and_terms(W.texts(part))
-                offsets = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                found = []
-                for d in range(part.num_rows):
-                    h, n = np.unique(terms[word[offsets[d] : offsets[d + 1]]], return_counts=True)
-                    found.append((h[h > 0].tobytes(), np.minimum(n[h > 0], 65535).astype("<u2").tobytes()))
+                doc, term, count = bags(W.texts(part))
+                cuts = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
+                found = [(term[a:b].tobytes(), count[a:b].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), *(pa.array(c, pa.binary()) for c in zip(*found, strict=True))], names=["doc_id", "toxic", "terms", "counts"])
 
     joined = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")  # the sample has 2 x per_label rows at most
@@ -172,100 +190,74 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
     """In how many documents each term occurs, over all of them, and their number."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         wanted = shared.value
         total = np.zeros(len(wanted) + 1, np.int64)
         for batch in batches:
             for part in W.slices(batch):
-                key, _ = wanted_counts(W.texts(part), wanted)
-                total[:-1] += np.bincount(key % len(wanted), minlength=len(wanted))
+                total[:-1] += np.bincount(bags(W.texts(part), wanted)[1], minlength=len(wanted))
                 total[-1] += part.num_rows
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "n"])
+        return total
 
-    out = np.zeros(len(terms) + 1, np.int64)
-    for term, n in docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect():
-        out[term] = n
+    out = summed(docs.select("text"), count, len(terms) + 1)
     return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Index | None:
-    """The index and its calibration; None without rows of both labels or a term that tells them apart."""
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, relevance: float = RELEVANCE) -> Index | None:
+    """The index and its calibration; None without rows of both labels that have a word.
+
+    Labels other than 0 and 1, rows without a doc_id and labels of unknown documents are
+    not learned from.  A doc_id with several labels is toxic if one says so; equal bags
+    of words are one example with their mean label.
+    """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = {r[0]: r[1] for r in labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).groupBy("toxic").count().collect()}
     if len(counted) < 2:
         return None
-    rows = _example_terms(docs, sampled(labels, per_label, counted))
     seen: dict[tuple, list] = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.terms)):  # equal bags of words are one example with the mean label
-        seen.setdefault((bytes(r.terms), bytes(r.counts)), []).append(r)
-    n = np.array([sum(r.toxic == y for r in rows) for y in (0, 1)], float)
-    if not n.all():
+    for r in _example_terms(docs, sampled(labels, per_label, counted)):
+        if len(r.terms):
+            seen.setdefault((bytes(r.terms), bytes(r.counts)), []).append((r.doc_id, r.toxic))
+    groups = sorted(((min(d for d, _ in group), terms, counts, group) for (terms, counts), group in seen.items()), key=lambda g: g[:3])
+    toxic = np.array([np.mean([y for _, y in g[3]]) for g in groups])
+    size = np.array([len(g[3]) for g in groups], float)
+    n = np.array([(size * (1 - toxic)).sum(), (size * toxic).sum()])
+    if not len(groups) or not n.all():
         return None
     natural = np.array([counted[0] / n[0], counted[1] / n[1]])
-    every = [np.concatenate([np.frombuffer(r.terms, np.uint64) for r in rows if r.toxic == y]) for y in (0, 1)]
-    names, toxic = np.unique(every[1], return_counts=True)
-    names, toxic = names[toxic >= 3], toxic[toxic >= 3].astype(float)
-    if not len(names):
-        return None
-    place = np.searchsorted(names, every[0])
-    met = names[np.minimum(place, len(names) - 1)] == every[0]
-    clean = np.bincount(place[met], minlength=len(names)).astype(float)
-    all_ = n.sum()
-    expected = (clean + toxic) * n[1] / all_
-    chi = (toxic - expected) ** 2 / np.maximum(1e-9, expected * (1 - n[1] / all_) * (1 - (clean + toxic) / all_ * (1 - 1e-9)))
-    share = counted[1] / (counted[0] + counted[1])
-    rate = toxic * natural[1] / (toxic * natural[1] + (clean + 1) * natural[0])
-    good = np.flatnonzero((chi >= CHI_SQUARED + 2 * np.log(len(names))) & (rate >= PURITY))
-    terms = np.sort(names[good[np.lexsort((names[good], -chi[good]))][:TERMS]])
-    if not len(terms):
-        return None
+    weight = size * (natural[0] * (1 - toxic) + natural[1] * toxic)
+    labels_of = size * toxic * natural[1] / weight
+    doc = np.repeat(np.arange(len(groups)), [len(g[1]) // 8 for g in groups])
+    terms, term = np.unique(np.frombuffer(b"".join(g[1] for g in groups), np.uint64), return_inverse=True)
+    count = np.frombuffer(b"".join(g[2] for g in groups), "<u4").astype(float)
     df, total = document_frequencies(docs, terms)
-    idf = np.log((1 + total) / (1 + df)) + 1
-    index = Index(terms, idf, *[np.zeros(0)] * 7, share=share)
-    vectors = []
-    for (words, counts), group in seen.items():
-        h = np.frombuffer(words, np.uint64)
-        t = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-        known = terms[t] == h
-        if known.any():
-            t, c = t[known], np.frombuffer(counts, "<u2")[known].astype(float)
-            weight = natural[[r.toxic for r in group]]
-            label = float((weight * [r.toxic for r in group]).sum() / weight.sum())
-            vectors.append((int(t[np.argmax(idf[t])]), min(r.doc_id for r in group), label, float(weight.sum()), t, index.vector(c, t)))
-    vectors.sort(key=lambda v: v[:2])  # examples with the same rarest term share blocks
-    _build(index, vectors)
-    _calibrate(index, vectors, counted)
+    up, down = np.bincount(term, weights=toxic[doc], minlength=len(terms)), np.bincount(term, weights=1 - toxic[doc], minlength=len(terms))
+    rf = np.log2(2 + up / np.maximum(1, down * min(1.0, n[1] / n[0])))
+    factor = (np.log((1 + total) / (1 + df)) + 1) * rf**relevance
+    index = Index(terms, factor, np.array([g[0] for g in groups]), labels_of, weight, *[np.zeros(0, np.int64)] * 3, share=counted[1] / (counted[0] + counted[1]))
+    value = index.vectors(doc, term, count, len(groups))
+    # examples that lean on the same frequent term share blocks
+    often = np.where(np.bincount(term, minlength=len(terms))[term] > LONG * len(groups), value, 0)
+    best = np.lexsort((often, doc))[np.searchsorted(doc, np.arange(len(groups)), side="right") - 1]
+    order = np.lexsort((index.ids, term[best]))
+    index.ids, index.labels, index.weight = index.ids[order], index.labels[order], index.weight[order]
+    doc = np.argsort(order)[doc]
+    by = np.lexsort((doc, term))
+    index.examples, index.weights, index.starts = doc[by], value[by], np.searchsorted(term[by], np.arange(len(terms) + 1))
+    by = np.lexsort((term, doc))
+    _calibrate(index, doc[by], term[by], value[by])
     return index
 
 
-def _build(index: Index, vectors: list[tuple]) -> None:
-    index.ids = np.array([v[1] for v in vectors], np.int64)
-    index.labels = np.array([v[2] for v in vectors])
-    index.weight = np.array([v[3] for v in vectors])
-    term = np.concatenate([v[4] for v in vectors])
-    example = np.repeat(np.arange(len(vectors)), [len(v[4]) for v in vectors])
-    weight = np.concatenate([v[5] for v in vectors])
-    order = np.lexsort((example, term))
-    index.examples, index.weights = example[order], weight[order]
-    index.starts = np.searchsorted(term[order], np.arange(len(index.terms) + 1))
-    index.ceiling = np.zeros((len(vectors) // BLOCK + 1, len(index.terms)))
-    np.maximum.at(index.ceiling, (example // BLOCK, term), weight)
-
-
-def _calibrate(index: Index, vectors: list[tuple], counted: dict[int, int]) -> None:
-    """Logistic fit on leave-one-out votes; rows without a term stand for the rest of the clean label."""
-    x, y, w = [], [], []
-    for k, v in enumerate(vectors):
-        vote, top = index.votes(*index.nearest(v[4], v[5], NEIGHBOURS, without=k))
-        x.append((np.log(max(vote, 1e-6) / max(1 - vote, 1e-6)), top, 1.0))
-        y.append(v[2])
-        w.append(v[3])
-    x, y, w = np.array(x), np.array(y), np.array(w)
-    w = w / w.mean()
+def _calibrate(index: Index, doc: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
+    """Logistic fit on the examples' leave-one-out votes."""
+    vote, top = index.votes(*index.nearest(doc, term, value, len(index.ids), NEIGHBOURS, loo=True))
+    vote = np.clip(vote, 1e-6, 1 - 1e-6)
+    x = np.stack([np.log(vote / (1 - vote)), top, np.ones(len(top))], axis=1)
+    y, w = index.labels, index.weight / index.weight.mean()
     beta = np.array([1.0, 0.0, 0.0])
-    prior = np.diag([0.1, 0.1, 1e-3]) * 10
+    prior = np.diag([1.0, 1.0, 1e-2])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         hessian = (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + prior
@@ -273,42 +265,43 @@ def _calibrate(index: Index, vectors: list[tuple], counted: dict[int, int]) -> N
     index.slope = tuple(float(b) for b in beta)
 
 
-def _scored(index: Index | None, text: pa.Array) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
-    """Score, evidence ids and cosines of each text."""
+def _scored(index: Index | None, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score, evidence (examples, -1: none) and cosines of each text."""
     n = len(text)
     if index is None:
-        return np.zeros(n), [[]] * n, [[]] * n
-    blank = index.share * min(1.0, index.probability(index.share, 0.0))
-    score, ids, cosines = np.full(n, blank), [[] for _ in range(n)], [[] for _ in range(n)]
-    key, many = wanted_counts(text, index.terms)
-    at = np.searchsorted(key, np.arange(n + 1) * len(index.terms))
-    for d in np.flatnonzero(np.diff(at)):
-        t, c = key[at[d] : at[d + 1]] % len(index.terms), many[at[d] : at[d + 1]].astype(float)
-        found, cosine = index.nearest(t, index.vector(c, t), NEIGHBOURS)
-        score[d] = index.probability(*index.votes(found, cosine))
-        ids[d], cosines[d] = index.ids[found].tolist(), cosine.tolist()
-    return score, ids, cosines
+        return np.zeros(n), np.full((n, 0), -1), np.zeros((n, 0))
+    doc, term, count = bags(text, index.terms)
+    found, cosine = index.nearest(doc, term, index.vectors(doc, term, count, n), n, NEIGHBOURS)
+    return index.probability(*index.votes(found, cosine)), found, cosine
 
 
 def score(docs: DataFrame, index: Index | None) -> DataFrame:
     """doc_id, score, predicted, evidence (ids of the nearest examples), cosines for every row.
 
-    Null and empty texts, and texts without a term of the index, have the score of
-    a text without neighbours and no evidence.  Without an index all scores are 0.
+    Every text that shares a word with an example has evidence.  Null and empty
+    texts, and texts that share none, have the score of a text without neighbours.
+    Without an index all scores are 0.  Ties of the cosine go by example; repeated
+    rows give a row each; other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch):
-                s, ids, cosines = _scored(shared.value, W.texts(part))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "score", "predicted", "evidence", "cosines"])
+                s, found, cosine = _scored(shared.value, W.texts(part))
+                keep = found >= 0
+                offsets = pa.array(np.concatenate(([0], np.cumsum(keep.sum(axis=1)))), pa.int32())
+                ids = shared.value.ids[found[keep]] if shared.value else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(cosine[keep]))],
+                    names=["doc_id", "score", "predicted", "evidence", "cosines"],
+                )
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int, evidence array<bigint>, cosines array<double>")
 
 
 def keep_clean(docs: DataFrame, index: Index | None) -> DataFrame:
-    """The rows of docs whose text is not predicted toxic, unchanged."""
+    """The rows of docs whose text is not predicted toxic, unchanged, all columns; null and empty texts stay unless a text without neighbours is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
