@@ -1,14 +1,15 @@
 """Training-order materialisation of token ids in fixed-stride shards.
 
 Every document's ids are cut into sequences of one length, padded to one stride.
-Sequences are numbered from 0 without gaps, by document id, text and piece and not
-by where a row stands, so the same documents and key give the same order; a keyed Feistel network on the next
-even number of bits, walked along its cycle until it falls below the count,
-permutes the numbers: the global slot in training order.  Shards are ranges of
-slots, so place and resumption are arithmetic: slot s stands in shard
-s // shard_rows at byte (s % shard_rows) * stride.  Each range partition writes its
-shards as binary files of shard_rows * stride bytes (the last one ends with the
-last slot), which are read by seek.
+Rows are dealt into hash buckets of document id and text and sorted there, so the
+sequences are numbered from 0 without gaps as they are made: by bucket, document id,
+text and piece, and not by where a row stands.  The same documents and key give the
+same order.  A keyed Feistel network on the next even number of bits, walked along
+its cycle until it falls below the count, permutes the numbers: the global slot in
+training order.  Shards are ranges of slots, so place and resumption are arithmetic:
+slot s stands in shard s // shard_rows at byte (s % shard_rows) * stride.  Each range
+partition writes its shards as binary files of shard_rows * stride bytes (the last
+one ends with the last slot), which are read by seek.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe as B
 from . import words as W
-from .store import cut, drop, shared_dir, small
+from .store import cut, drop, shared_dir
 
 ROUNDS = 6
+#: Documents of a bucket, about; sequences are numbered bucket by bucket.
+BUCKET_ROWS = 1_000_000
+#: Bytes of shards in a file between the sort and the writing of shards, about; tasks of the sort at most (then they take more).
+FILE_BYTES, TASKS = 32 << 20, 50_000
 
 
 def permute(number: np.ndarray, count: int, key: int) -> np.ndarray:
@@ -48,12 +53,16 @@ def permute(number: np.ndarray, count: int, key: int) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, path: str, length: int, separator: int, pad: int) -> DataFrame:
-    """uid, doc_id, digest (of the text), piece, n_tokens, ids_crc32, payload (length ids as unsigned 16 bits, padded)."""
+    """bucket, number (in the bucket), doc_id, piece, n_tokens, ids_crc32, payload (length ids as unsigned 16 bits, padded).
+
+    Rows that are equal in doc_id and text are alike in all of this but their numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = B.load(path)
         if max(bpe.text) > 0xFFFF:
             raise ValueError("ids need more than 16 bits")
+        now, following = -1, 0
         for batch in batches:
             for part in W.slices(batch):
                 ids, at = B.encode_batch(bpe, W.texts(part))
@@ -70,28 +79,27 @@ def sequences(docs: DataFrame, path: str, length: int, separator: int, pad: int)
                 raw = memoryview(flat.tobytes())
                 body = [raw[2 * length * k : 2 * length * (k + 1)] for k in range(len(owner))]
                 crc = [zlib.crc32(b[: 2 * m]) for b, m in zip(body, n.tolist(), strict=True)]
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([part.column("uid").take(take), part.column("doc_id").take(take), part.column("digest").take(take), pa.array(piece, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([bytes(b) for b in body], pa.binary())], names=["uid", "doc_id", "digest", "piece", "n_tokens", "ids_crc32", "payload"])
-
-    keyed = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"), "text")
-    return keyed.mapInArrow(run, "uid bigint, doc_id bigint, digest binary, piece bigint, n_tokens bigint, ids_crc32 bigint, payload binary")
-
-
-def first_numbers(pieces: DataFrame) -> DataFrame:
-    """uid -> base: how many sequences stand before the row's first, in order of hash bucket, doc_id and digest.
-
-    uid only tells rows apart that are alike, so the order of the sequences does not depend on it.
-    """
-    each = pieces.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.count("*").alias("n"))
-    buckets = max(256, -(-pieces.count() // 1_000_000))
-    each = each.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)))
-    total = each.groupBy("bucket").agg(F.sum("n").alias("all"))
-    before = total.select("bucket", (F.sum("all").over(Window.orderBy("bucket")) - F.col("all")).alias("before"))  # a row for each bucket
-    own = F.sum("n").over(Window.partitionBy("bucket").orderBy("doc_id", "digest", "uid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return each.withColumn("own", own).join(F.broadcast(before), "bucket").select("uid", (F.col("before") + F.col("own")).alias("base"))
+                bucket = part.column("bucket").to_numpy()[owner]
+                starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                number = np.arange(len(owner)) - np.repeat(starts, np.diff(np.append(starts, len(owner))))
+                if bucket[0] == now:
+                    number[bucket == now] += following
+                now, following = bucket[-1], int(number[-1]) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket), pa.array(number), part.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([bytes(b) for b in body], pa.binary())],
+                    names=["bucket", "number", "doc_id", "piece", "n_tokens", "ids_crc32", "payload"],
+                )
+
+    buckets = max(256, -(-docs.count() // BUCKET_ROWS))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)))
+    dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "digest").select("bucket", "doc_id", "text")
+    return dealt.mapInArrow(run, "bucket bigint, number bigint, doc_id bigint, piece bigint, n_tokens bigint, ids_crc32 bigint, payload binary")
 
 
 def _place(uri: str) -> tuple[fs.FileSystem, str]:
+    if uri.startswith("file:"):
+        uri = "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri if ":" in uri else os.path.abspath(uri))
 
 
@@ -173,23 +181,25 @@ def read_slots(file: str, from_byte: int = 0) -> Iterator[np.ndarray]:
 
 
 def materialize(docs: DataFrame, path: str, length: int = 512, shard_rows: int = 8192, key: int = 1, separator: int = 0, pad: int = 0, folder: str | None = None) -> DataFrame:
-    """slot, shard, byte_offset, doc_id, piece, n_tokens, ids_crc32, file, payload of every sequence, dealt out and sorted by slot.
+    """slot, shard, byte_offset, doc_id, piece, n_tokens, ids_crc32, file, payload of every sequence, each shard in slot order.
 
     The shards are written to folder (by default, one of its own in the shared
-    folder), file is the one with the slot, and payload is read back from it.
-    A null text counts as empty: one sequence with the separator.  Repeated rows
-    have slots of their own; other columns are ignored; an empty table gives no rows.
+    folder), with a table of their rows in its folder index; file is the one with the
+    slot, and payload is read back from it.  A null text counts as empty: one sequence
+    with the separator.  Repeated rows have slots of their own; rows without a doc_id
+    are ordered by text; other columns are ignored; an empty table gives no rows.
     """
     pieces = cut(sequences(docs, path, length, separator, pad), "sequences")
-    count = pieces.count()
+    ends = {r.bucket: r.n for r in pieces.groupBy("bucket").agg((F.max("number") + 1).alias("n")).collect()}  # a row for BUCKET_ROWS documents
+    size = np.zeros(max(ends, default=0) + 1, np.int64)
+    size[list(ends)] = list(ends.values())
+    before, count = np.cumsum(size) - size, int(size.sum())
 
     @F.pandas_udf("long")
-    def slot(number: pd.Series) -> pd.Series:
-        return pd.Series(permute(number.to_numpy(), count, key))
+    def slot(bucket: pd.Series, number: pd.Series) -> pd.Series:
+        return pd.Series(permute(before[bucket.to_numpy()] + number.to_numpy(), count, key))
 
-    base = cut(first_numbers(pieces), "numbers")
-    placed = pieces.join(small(base), "uid").withColumn("slot", slot(F.col("base") + F.col("piece")))
-    rows = placed.select(
+    rows = pieces.withColumn("slot", slot("bucket", "number")).select(
         "slot",
         F.floor(F.col("slot") / shard_rows).cast("long").alias("shard"),
         (F.col("slot") % shard_rows * (2 * length)).alias("byte_offset"),
@@ -199,21 +209,22 @@ def materialize(docs: DataFrame, path: str, length: int = 512, shard_rows: int =
         "ids_crc32",
         "payload",
     )
-    shards = max(1, -(-count // shard_rows))
-    folder = folder or f"{shared_dir(docs.sparkSession)}/recordflow-shards-{uuid.uuid4().hex}"
-    written = write_files(rows.repartitionByRange(shards, "shard").sortWithinPartitions("slot"), folder)
-    index = cut(written.drop("payload"), "index")
+    stride = 2 * length
+    group = max(1, FILE_BYTES // (shard_rows * stride)) * shard_rows  # slots of a file: whole shards
+    own = group * max(1, -(-count // (group * TASKS)))
+    dealt = rows.repartitionById(max(1, -(-count // own)), F.floor(F.col("slot") / own).cast("int")).sortWithinPartitions("slot")
+    # A file is one row group and so one task's input: whole shards in order.  The table stands between shuffle and
+    # shards, so that at no time both stages' data and the pieces are kept.
+    ordered = cut(dealt, "slots", {"maxRecordsPerFile": str(group), "parquet.block.size": str(4 * group * stride)})
     drop(pieces)
-    drop(base)
-    return read_files(index.repartitionByRange(shards, "shard").sortWithinPartitions("slot"))
-
-
-def write_shards(rows: DataFrame, folder: str) -> None:
-    """materialize()'s rows as a table with one folder for each shard, and the binary shards in its folder _binary."""
-    write_files(rows, f"{folder}/_binary").write.partitionBy("shard").parquet(folder)
+    folder = folder or f"{shared_dir(docs.sparkSession)}/recordflow-shards-{uuid.uuid4().hex}"
+    written = write_files(ordered, folder)
+    written.drop("payload").write.parquet(f"{folder}/index")
+    drop(ordered)
+    return read_files(docs.sparkSession.read.schema(written.drop("payload").schema).parquet(f"{folder}/index"))
 
 
 def read_shard(spark: SparkSession, folder: str, shard: int, from_byte: int = 0) -> DataFrame:
     """A shard's rows in training order, resumed at a byte offset; the table gives the places, the binary file the ids."""
-    index = spark.read.parquet(folder).drop("payload").where((F.col("shard") == shard) & (F.col("byte_offset") >= from_byte))
+    index = spark.read.parquet(f"{folder}/index").where((F.col("shard") == shard) & (F.col("byte_offset") >= from_byte))
     return read_files(index.orderBy("slot"))

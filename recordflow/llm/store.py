@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/recordflow-checkpoints"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Writes df to a table of its own in the shared folder and reads it back.
 
     Later reads need no executor that ran before, so a lost executor costs a
@@ -26,7 +26,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordflow-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     gc.collect()
     spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of the finished job
     return spark.read.schema(df.schema).parquet(path)

@@ -20,9 +20,7 @@ def test_permutation():
 def test_round_trip(spark, tmp_path):
     rows = [(i, "some tokens " * (i * 3)) for i in range(40)] + [(100, None), (101, ""), (7, "again"), (7, "again")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = M.materialize(docs.selectExpr("*", "1 as slot", "'x' as payload"), PATH, length=16, shard_rows=10, key=3)
-    M.write_shards(out, str(tmp_path / "s"))
-    got = spark.read.parquet(str(tmp_path / "s")).collect()
+    got = M.materialize(docs.selectExpr("*", "1 as slot", "'x' as payload"), PATH, length=16, shard_rows=10, key=3, folder=str(tmp_path / "s")).collect()
     assert sorted(r.slot for r in got) == list(range(len(got)))
     library = Tokenizer.from_file(PATH)
     want = []
@@ -35,6 +33,15 @@ def test_round_trip(spark, tmp_path):
     assert [r.slot for r in rest] == list(range(14, 20))
 
 
+def test_long_text_and_many_equal_rows(spark):
+    """A text of many sequences and a text that stands in many rows: every slot once, whole shards of several tasks."""
+    rows = [(1, "word " * 60_000), *[(2, "same text here")] * 3000, *[(None, None)] * 500]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = M.materialize(docs, PATH, length=64, shard_rows=100, key=9).select("slot", "doc_id", "n_tokens").collect()
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+    assert sum(r.doc_id == 2 for r in got) == 3000 and sum(r.doc_id is None for r in got) == 500 and sum(r.n_tokens for r in got if r.doc_id == 1) == 60_001
+
+
 @pytest.mark.parametrize("n", [0])
 def test_empty(spark, n):
     assert M.materialize(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == n
