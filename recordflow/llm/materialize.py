@@ -212,16 +212,16 @@ def materialize(docs: DataFrame, path: str, length: int = 512, shard_rows: int =
     stride = 2 * length
     group = max(1, FILE_BYTES // (shard_rows * stride)) * shard_rows  # slots of a file: whole shards
     own = group * max(1, -(-count // (group * TASKS)))
-    dealt = rows.repartitionById(max(1, -(-count // own)), F.floor(F.col("slot") / own).cast("int")).sortWithinPartitions("slot")
+    deal = lambda df: df.repartitionById(max(1, -(-count // own)), F.floor(F.col("slot") / own).cast("int")).sortWithinPartitions("slot")
     # A file is one row group and so one task's input: whole shards in order.  The table stands between shuffle and
     # shards, so that at no time both stages' data and the pieces are kept.
-    ordered = cut(dealt, "slots", {"maxRecordsPerFile": str(group), "parquet.block.size": str(4 * group * stride)})
+    ordered = cut(deal(rows), "slots", {"maxRecordsPerFile": str(group), "parquet.block.size": str(4 * group * stride)})
     drop(pieces)
     folder = folder or f"{shared_dir(docs.sparkSession)}/recordflow-shards-{uuid.uuid4().hex}"
     written = write_files(ordered, folder)
     written.drop("payload").write.parquet(f"{folder}/index")
     drop(ordered)
-    return read_files(docs.sparkSession.read.schema(written.drop("payload").schema).parquet(f"{folder}/index"))
+    return read_files(deal(docs.sparkSession.read.schema(written.drop("payload").schema).parquet(f"{folder}/index")))
 
 
 def read_shard(spark: SparkSession, folder: str, shard: int, from_byte: int = 0) -> DataFrame:
