@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bpe as B
 from . import words as W
-from .store import cut, drop, shared_dir
+from .store import cut, drop, save, shared_dir
 
 ROUNDS = 6
 #: Documents of a bucket, about; sequences are numbered bucket by bucket.
@@ -219,7 +219,7 @@ def materialize(docs: DataFrame, path: str, length: int = 512, shard_rows: int =
     drop(pieces)
     folder = folder or f"{shared_dir(docs.sparkSession)}/recordflow-shards-{uuid.uuid4().hex}"
     written = write_files(ordered, folder)
-    written.drop("payload").write.parquet(f"{folder}/index")
+    save(written.drop("payload"), f"{folder}/index")
     drop(ordered)
     return read_files(deal(docs.sparkSession.read.schema(written.drop("payload").schema).parquet(f"{folder}/index")))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,18 +17,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/recordflow-checkpoints"
 
 
+#: Whether Spark deletes an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, path: str, options: dict[str, str] | None = None) -> None:
+    """Writes df as a table; the shuffle files of the job are deleted when it is done."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(compression="zstd", **(options or {})).parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Writes df to a table of its own in the shared folder and reads it back.
 
     Later reads need no executor that ran before, so a lost executor costs a
     re-read and not a recomputation.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/recordflow-{name}-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **(options or {})).parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of the finished job
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(df.sparkSession)}/recordflow-{name}-{uuid.uuid4().hex}"
+    save(df, path, options)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:

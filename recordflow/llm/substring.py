@@ -6,15 +6,18 @@ over it also starts earlier (smaller doc_id, or same document and earlier).
 1. Copies (equal word sequences) are collapsed: all windows of a later copy start
    earlier in the first one.
 2. Every window has an anchor, the smallest hash of the ANCHOR-word phrases in it
-   (leftmost of equal ones), so equal windows have equal anchors at equal places.
-   Anchors that occur once cannot stand in a repeated window.
-3. A recurring anchor with the words around it, as far as its windows reach, is a
-   passage.  Equal passages are counted with their first place.  Anchors that
-   recur very often are taken window by window, so that their passages spread.
-4. Passages are dealt to shards by anchor.  A shard confirms the windows that
-   recur, compiles them into an Aho-Corasick automaton over words as symbols and
-   streams its documents' passages through it; hits are compared word by word.
-5. The places of hits after the first are joined back to their documents.
+   (leftmost of equal ones), so equal windows have equal anchors.  Anchors that
+   occur once cannot stand in a repeated window.
+3. A recurring anchor belongs to the stretch of STRETCH words in which it stands
+   first.  A document's neighbouring windows with anchors of one such stretch are
+   one passage, so a passage is sent where all its partners are.  Anchors that recur
+   very often are taken window by window, so that their passages spread.
+4. Confirm: equal passages are counted; a shard of passages finds the windows that
+   recur and where they stand first.  These are its phrases.
+5. Compile and stream: every shard's phrases become an Aho-Corasick automaton over
+   words as symbols, and the passages of all documents stream through the automata
+   of their shards, those of a frequent phrase in several tasks.  Hits are compared
+   by their words' hashes; those after a phrase's first place are what goes.
 """
 
 from __future__ import annotations
@@ -30,14 +33,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import cut, drop
+from .store import cut, drop, small
 
 #: Words of an anchor phrase.
 ANCHOR = 12
 #: Occurrences from which an anchor's windows are taken one by one.
 FREQUENT = 20_000
-#: Passages of a shard, about.
-SHARD = 8000
+#: Documents of one batch from which an anchor counts as frequent without further ado.
+HOT = 64
+#: Words of the first document that make one passage key.
+STRETCH = 256
+#: Words of a shard's passages, about, and occurrences of its phrases that one automaton streams, about.
+SHARD_WORDS, STREAM = 100_000, 200_000
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -64,7 +71,7 @@ def _runs(value: np.ndarray) -> np.ndarray:
 
 
 def word_table(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_words, sha (of the words joined by a space), anchors."""
+    """doc_id, n_words, sha (of the words joined by a space), anchors and their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,10 +81,11 @@ def word_table(docs: DataFrame, size: int) -> DataFrame:
                 first = _runs(place)[:-1] if len(place) else np.zeros(0, np.int64)
                 at = np.searchsorted(start[first], offsets) if len(place) else np.zeros(len(offsets), np.int64)
                 sha = [hashlib.sha256(t).hexdigest() for t in joined(flat, offsets)]
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(anchor[first].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(sha), lists], names=["doc_id", "n_words", "sha", "anchors"])
+                place = place[first] - np.repeat(offsets[:-1], np.diff(at))
+                lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(c.astype(np.int64))) for c in (anchor[first], place)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(sha), *lists], names=["doc_id", "n_words", "sha", "anchors", "places"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, sha string, anchors array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_words bigint, sha string, anchors array<bigint>, places array<bigint>")
 
 
 def joined(flat: pa.Array, offsets: np.ndarray) -> list[bytes]:
@@ -87,120 +95,200 @@ def joined(flat: pa.Array, offsets: np.ndarray) -> list[bytes]:
 
 
 def recurring(heads: DataFrame) -> DataFrame:
-    """head, anchors -> doc_id, found: the document's anchors that occur twice or more, with 'often' for frequent ones.
+    """head, anchors, places -> doc_id, found: the document's anchors that occur twice or more, with their passage key, null for frequent ones.
 
-    A batch sends an anchor on once, with its local count; the documents that hold
-    it stay behind as rows of their own key, so a frequent anchor reaches its task
-    as one row for each batch.
+    A batch sends an anchor on once, with its local count, its first place and its
+    documents; those of a locally frequent anchor go under keys of their own.  So an
+    anchor of a third of all documents reaches its task as one short row a batch.
     """
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("anchors")
-            anchor = lists.flatten().to_numpy()
+            anchor, place = lists.flatten().to_numpy(), batch.column("places").flatten().to_numpy()
             doc = np.repeat(batch.column("head").to_numpy(), np.diff(np.asarray(lists.offsets)))
-            order = np.lexsort((doc, anchor))
-            anchor, doc = anchor[order], doc[order]
+            order = np.lexsort((place, doc, anchor))
+            anchor, doc, place = anchor[order], doc[order], place[order]
             at = _runs(anchor)
-            count = np.diff(at)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[at[:-1]] if len(anchor) else anchor), pa.array(count, pa.int64()), pa.array([doc[a:b].tolist() if b - a < 64 else np.unique(doc[a:b]).tolist() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.list_(pa.int64()))], names=["anchor", "n", "docs"])
-
-    local = heads.select("head", "anchors").mapInArrow(combine, "anchor bigint, n bigint, docs array<bigint>")
-    all_ = F.sum("n").over(Window.partitionBy("anchor"))
-    known = local.withColumn("n", all_).where("n > 1")
-    return known.select("anchor", (F.col("n") >= FREQUENT).alias("often"), F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "often")).alias("found"))
+            first, count = at[:-1], np.diff(at)
+            new = np.append(True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])) if len(doc) else np.zeros(0, bool)
+            upto = np.append(0, np.cumsum(new))
+            docs = pa.ListArray.from_arrays(pa.array(upto[at], pa.int32()), pa.array(doc[new]))
+            hot = count >= HOT
+            none = pa.array([[]] * int(hot.sum()), pa.list_(pa.int64()))
+            key = np.concatenate([anchor[first], W.mix(anchor[first[hot]].astype(np.uint64) ^ W.mix(doc[first[hot]].astype(np.uint64), 3), 11).astype(np.int64)])
+            sent = pa.concat_arrays([docs.filter(pa.array(~hot)), none, docs.filter(pa.array(hot))])
+            own = np.concatenate([np.flatnonzero(~hot), np.flatnonzero(hot), np.flatnonzero(hot)])  # the row of each list above
+            key = np.concatenate([anchor[first[~hot]], anchor[first[hot]], key[len(first) :]])
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[own]) for c in (anchor[first], count, doc[first], place[first], hot)), sent], names=["key", "anchor", "n", "doc", "place", "hot", "docs"])
+
+    local = heads.select("head", "anchors", "places").mapInArrow(combine, "key bigint, anchor bigint, n bigint, doc bigint, place bigint, hot boolean, docs array<bigint>")
+    over = Window.partitionBy("key")
+    lead = F.min(F.struct("doc", "place")).over(over)
+    known = local.select("anchor", "docs", F.sum("n").over(over).alias("n"), F.max("hot").over(over).alias("hot"), lead.alias("lead")).where("n > 1")
+    passage = F.when(~F.col("hot") & (F.col("n") < FREQUENT), F.xxhash64("lead.doc", F.floor(F.col("lead.place") / STRETCH)))
+    return known.withColumn("passage", passage).select(F.struct("anchor", "passage").alias("found"), F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("found").alias("found"))
 
 
 def passages(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text, found -> key, doc_id, start, words: each recurring anchor's reach as text."""
+    """doc_id, text, found -> key, doc_id, start, size (in words), words: each run of windows with anchors of one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch):
                 flat, offsets = W.split(W.texts(part))
-                start, anchor, place = _anchors(W.word_hashes(flat), offsets, size)
-                at = _runs(place)
-                rows: tuple[list, list, list, list] = ([], [], [], [])
-                plain = flat.to_pylist()
-                doc_ids, found = part.column("doc_id").to_pylist(), part.column("found").to_pylist()
-                of = np.searchsorted(offsets, start[at[:-1]], side="right") - 1 if len(place) else at[:0]
-                known = [{f["anchor"]: f["often"] for f in fs} for fs in found]
-                signed = anchor.astype(np.int64)
-
-                def add(key: int, d: int, a: int, b: int) -> None:
-                    for column, value in zip(rows, (key, doc_ids[d], a - int(offsets[d]), " ".join(plain[a:b])), strict=True):
-                        column.append(value)
-
-                for d, a, b in zip(of.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    key = int(signed[a])
-                    often = known[d].get(key)
-                    if often is None:
+                hashes = W.word_hashes(flat)
+                start, anchor, _ = _anchors(hashes, offsets, size)
+                whole = W.grams(hashes, size).astype(np.int64)
+                at, signed = np.searchsorted(start, offsets), anchor.astype(np.int64)
+                lists = part.column("found")
+                found, cuts = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+                name, key = found.field("anchor").to_numpy(), found.field("passage")
+                often, key = pc.is_null(key).to_numpy(zero_copy_only=False), pc.fill_null(key, 0).to_numpy()
+                rows: list[list[np.ndarray]] = [[], [], [], []]  # key, document, first word and end
+                for d in range(part.num_rows):
+                    own = signed[at[d] : at[d + 1]]
+                    mine = slice(int(cuts[d]), int(cuts[d + 1]))
+                    order = np.argsort(name[mine], kind="stable")
+                    sorted_ = name[mine][order]
+                    if not len(own) or not len(sorted_):
                         continue
-                    first, last = int(start[a]), int(start[b - 1])
-                    if often:
-                        for s in range(first, last + 1):
-                            text = " ".join(plain[s : s + size])
-                            add(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True), d, s, s + size)
-                    else:
-                        add(key, d, first, last + size)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["key", "doc_id", "start", "words"])
-
-    return docs.select("doc_id", "text", "found").mapInArrow(run, "key bigint, doc_id bigint, start bigint, words string")
-
-
-def _symbol(word: str) -> str:
-    """A character for a word; few words share one, and hits are compared word by word."""
-    h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little") % 0x10F000
-    return chr(h + 1 if h < 0xD7FF else h + 0x801)
-
-
-def locate(shards: DataFrame, size: int) -> DataFrame:
-    """shard rows of passages -> key, words, offset, first_doc, first_start of every confirmed window in a passage.
+                    place = np.minimum(np.searchsorted(sorted_, own), len(sorted_) - 1)
+                    hit = sorted_[place] == own
+                    each = hit & often[mine][order][place]
+                    k = np.where(each, whole[start[at[d] : at[d + 1]]], key[mine][order][place])
+                    new = hit & np.append(True, (k[1:] != k[:-1]) | ~hit[:-1] | each[1:] | each[:-1])
+                    begin = np.flatnonzero(new)
+                    last = np.flatnonzero(hit & np.append(new[1:] | ~hit[1:], True))
+                    for column, value in zip(rows, (k[begin], np.full(len(begin), d), start[at[d]] + begin, start[at[d]] + last + size), strict=True):
+                        column.append(value)
+                k, d, a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in rows)
+                wide, upto = W.ragged(np.arange(len(flat)), a, b)
+                words = joined(flat.take(pa.array(wide)), upto)
+                yield pa.RecordBatch.from_arrays([pa.array(k), part.column("doc_id").take(pa.array(d)), pa.array(a - offsets[d]), pa.array(b - a), pa.array(words, pa.binary()).cast(pa.string())], names=["key", "doc_id", "start", "size", "words"])
+
+    return docs.select("doc_id", "text", "found").mapInArrow(run, "key bigint, doc_id bigint, start bigint, size bigint, words string")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Batches of sorted rows -> one batch for each run of equal values in the first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy() for c in range(keys)]
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+            if held and now != (this := tuple(c[a] for c in columns)):
+                yield pa.concat_batches(held)
+                held = []
+            now = tuple(c[a] for c in columns)
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def phrases(counted: DataFrame, size: int) -> DataFrame:
+    """shard, words, n, doc_id, start of distinct passages, dealt out by shard -> shard, n, words, offsets, docs, starts.
+
+    A row holds the phrases of one shard: windows that recur, as offsets into a
+    passage's words, and where each stands first.  n says how often they stand in all.
+    """
 
-    passages: array of (key, words, n, first (doc_id, start)).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _groups(batches, 1):
+            flat, offsets = W.split(own.column("words").cast(pa.large_string()))
+            many = np.diff(offsets) - size + 1
+            passage = np.repeat(np.arange(len(many)), many)
+            offset = np.arange(len(passage)) - np.repeat(np.cumsum(many) - many, many)
+            window = W.grams(W.word_hashes(flat), size)[offsets[passage] + offset]
+            times, doc, begin = (own.column(c).to_numpy() for c in ("n", "doc_id", "start"))
+            begin = begin[passage] + offset
+            order = np.lexsort((begin, doc[passage], window))
+            at = _runs(window[order])
+            count = np.add.reduceat(times[passage[order]], at[:-1])
+            first = np.sort(order[at[:-1][count > 1]])  # a phrase is shown where it stands first
+            if not len(first):
+                continue
+            here, cuts = passage[first], _runs(passage[first])
+            lists = lambda x, cuts=cuts: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x))
+            inner = pa.StructArray.from_arrays([own.column("words").take(pa.array(here[cuts[:-1]])), *(lists(x) for x in (offset[first], doc[here], begin[first]))], names=["words", "offsets", "docs", "starts"])
+            yield pa.RecordBatch.from_arrays([own.column("shard").slice(0, 1), pa.array([int(count[count > 1].sum())], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)], names=["shard", "n", "phrases"])
+
+    return counted.mapInArrow(run, "shard bigint, n bigint, phrases array<struct<words: string, offsets: array<bigint>, docs: array<bigint>, starts: array<bigint>>>")
+
+
+def _symbols(hashes: np.ndarray) -> np.ndarray:
+    """A character for each word; few words share one, and hits are compared by the whole hashes."""
+    s = (hashes % np.uint64(0x10F000)).astype(np.uint32) + 1
+    return np.where(s < 0xD800, s, s + 0x800).astype("<u4")
+
+
+class Phrases:
+    """A shard's automaton: confirmed windows as strings of symbols."""
+
+    def __init__(self, shown: list[dict], size: int):
+        self.size = size
+        flat, offsets = W.split(pa.array([p["words"] for p in shown], pa.large_string()))
+        hashes = W.word_hashes(flat)
+        at = np.concatenate([offsets[k] + np.array(p["offsets"], np.int64) for k, p in enumerate(shown)])
+        self.hash = W.grams(hashes, size)[at]
+        self.doc, self.start = (np.concatenate([np.array(p[c], np.int64) for p in shown]) for c in ("docs", "starts"))
+        text = _symbols(hashes).tobytes().decode("utf-32-le")
+        self.automaton = ahocorasick.Automaton()
+        #: Phrases whose symbols are those of another one.
+        self.twins: dict[int, list[int]] = {}
+        for i, a in enumerate(at.tolist()):
+            coded = text[a : a + size]
+            if (other := self.automaton.get(coded, None)) is None:
+                self.automaton.add_word(coded, i)
+            else:
+                self.twins.setdefault(other, []).append(i)
+        self.automaton.make_automaton()
+
+    def hits(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, offset, phrase) of every occurrence of a phrase in passages of words."""
+        flat, offsets = W.split(words)
+        hashes = W.word_hashes(flat)
+        stream = np.insert(_symbols(hashes), offsets[1:-1], 0).tobytes().decode("utf-32-le")  # 0, no word's symbol, parts passages
+        found = np.array(list(self.automaton.iter(stream)), np.int64).reshape(-1, 2)
+        begins = offsets[:-1] + np.arange(len(offsets) - 1)
+        place, phrase = found[:, 0] - self.size + 1, found[:, 1]
+        passage = np.searchsorted(begins, place, side="right") - 1
+        window = W.grams(hashes, self.size)[place - passage]
+        for other, twins in self.twins.items():
+            for k in np.flatnonzero((phrase == other) & (window != self.hash[phrase])).tolist():
+                phrase[k] = next((t for t in twins if self.hash[t] == window[k]), other)
+        real = self.hash[phrase] == window
+        return passage[real], (place - begins[passage])[real], phrase[real]
+
+
+def locate(streams: DataFrame, size: int) -> DataFrame:
+    """shard, salt, then either phrases or doc_id, start, words, dealt out and sorted with the phrases first -> doc_id, starts.
+
+    starts: words of the document at which a phrase begins that also begins earlier.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, compiled = None, None
         for batch in batches:
-            for own in batch.column("passages").to_pylist():
-                seen: dict[str, list] = {}
-                symbols: dict[str, str] = {w: _symbol(w) for p in own for w in p["words"].split(" ")}
-                for p in own:
-                    p["split"] = p["words"].split(" ")
-                    for o in range(len(p["split"]) - size + 1):
-                        text = " ".join(p["split"][o : o + size])
-                        first = (p["doc_id"], p["start"] + o)
-                        if (w := seen.get(text)) is None:
-                            seen[text] = [p["n"], first]
-                        else:
-                            w[0] += p["n"]
-                            w[1] = min(w[1], first)
-                automaton = ahocorasick.Automaton()
-                confirmed: dict[str, list[tuple[str, tuple[int, int]]]] = {}
-                for text, (n, first) in seen.items():
-                    if n > 1:
-                        coded = "".join([symbols[w] for w in text.split(" ")])
-                        confirmed.setdefault(coded, []).append((text, first))
-                for coded, texts in confirmed.items():
-                    automaton.add_word(coded, texts)
-                if not confirmed:
+            for own in _groups(iter([batch]), 2):
+                this = (own.column("shard")[0].as_py(), own.column("salt")[0].as_py())
+                if this != now:
+                    now, shown = this, own.column("phrases")[0].as_py()
+                    compiled = Phrases(shown, size) if shown else None
+                own = own.filter(pc.is_valid(own.column("words")))
+                if compiled is None or not own.num_rows:
                     continue
-                automaton.make_automaton()
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for p in own:
-                    stream = "".join([symbols[w] for w in p["split"]])
-                    hits = []
-                    for end, texts in automaton.iter(stream):
-                        o = end - size + 1
-                        text = " ".join(p["split"][o : end + 1])
-                        hits += [(o, *first) for t, first in texts if t == text]
-                    if hits:
-                        for column, value in zip(out, (p["key"], p["words"], *([h[c] for h in hits] for c in range(3))), strict=True):
-                            column.append(value)
-                kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "words", "offsets", "first_docs", "first_starts"])
-
-    return shards.select("passages").mapInArrow(run, "key bigint, words string, offsets array<bigint>, first_docs array<bigint>, first_starts array<bigint>")
+                passage, offset, phrase = compiled.hits(own.column("words").cast(pa.large_string()))
+                doc, place = own.column("doc_id").to_numpy()[passage], own.column("start").to_numpy()[passage] + offset
+                later = (doc > compiled.doc[phrase]) | (doc == compiled.doc[phrase]) & (place > compiled.start[phrase])
+                doc, place = doc[later], place[later]
+                cuts = _runs(passage[later])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[cuts[:-1]]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(place))], names=["doc_id", "starts"])
+
+    return streams.mapInArrow(run, "doc_id bigint, starts array<bigint>")
 
 
 def repeated_windows(docs: DataFrame, size: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -209,25 +297,31 @@ def repeated_windows(docs: DataFrame, size: int = 20) -> tuple[DataFrame, DataFr
     ``copy`` marks rows whose whole word sequence stands in an earlier row; they are not in the second table.
     """
     table = cut(word_table(docs, size), "words")
-    long_enough = table.where(f"n_words >= {size} and doc_id is not null")
-    heads = long_enough.groupBy("sha").agg(F.min("doc_id").alias("head"), F.min_by("anchors", "doc_id").alias("anchors"))
+    held = table.where(f"n_words >= {size} and doc_id is not null")
+    heads = held.groupBy("sha").agg(F.min("doc_id").alias("head"), F.min_by(F.struct("anchors", "places"), "doc_id").alias("own")).select("head", "own.*")
     found = cut(recurring(heads), "found")
-    small = cut(table.select("doc_id", "n_words", "sha"), "words")
+    rows = cut(table.select("doc_id", "n_words", "sha"), "rows")
     drop(table)
-    firsts = small.where(f"n_words >= {size} and doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("head"))
+    copied = rows.where(f"n_words >= {size} and doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copied = cut(copied, "copied")
     reach = cut(passages(docs.join(found, "doc_id"), size), "passages")
-    shards = max(1, -(-reach.count() // SHARD))
-    counted = reach.groupBy("key", "words").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
-    dealt = counted.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).agg(F.collect_list(F.struct("key", "words", "n", "first.doc_id", "first.start")).alias("passages"))
-    hits = locate(dealt, size)
-    later = F.expr("filter(transform(offsets, (o, i) -> if(struct(doc_id, start + o) > struct(first_docs[i], first_starts[i]), start + o, null)), x -> x is not null)")
-    same = F.xxhash64("words").alias("same")  # with the key it names a passage; the words need not travel again
-    starts = reach.select("key", same, "doc_id", "start").join(hits.withColumn("same", same).drop("words"), ["key", "same"]).select("doc_id", F.explode(later).alias("s")).groupBy("doc_id").agg(F.collect_set("s").alias("starts"))
-    starts = cut(starts, "starts")
-    drop(reach)
     drop(found)
-    rows = small.join(firsts, "sha", "left").select("doc_id", "n_words", "sha", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False)).alias("copy"))
-    return rows, starts
+    shards = max(1, int(reach.agg(F.sum("size")).first()[0] or 0) // SHARD_WORDS)
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    counted = reach.groupBy(shard, "words").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
+    dealt = counted.select("shard", "words", "n", "first.*").repartition("shard").sortWithinPartitions("shard")
+    confirmed = cut(phrases(dealt, size), "phrases")
+    # a shard's passages stream through as many copies of its automaton as they need
+    salts = confirmed.select("shard", F.ceil(F.col("n") / STREAM).cast("long").alias("salts"))
+    streamed = reach.select(shard, "doc_id", "start", "words").join(small(salts.where("salts > 1")), "shard", "left")
+    streamed = streamed.select("shard", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).alias("salt"), F.lit(None).cast(confirmed.schema["phrases"].dataType).alias("phrases"), "doc_id", "start", "words")
+    copies = confirmed.select("shard", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / STREAM).cast("long") - 1)).alias("salt"), "phrases", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("string").alias("words"))
+    order = copies.unionByName(streamed).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("phrases").isNull())
+    starts = cut(locate(order, size).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
+    drop(reach)
+    drop(confirmed)
+    marked = rows.join(small(copied), "sha", "left").select("doc_id", "n_words", "sha", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False)).alias("copy"))
+    return marked, starts
 
 
 def _covered(n: int, starts: list[int], size: int) -> np.ndarray:
@@ -280,10 +374,15 @@ def dedup_substrings(docs: DataFrame, size: int = 20) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
-    """docs with the repeated words cut out of text; texts that lose nothing stay as they are, to the character."""
+    """docs with the repeated words cut out of text; texts that lose nothing stay as they are, to the character.
+
+    A text whose words all go is empty.  Nulls, empty texts, rows without a doc_id and
+    all other columns, whatever their names, stay; every row gives a row.
+    """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, starts = repeated_windows(slim, size)
-    changed = cut_texts(slim, starts, size).where("n_removed > 0").select("doc_id", F.col("kept").alias("_kept"))
-    copies = rows.where("copy").select("doc_id", F.lit("").alias("_kept"))
-    named = docs.join(changed.union(copies).groupBy("doc_id").agg(F.min("_kept").alias("_kept")), "doc_id", "left")
-    return named.withColumn("text", F.coalesce("_kept", "text")).select(docs.columns)
+    changed = cut_texts(slim, starts, size).where("n_removed > 0").select("doc_id", "kept")
+    copies = rows.where("copy").select("doc_id", F.lit("").alias("kept"))
+    changed = changed.union(copies).groupBy("doc_id").agg(F.min("kept").alias("kept"))
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return whole.join(changed, "doc_id", "left").select(F.col("row").withField("text", F.coalesce("kept", "row.text")).alias("row")).select("row.*")

@@ -111,3 +111,10 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarra
         own = hashes[offsets[d] : offsets[d + 1]]
         out[out_offsets[d]] = mix(grams(own, len(own)), int(len(own)))[0]
     return out, out_offsets
+
+
+def ragged(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[begin:end] of every pair, one after another, and their offsets."""
+    size = end - begin
+    upto = np.concatenate(([0], np.cumsum(size)))
+    return values[np.arange(int(upto[-1])) - np.repeat(upto[:-1] - begin, size)], upto
