@@ -10,10 +10,12 @@ XOR of the mixed positions of its odd bits.
   K is fixed, so a set is sketched for its own band and, if a partner there is
   possible, for the next.
 * d bounds the symmetric difference of a set and any partner.  At most d chunks
-  differ, so K - d are equal and, by any order of chunks that their content
-  decides, the first d + 1 of one set hit a chunk that both have (pigeonhole).
-  The order takes chunks with many uncommon shingles first; which are common
-  comes from a counter array of fixed size that is summed over all documents.
+  differ; so of the filled chunks of two partners all but d are equal and, by any
+  order of chunks that their content decides, the first d + 1 of each hold one
+  that both have (pigeonhole).  A small set may fill no more than d chunks: it is
+  also found by its d + 1 smallest shingles, of which its partners of that kind
+  have one.  The order takes chunks with many uncommon shingles first; which are
+  common comes from a counter array of fixed size that is summed over all documents.
 * Equal sets are collapsed first: a class is one row with its smallest id.
 * Classes that share a chunk are tied to the smallest id with that chunk; the
   components of these ties (families) hold every linked pair.  A family is
@@ -40,8 +42,8 @@ from .store import cut, drop, small, summed
 
 #: Bits of a dense sketch; a multiple of 64.
 DENSE = 2048
-#: Members of a block; a family of m members is compared in (m / BLOCK)^2 / 2 tasks' worth of blocks.
-BLOCK = 2048
+#: Members of a block and bytes of their sets, about; a family of b blocks is compared in b^2 / 2 tasks' worth of pairs.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: log2 of the number of shared counters for shingle frequency.
 COUNTER_BITS = 18
 #: A class of shingles is common from so many times the mean on.
@@ -92,7 +94,7 @@ def _allowed(a, b, percent: int):
 
 
 def _keys(s: np.ndarray, n: int, percent: int, common: np.ndarray) -> np.ndarray:
-    """The chunks by which a set is found: in each band the first d + 1 in the order that content decides."""
+    """The chunks, and for small sets shingles, by which a set is found: in each band the first d + 1 in the order that content decides."""
     out = []
     uncommon = ~common[(s & np.uint64((1 << COUNTER_BITS) - 1)).astype(np.int64)]
     high = s >> np.uint64(32)
@@ -108,9 +110,8 @@ def _keys(s: np.ndarray, n: int, percent: int, common: np.ndarray) -> np.ndarray
         key = W.mix(parity ^ W.mix(filled.astype(np.uint64), 1000 + band))
         first = ((np.uint64(255) - rare) << np.uint64(48)) | (key >> np.uint64(16))
         out.append(key[np.argsort(first, kind="stable")[:take]])
-        if len(filled) < take:  # empty chunks come last in the order
-            empty = np.setdiff1d(np.arange(chunks), filled)[: take - len(filled)]
-            out.append(W.mix(W.mix(empty.astype(np.uint64), 1000 + band)))
+        if len(filled) < take:  # perhaps no filled chunk is equal: the smallest shingles are
+            out.append(W.mix(np.sort(W.mix(s, 9))[:take], 2000 + band))
     return np.concatenate(out).astype(np.int64)
 
 
@@ -264,11 +265,15 @@ def _candidates(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     heads = held.groupBy("sig").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("head"))
     ties = cut(shared_chunks(heads), "ties")
     classes = cut(table.select("doc_id", "n", "sig"), "classes")
+    held = classes.where("sig is not null and doc_id is not null")
     drop(table)
     families = components(ties, "families")
-    size = families.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    known = cut(families.join(size, "root").select(F.col("id").alias("doc_id"), F.col("root").alias("family"), "blocks"), "members")
+    sized = families.join(small(held.join(small(families.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("n").alias("n"))), families.id == F.col("doc_id"))
+    sized = cut(sized.select("doc_id", F.col("root").alias("family"), "n"), "sized")
+    size = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("long").alias("blocks"))
+    known = cut(sized.join(small(cut(size, "blocks")), "family").select("doc_id", "family", "blocks"), "members")
     drop(ties)
+    drop(sized)
     return classes, member_table(docs.join(small(known), "doc_id"), k)
 
 
@@ -290,7 +295,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         links = links.union(held.join(heads, "sig").select("doc_id", "head"))
     roots = components(links, "roots")
     named = heads.join(roots.withColumnRenamed("id", "head"), "head", "left").select("sig", F.coalesce("root", "head").alias("root"))
-    return classes.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    return classes.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -326,8 +331,13 @@ def _repeats(held: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, once each; a row without a doc_id stays."""
+    """The rows of docs whose doc_id is the smallest of its component, all columns unchanged.
+
+    Rows of that doc_id with different texts stay, of equal ones one stays.  Null and
+    empty texts, and texts without a word, link with nothing and stay; so does every row
+    without a doc_id.  An empty table gives no rows.
+    """
     own = jaccard_components(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null")
     kept = named.join(own, named.doc_id.cast("long") == own.doc_id, "left_semi")
-    return (kept.dropDuplicates(["doc_id"]) if _repeats(named) else kept).union(docs.where("doc_id is null"))
+    return (kept.dropDuplicates(["doc_id", "text"]) if _repeats(named) else kept).union(docs.where("doc_id is null"))
