@@ -32,8 +32,8 @@ from .store import cut, drop, save, shared_dir
 
 ROUNDS = 6
 #: Documents of a bucket, about; sequences are numbered bucket by bucket.
-BUCKET_ROWS = 1_000_000
-#: Bytes of shards in a file between the sort and the writing of shards, about; tasks of the sort at most (then they take more).
+BUCKET_ROWS = 20_000
+#: Bytes of shards in a file between the sort and the writing of shards, about; tasks of a shuffle at most (then they take more).
 FILE_BYTES, TASKS = 32 << 20, 50_000
 
 
@@ -90,10 +90,10 @@ def sequences(docs: DataFrame, path: str, length: int, separator: int, pad: int)
                     names=["bucket", "number", "doc_id", "piece", "n_tokens", "ids_crc32", "payload"],
                 )
 
-    buckets = max(256, -(-docs.count() // BUCKET_ROWS))
+    buckets = max(64, -(-docs.count() // BUCKET_ROWS))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(buckets)))
-    dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "digest").select("bucket", "doc_id", "text")
+    dealt = keyed.repartitionById(min(buckets, TASKS), (F.col("bucket") % TASKS).cast("int")).sortWithinPartitions("bucket", "doc_id", "digest").select("bucket", "doc_id", "text")
     return dealt.mapInArrow(run, "bucket bigint, number bigint, doc_id bigint, piece bigint, n_tokens bigint, ids_crc32 bigint, payload binary")
 
 
@@ -190,9 +190,10 @@ def materialize(docs: DataFrame, path: str, length: int = 512, shard_rows: int =
     are ordered by text; other columns are ignored; an empty table gives no rows.
     """
     pieces = cut(sequences(docs, path, length, separator, pad), "sequences")
-    ends = {r.bucket: r.n for r in pieces.groupBy("bucket").agg((F.max("number") + 1).alias("n")).collect()}  # a row for BUCKET_ROWS documents
-    size = np.zeros(max(ends, default=0) + 1, np.int64)
-    size[list(ends)] = list(ends.values())
+    ends = pieces.groupBy("bucket").agg((F.max("number") + 1).alias("n")).toArrow()  # two numbers for BUCKET_ROWS documents
+    bucket = ends.column("bucket").to_numpy()
+    size = np.zeros(bucket.max(initial=0) + 1, np.int64)
+    size[bucket] = ends.column("n").to_numpy()
     before, count = np.cumsum(size) - size, int(size.sum())
 
     @F.pandas_udf("long")
