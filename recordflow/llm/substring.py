@@ -44,7 +44,7 @@ HOT = 64
 #: Words of the first document that make one passage key.
 STRETCH = 256
 #: Words of a shard's passages, about, and occurrences of its phrases that one automaton streams, about.
-SHARD_WORDS, STREAM = 100_000, 200_000
+SHARD_WORDS, STREAM = 100_000, 50_000
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 

@@ -1,22 +1,23 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-The hash of k words is rolled up from the hashes of its words (pairs, pairs of
-pairs, then the rest).  Of every window of w consecutive hashes the smallest is
-kept, the rightmost of equal ones, with its position: a value packs the upper 34
-bits of a hash over 30 bits that count positions downwards, so that one minimum
-decides both.  Any w + k - 1 words that two documents share leave a common
+The hash of k words is a rolling one, the cyclic polynomial: the XOR of the words'
+hashes, each rotated by the number of words after it.  Rolling by b words is a
+rotation by b, so runs of 1, 2, 4, ... words are put together to k.  Of every window
+of w consecutive hashes the smallest is kept, all 64 bits compared, the rightmost of
+equal ones, with its position: places of minima of 1, 2, 4, ... hashes are compared
+to those of w.  Any w + k - 1 words that two documents share leave a common
 fingerprint.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Low bits of a packed value: more positions than a string can have words.
-_PLACES = (1 << 30) - 1
-#: Rows of a range of ids, about, and ranges at most (their bounds and first rows are all that is broadcast).
-RANGE_ROWS, RANGES = 1000, 1024
+#: Rows of a range of ids, about, and ranges at most (beyond them, ranges grow; their bounds and first rows are broadcast).
+RANGE_ROWS, RANGES = 1000, 65_536
 
 
 def _shifted(a: Column, b: Column, by: int, f) -> Column:
@@ -25,6 +26,13 @@ def _shifted(a: Column, b: Column, by: int, f) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(by + 1), n), f)
 
 
+def _followed(by: int):
+    """The hash of words followed by ``by`` more: that of the first, rotated by so many bits, XOR that of the others."""
+    turn = by % 64
+    rotated = lambda x: F.shiftleft(x, turn).bitwiseOR(F.shiftrightunsigned(x, 64 - turn)) if turn else x
+    return lambda x, y: rotated(x).bitwiseXOR(y)
+
+
 def _powers(n: int) -> list[int]:
     """The binary parts of n, largest first."""
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -39,10 +47,11 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = 5, w: int = 1
     keep = [c for c in df.columns]
     own = f"_{name}_"
     out = df.withColumn(f"{own}h", F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda x: x != ""), lambda x: F.xxhash64(x)))
-    # hashes of 1, 2, 4, ... words, then their sum to k words
+    # hashes of 1, 2, 4, ... words, then of their sum, k words
     size = 1
     while size * 2 <= k:
-        out = out.withColumn(f"{own}{size * 2}", _shifted(F.col(f"{own}{size}" if size > 1 else f"{own}h"), F.col(f"{own}{size}" if size > 1 else f"{own}h"), size, lambda x, y: F.xxhash64(x, y)))
+        half = F.col(f"{own}{size}" if size > 1 else f"{own}h")
+        out = out.withColumn(f"{own}{size * 2}", _shifted(half, half, size, _followed(size)))
         size *= 2
     have, gram = 0, None
     for part in _powers(k):
@@ -50,23 +59,22 @@ def with_fingerprint(df: DataFrame, text: str, name: str, k: int = 5, w: int = 1
         if gram is None:
             gram = column
         else:
-            out = out.withColumn(f"{own}g{have + part}", _shifted(gram, column, have, lambda x, y: F.xxhash64(x, y)))
+            out = out.withColumn(f"{own}g{have + part}", _shifted(gram, column, have, _followed(part)))
             gram = F.col(f"{own}g{have + part}")
         have += part
     short = (F.size(f"{own}h") > 0) & (F.size(f"{own}h") < k)
     out = out.withColumn(f"{own}g", F.when(short, F.array(F.xxhash64(F.array_join(F.transform(F.col(f"{own}h"), lambda x: x.cast("string")), " ")))).otherwise(gram))
-    mask = F.lit(~_PLACES)
-    out = out.withColumn(f"{own}m", F.transform(F.col(f"{own}g"), lambda x, i: x.bitwiseAND(mask).bitwiseOR(F.lit(_PLACES) - i)))
-    minimum, size = F.col(f"{own}m"), 1
+    g = F.col(f"{own}g")
+    out = out.withColumn(f"{own}p1", F.transform(g, lambda x, i: i))
+    least, size = F.col(f"{own}p1"), 1
     while size < w:
         step = min(size, w - size)
-        out = out.withColumn(f"{own}m{size + step}", _shifted(minimum, minimum, step, lambda x, y: F.least(x, y)))
-        minimum, size = F.col(f"{own}m{size + step}"), size + step
-    few = F.size(f"{own}g") < w
-    out = out.withColumn(f"{own}s", F.when(few, F.filter(F.array(F.array_min(f"{own}m")), lambda x: x.isNotNull())).otherwise(F.array_distinct(minimum)))
-    at = F.transform(F.col(f"{own}s"), lambda x: F.lit(_PLACES) - x.bitwiseAND(F.lit(_PLACES)))
-    out = out.withColumn(f"{name}_at", at)
-    return out.withColumn(name, F.transform(F.col(f"{name}_at"), lambda p: F.get(F.col(f"{own}g"), p.cast("int")))).select(*keep, name, f"{name}_at")
+        out = out.withColumn(f"{own}p{size + step}", _shifted(least, least, step, lambda x, y: F.when(F.get(g, y) <= F.get(g, x), y).otherwise(x)))
+        least, size = F.col(f"{own}p{size + step}"), size + step
+    few = (F.size(g) > 0) & (F.size(g) < w)
+    last = F.size(g) - F.array_position(F.reverse(g), F.array_min(g)).cast("int")  # the rightmost place of the smallest hash
+    out = out.withColumn(f"{name}_at", F.when(few, F.array(last)).otherwise(F.array_distinct(least)))
+    return out.withColumn(name, F.transform(F.col(f"{name}_at"), lambda p: F.get(g, p))).select(*keep, name, f"{name}_at")
 
 
 def shown(name: str) -> Column:
@@ -87,24 +95,21 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     first.  Ids are cut into ranges of about equal size; every range also gets the
     first row of the range after it, so each row finds its next one within a range.
     """
-    spark = docs.sparkSession
     keyed = docs.withColumn("_h", F.xxhash64("text"))
-    total = docs.count()
-    n = int(min(RANGES, max(1, total // RANGE_ROWS)))
-    bounds = [] if n == 1 else sorted(set(docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] or []))
-    group = 32
-    coarse = F.array(*(F.lit(b) for b in bounds[group - 1 :: group])).cast("array<bigint>")
-    fine = F.array(*(F.lit(b) for b in bounds)).cast("array<bigint>")
-    below = F.size(F.filter(coarse, lambda b: b < F.coalesce("doc_id", F.lit(-(2**63)))))
-    rest = F.size(F.filter(F.slice(fine, below * group + 1, group), lambda b: b < F.coalesce("doc_id", F.lit(-(2**63)))))
-    keyed = keyed.withColumn("_range", (below * group + rest if bounds else F.lit(0)).cast("int"))
-    ids = docs.select("doc_id", "text").withColumn("_h", F.xxhash64("text"))
-    ids = ids.withColumn("_range", (below * group + rest if bounds else F.lit(0)).cast("int"))
-    least = ids.groupBy("_range").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), "_h")).alias("f")).orderBy("_range").collect()  # RANGES rows at most
+    n = int(min(RANGES, max(1, docs.count() // RANGE_ROWS)))
+    bounds = [] if n == 1 else sorted(set(docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 8 * n))).first()[0] or []))
+    known = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")  # one literal, however many
+    steps = F.array(*(F.lit(1 << b) for b in range(len(bounds).bit_length() - 1, -1, -1))) if bounds else F.array()
+    id_ = F.coalesce("doc_id", F.lit(-(2**63)))
+    # how many bounds are below the id, by halving
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(known, at + step - 1) < id_, F.lit(False)), at + step).otherwise(at)) if bounds else F.lit(0)
+    keyed = keyed.withColumn("_range", below)
+    ids = docs.select("doc_id", F.xxhash64("text").alias("_h")).withColumn("_range", below)
+    least = ids.groupBy("_range").agg(F.min(F.struct(id_.alias("i"), "_h")).alias("f")).orderBy("_range").collect()  # a row for each range
     if not least:
         return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    row = lambda r, to: F.struct(F.lit(r.f.i).cast("long").alias("_i"), F.lit(r.f._h).cast("long").alias("_fh"), F.lit(to).alias("_to"))
-    firsts = spark.range(1).select(F.explode(F.array(*(row(r, least[k - 1]._range) for k, r in enumerate(least)))).alias("r")).select("r.*")
+    rows = json.dumps([{"_i": r.f.i, "_fh": r.f._h, "_to": least[k - 1]._range} for k, r in enumerate(least)])
+    firsts = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(rows), "array<struct<_i: bigint, _fh: bigint, _to: int>>")).alias("r")).select("r.*")
     ids = sorted({r.f.i for r in least})
     first = F.col("doc_id").isin(ids) | (F.col("doc_id").isNull() if ids[0] == -(2**63) else F.lit(False))  # goes down to the scan, before any fingerprint
     after = keyed.where(first).join(F.broadcast(firsts), (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_i")) & (F.col("_h") == F.col("_fh"))).dropDuplicates(["_i", "_fh", "_to"])

@@ -3,8 +3,8 @@
 import hashlib
 import random
 import re
-import struct
 
+import pytest
 import xxhash
 
 from recordflow.llm import winnow as N
@@ -16,12 +16,8 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def roll(a, b):
-    one = xxhash.xxh64_intdigest(struct.pack("<q", a), seed=42)
-    return signed(xxhash.xxh64_intdigest(struct.pack("<q", b), seed=one))
-
-
 def direct(text):
+    """Hashes rolled word by word over the text, and every window's minimum, the rightmost of equal ones."""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     h = [signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in words]
     if not h:
@@ -29,13 +25,18 @@ def direct(text):
     if len(h) < K:
         g = [signed(xxhash.xxh64_intdigest(" ".join(map(str, h)).encode(), seed=42))]
     else:
-        two = [roll(a, b) for a, b in zip(h, h[1:], strict=False)]
-        four = [roll(a, b) for a, b in zip(two, two[2:], strict=False)]
-        g = [roll(a, b) for a, b in zip(four, h[4:], strict=False)]
+        turn = lambda x, by: ((x << by) | (x >> (64 - by))) & (2**64 - 1)
+        now, g = 0, []
+        for i, x in enumerate(h):
+            now = turn(now, 1) ^ (x & (2**64 - 1))
+            if i >= K:
+                now ^= turn(h[i - K] & (2**64 - 1), K)
+            if i >= K - 1:
+                g.append(signed(now))
     out = []
     for s in range(max(1, len(g) - WINDOW + 1)):
         window = range(s, min(len(g), s + WINDOW))
-        best = min(window, key=lambda p: (g[p] >> 30, -p))
+        best = min(window, key=lambda p: (g[p], -p))
         if (best, g[best]) not in out:
             out.append((best, g[best]))
     return out
@@ -48,8 +49,9 @@ def rows_of(seed):
     return [*rows, (1000, None), (1001, ""), (1002, "a b"), (1002, "a b"), (1003, "same " * 500), (1004, " \n " + rows[3][1])]
 
 
-def test_against_direct(spark, monkeypatch):
-    monkeypatch.setattr(N, "RANGE_ROWS", 9)
+@pytest.mark.parametrize("size", [1, 9, 1000])
+def test_against_direct(spark, monkeypatch, size):
+    monkeypatch.setattr(N, "RANGE_ROWS", size)
     rows = rows_of(1)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {}
