@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .store import cut, drop, small, summed
+from .store import cut, drop, small, summed, tidy
 
 #: Bits of a dense sketch; a multiple of 64.
 DENSE = 2048
@@ -277,6 +277,7 @@ def _candidates(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     return classes, member_table(docs.join(small(known), "doc_id"), k)
 
 
+@tidy
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text).
 
@@ -298,6 +299,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     return classes.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
+@tidy
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(links, members): every pair of different sets that links, and which rows have which set.
 
@@ -315,6 +317,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     return cut(links, "links"), classes.select("doc_id", F.col("n").alias("n_shingles"), "sig")
 
 
+@tidy
 def link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, n_links for every row of docs: how many other rows with a doc_id it links with, equal ones included."""
     links, members = jaccard_join(docs, k, percent)
@@ -330,6 +333,7 @@ def _repeats(held: DataFrame) -> bool:
     return bool(held.groupBy("doc_id").count().where("count > 1").limit(1).count())
 
 
+@tidy
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, all columns unchanged.
 

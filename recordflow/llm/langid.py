@@ -2,11 +2,12 @@
 
 A model holds log probabilities of character n-grams (hashed to a fixed number
 of classes) for each language, and each language's share of letters by script;
-it is learned from a bounded, hash-ordered sample of labelled rows.  A word's
-candidates are the languages that use its script; its score for each is the
-mean-weighted log likelihood of its n-grams.  Viterbi finds the labels of all
-words of a text with a penalty for each switch; equal neighbours are a span.
-The longest language, in letters, names the text.
+it is learned from a bounded, hash-ordered sample of labelled rows.  A word is a run without blanks,
+or one character of a script that is written without them.  A word's candidates are
+the languages that use its script, and only those are scored: by the weighted log
+likelihood of the word's n-grams.  Viterbi finds the labels of all words of a text
+with a penalty for each switch; equal neighbours are a span.  The longest language,
+in letters, names the text.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import first_by_hash
+from .store import SPAN, hash_bound
 
 #: Labelled rows of each language that are learned from at most.
 PER_LANGUAGE = 1500
@@ -32,6 +33,8 @@ CLASSES, ORDERS, WEIGHT = 1 << 16, (1, 2, 3, 4), 0.4
 PENALTY = 6.0
 #: Least share of a language's letters that makes a script one of its scripts.
 SCRIPT_SHARE = 0.01
+#: How far languages that don't use a word's script stand below those that do.
+BARRED = 20.0
 
 #: First code points of ranges and their scripts; a range ends where the next begins.
 SCRIPTS = {
@@ -43,6 +46,8 @@ SCRIPTS = {
     0xA6A0: "other", 0xA720: "latin", 0xA800: "other", 0xAC00: "hangul", 0xD7B0: "other", 0xF900: "han", 0xFB00: "latin", 0xFB13: "armenian", 0xFB1D: "hebrew", 0xFB50: "arabic",
     0xFE00: "other", 0xFE70: "arabic", 0xFF00: "latin", 0xFF66: "kana", 0xFFA0: "hangul", 0xFFE0: "other", 0x20000: "han", 0x323B0: "other",
 }
+#: Scripts that are written without blanks between words.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
 _FIRST = np.array(sorted(SCRIPTS))
 NAMES = sorted(set(SCRIPTS.values()))
 _SCRIPT = np.array([NAMES.index(SCRIPTS[f]) for f in _FIRST.tolist()])
@@ -54,6 +59,15 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+def split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-case words of every text in one flat array, and the offsets of each text in it."""
+    text = pc.utf8_lower(text)
+    raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+    if (raw >= 0xE0).any():  # first byte of the characters from U+0800 on
+        text = pc.replace_substring_regex(text, UNSPACED, r" \1 ")
+    return W.split(text)
+
+
 @dataclass
 class Coded:
     """Distinct words as code points: per word its n-gram classes, letters and script (-1: no letter)."""
@@ -99,51 +113,57 @@ class Model:
     def scores(self, c: Coded) -> np.ndarray:
         """Words x languages; words without a letter score 0 for all, languages without the script far below the others."""
         out = np.zeros((len(c.letters), len(self.languages)))
-        for lo in range(0, len(out), 1 << 15):
-            hi = min(len(out), lo + (1 << 15))
-            a, b = c.starts[lo], c.starts[hi]
-            if b > a:
-                out[lo:hi] = np.add.reduceat(self.table[c.grams[a:b]], np.minimum(c.starts[lo:hi] - a, b - a - 1))
-        out *= WEIGHT
-        barred = ~self.uses[c.script] & self.uses[c.script].any(axis=1, keepdims=True)
-        out = np.where(barred, out.min(axis=1, keepdims=True) - 20, out)
-        out[c.letters == 0] = 0
+        for script in np.unique(c.script[c.letters > 0]).tolist():
+            own = np.flatnonzero((c.script == script) & (c.letters > 0))
+            candidates = np.flatnonzero(self.uses[script]) if self.uses[script].any() else np.arange(len(self.languages))
+            table = self.table[:, candidates]
+            for lo in range(0, len(own), 1 << 15):
+                words = own[lo : lo + (1 << 15)]
+                grams, at = W.ragged(c.grams, c.starts[words], c.starts[words + 1])
+                found = WEIGHT * np.add.reduceat(table[grams], at[:-1])
+                out[words] = found.min(axis=1, keepdims=True) - BARRED
+                out[words[:, None], candidates] = found
         return out
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """The model of rows (doc_id, text, lang) with a language and a text; at most per_language of each, the first by hash."""
-    known = docs.where("lang is not null and text is not null and text <> ''").select("doc_id", "text", "lang")
-    total = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    """The model of rows (doc_id, text, lang) with a language and a text; at most per_language of each, the first by hash of doc_id.
+
+    The rows are counted and read once each, for all languages together.
+    """
+    known = docs.where("lang is not null and text is not null and text <> ''").select(F.col("doc_id").alias("d"), "text", "lang")
+    total = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # a row for each language
     languages = sorted(total)
     empty = Model(languages, np.zeros((CLASSES, len(languages)), np.float32), np.ones((len(NAMES), len(languages)), bool))
     if not languages:
         return empty
-    parts = [first_by_hash(known.where(F.col("lang") == lang), ["doc_id"], per_language, total[lang]).select("text", F.lit(k).alias("k")) for k, lang in enumerate(languages)]
+    h = F.pmod(F.xxhash64("d"), F.lit(SPAN)).alias("h")
+    bounds = known.sparkSession.createDataFrame([(lang, k, hash_bound(per_language, total[lang])) for k, lang in enumerate(languages)], "lang string, k int, bound long")
+    near = known.join(F.broadcast(bounds), "lang").select("k", "bound", h, "d", "text").where("h < bound")  # somewhat more than per_language of each
+    first = Window.partitionBy("k").orderBy("h", "d", F.xxhash64("text"))
+    sample = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("k", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = np.zeros((CLASSES, len(languages)))
-        scripts = np.zeros((len(NAMES), len(languages)))
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for part in W.slices(batch):
                 lang = part.column("k").to_numpy()
-                flat, offsets = W.split(pc.utf8_lower(W.texts(part)))
+                flat, offsets = split(W.texts(part))
                 index, distinct = W.encode(flat)
                 c = coded(distinct)
                 for k in np.unique(lang).tolist():
-                    own = np.repeat(lang == k, np.diff(offsets))
-                    times = np.bincount(index[own], minlength=len(distinct))
+                    grams, scripts = sums.setdefault(k, (np.zeros(CLASSES), np.zeros(len(NAMES))))
+                    times = np.bincount(index[np.repeat(lang == k, np.diff(offsets))], minlength=len(distinct))
                     times[c.letters == 0] = 0
-                    grams[:, k] += np.bincount(c.grams, weights=np.repeat(times, np.diff(c.starts)), minlength=CLASSES)
+                    grams += np.bincount(c.grams, weights=np.repeat(times, np.diff(c.starts)), minlength=CLASSES)
                     at = c.script >= 0
-                    scripts[:, k] += np.bincount(c.script[at], weights=(times * c.letters)[at], minlength=len(NAMES))
-        yield pa.RecordBatch.from_arrays([pa.array([grams.astype("<f4").tobytes()]), pa.array([scripts.astype("<f4").tobytes()])], names=["grams", "scripts"])
+                    scripts += np.bincount(c.script[at], weights=(times * c.letters)[at], minlength=len(NAMES))
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *(pa.array([x[c].tobytes() for x in sums.values()], pa.binary()) for c in range(2))], names=["k", "grams", "scripts"])
 
     grams, scripts = np.zeros((CLASSES, len(languages))), np.zeros((len(NAMES), len(languages)))
-    for part in parts:  # a sample is one bounded partition; a language's counts are one column
-        for r in part.mapInArrow(count, "grams binary, scripts binary").collect():
-            grams += np.frombuffer(r.grams, "<f4").reshape(grams.shape)
-            scripts += np.frombuffer(r.scripts, "<f4").reshape(scripts.shape)
+    for r in sample.mapInArrow(count, "k int, grams binary, scripts binary").collect():  # a column of counts for each language
+        grams[:, r.k] += np.frombuffer(r.grams)
+        scripts[:, r.k] += np.frombuffer(r.scripts)
     table = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * CLASSES)).astype(np.float32)
     return Model(languages, table, scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0)))
 
@@ -188,8 +208,9 @@ def label(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool =
     """doc_id, lang_pred, score of every row; with spans also (first word, end word, language) of each span.
 
     The score is the share of letters in words of that language.  ``und`` and 0 if
-    text is null or has no letter, or nothing was learned.  Repeated rows give a
-    row each; other columns are ignored; an empty table gives no rows.
+    text is null or has no letter, or nothing was learned.  Ties go to the language
+    first by name.  Repeated rows give a row each; other columns, whatever their names,
+    are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -198,7 +219,7 @@ def label(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool =
         many = len(m.languages)
         for batch in batches:
             for part in W.slices(batch):
-                flat, offsets = W.split(pc.utf8_lower(W.texts(part)))
+                flat, offsets = split(W.texts(part))
                 index, distinct = W.encode(flat)
                 c = coded(distinct)
                 letters = c.letters[index] if len(index) else np.zeros(0, np.int64)

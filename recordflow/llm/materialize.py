@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import bpe as B
 from . import words as W
-from .store import cut, drop, save, shared_dir
+from .store import cut, drop, save, shared_dir, tidy
 
 ROUNDS = 6
 #: Documents of a bucket, about; sequences are numbered bucket by bucket.
@@ -180,6 +180,7 @@ def read_slots(file: str, from_byte: int = 0) -> Iterator[np.ndarray]:
             yield np.frombuffer(raw, "<u2")
 
 
+@tidy
 def materialize(docs: DataFrame, path: str, length: int = 512, shard_rows: int = 8192, key: int = 1, separator: int = 0, pad: int = 0, folder: str | None = None) -> DataFrame:
     """slot, shard, byte_offset, doc_id, piece, n_tokens, ids_crc32, file, payload of every sequence, each shard in slot order.
 

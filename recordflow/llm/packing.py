@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import bpe as B
 from . import words as W
-from .store import cut
+from .store import cut, tidy
 
 #: Lengths that triples may take their two smaller parts from: the most frequent ones.
 TRIPLE_LENGTHS = 128
@@ -188,6 +188,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return numbered(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "number").mapInArrow(run, schema)
 
 
+@tidy
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -39,18 +40,47 @@ def cut(df: DataFrame, name: str, options: dict[str, str] | None = None) -> Data
     re-read and not a recomputation.
     """
     path = f"{shared_dir(df.sparkSession)}/recordflow-{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     save(df, path, options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of cut() that are not deleted yet, in the order in which they were made.
+_MADE: list[str] = []
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE.remove(p)
+
+
+def _read_by(df: DataFrame) -> set[str]:
+    """Names of the folders that df reads."""
+    return {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the table behind a cut() that nothing reads any more."""
-    spark = df.sparkSession
-    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for p in paths:
-        if "/recordflow-" in p:
-            path = spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    folders = _read_by(df)
+    _delete(df.sparkSession, [p for p in _MADE if p.rsplit("/", 1)[1] in folders])
+
+
+def tidy(operator: Callable) -> Callable:
+    """An operator whose tables are deleted when it returns, but for those that its results still read."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        before = set(_MADE)
+        out = operator(*args, **kwargs)
+        results = [x for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)]
+        if results:
+            kept = set().union(*map(_read_by, results))
+            _delete(results[0].sparkSession, [p for p in _MADE if p not in before and p.rsplit("/", 1)[1] not in kept])
+        return out
+
+    return run
 
 
 #: Rows of two or three numbers that may be broadcast.
@@ -62,16 +92,23 @@ def small(df: DataFrame) -> DataFrame:
     return broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
+#: Hashes by which samples are taken are below this.
+SPAN = 1 << 40
+
+
+def hash_bound(n: int, total: int) -> int:
+    """A hash far beyond the n-th smallest of total rows."""
+    return SPAN if total <= 2 * n else int(SPAN * (n + 6 * n**0.5 + 50) / total)
+
+
 def first_by_hash(df: DataFrame, keys: list[str], n: int, total: int) -> DataFrame:
     """n of df's total rows, those with the smallest hashes of keys.
 
     Rows whose hash is far beyond the n-th smallest are dropped before the sort, so
     what the tasks send does not grow with their number.
     """
-    span = 1 << 40
-    h = pmod(xxhash64(*keys), lit(span))
-    bound = span if total <= 2 * n else int(span * (n + 6 * n**0.5 + 50) / total)
-    return df.where(h < bound).orderBy(h, *keys).limit(n)
+    h = pmod(xxhash64(*keys), lit(SPAN))
+    return df.where(h < hash_bound(n, total)).orderBy(h, *keys).limit(n)
 
 
 #: Numbers of a row in which tasks send arrays of counts.

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .store import cut, drop, small
+from .store import cut, drop, small, tidy
 
 #: Words of an anchor phrase.
 ANCHOR = 12
@@ -352,6 +352,7 @@ def cut_texts(docs: DataFrame, starts: DataFrame, size: int) -> DataFrame:
     return docs.join(starts, "doc_id").select("doc_id", "text", "starts").mapInArrow(run, "doc_id bigint, n_removed bigint, kept string")
 
 
+@tidy
 def dedup_substrings(docs: DataFrame, size: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of docs (doc_id, text).
 
@@ -373,6 +374,7 @@ def dedup_substrings(docs: DataFrame, size: int = 20) -> DataFrame:
     )
 
 
+@tidy
 def without_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     """docs with the repeated words cut out of text; texts that lose nothing stay as they are, to the character.
 

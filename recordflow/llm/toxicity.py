@@ -10,9 +10,10 @@
    blocks of examples.  Short lists are summed for every query.  Of long lists a
    block keeps only the largest weight until it is visited: blocks whose bound
    can't reach a query's nearest examples are skipped, so the neighbours are exact.
-4. Neighbours vote with their cosine, weighted to the natural share of the
-   labels; a logistic fit on leave-one-out votes of the examples turns votes
-   into probabilities.  The neighbours and their cosines are the evidence.
+4. Neighbours vote with a power of their cosine, weighted to the natural share of
+   the labels; a logistic fit on leave-one-out votes of the examples turns votes
+   into probabilities and says which power foretells the labels best.  The
+   neighbours and their cosines are the evidence.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ PER_LABEL = 2000
 #: Power of the relevance frequency in a term's weight.
 RELEVANCE = 2.0
 NEIGHBOURS = 32
+#: Powers of the cosine that are tried.
+POWERS = (1.0, 2.0, 4.0, 8.0)
 #: Examples of a block, queries handled at once, and blocks that every query visits first.
 BLOCK, QUERIES, FIRST = 64, 256, 4
 #: A list is long if it has more than this share of the examples (and BLOCK of them).
@@ -85,6 +88,7 @@ class Index:
     weights: np.ndarray
     share: float
     slope: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    power: float = 1.0
 
     def prepare(self) -> None:
         """The long lists as a matrix, and their largest weights by block; once in each worker."""
@@ -155,8 +159,9 @@ class Index:
 
     def votes(self, found: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The toxic share of the votes, with a small vote of the natural share; the largest cosine."""
-        w = np.where(found >= 0, cosine * self.weight[found], 0.0)
-        return ((w * self.labels[found]).sum(axis=1) + 0.05 * self.share) / (w.sum(axis=1) + 0.05), cosine.max(axis=1, initial=0.0)
+        w = np.where(found >= 0, cosine**self.power * self.weight[found], 0.0)
+        few = 0.05**self.power
+        return ((w * self.labels[found]).sum(axis=1) + few * self.share) / (w.sum(axis=1) + few), cosine.max(axis=1, initial=0.0)
 
     def probability(self, vote: np.ndarray, top: np.ndarray) -> np.ndarray:
         a, b, c = self.slope
@@ -251,18 +256,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, relevanc
 
 
 def _calibrate(index: Index, doc: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
-    """Logistic fit on the examples' leave-one-out votes."""
-    vote, top = index.votes(*index.nearest(doc, term, value, len(index.ids), NEIGHBOURS, loo=True))
-    vote = np.clip(vote, 1e-6, 1 - 1e-6)
-    x = np.stack([np.log(vote / (1 - vote)), top, np.ones(len(top))], axis=1)
+    """Power of the cosine and logistic fit with the least loss on the examples' leave-one-out votes."""
+    found, cosine = index.nearest(doc, term, value, len(index.ids), NEIGHBOURS, loo=True)
     y, w = index.labels, index.weight / index.weight.mean()
-    beta = np.array([1.0, 0.0, 0.0])
     prior = np.diag([1.0, 1.0, 1e-2])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + prior
-        beta = beta - np.clip(np.linalg.solve(hessian, x.T @ (w * (p - y)) + prior @ (beta - [1.0, 0.0, 0.0])), -1, 1)
-    index.slope = tuple(float(b) for b in beta)
+    best = None
+    for power in POWERS:
+        index.power = power
+        vote, top = index.votes(found, cosine)
+        vote = np.clip(vote, 1e-6, 1 - 1e-6)
+        x = np.stack([np.log(vote / (1 - vote)), top, np.ones(len(top))], axis=1)
+        beta = np.array([1.0, 0.0, 0.0])
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            hessian = (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + prior
+            beta = beta - np.clip(np.linalg.solve(hessian, x.T @ (w * (p - y)) + prior @ (beta - [1.0, 0.0, 0.0])), -1, 1)
+        z = np.clip(x @ beta, -30, 30)
+        loss = float((w * (np.logaddexp(0, z) - y * z)).sum())
+        if best is None or loss < best[0]:
+            best = (loss, power, tuple(float(b) for b in beta))
+    _, index.power, index.slope = best
 
 
 def _scored(index: Index | None, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

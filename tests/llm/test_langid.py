@@ -42,6 +42,41 @@ def test_languages(spark):
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_texts_without_blanks(spark):
+    """Characters of scripts without blanks are words of their own, so spans inside such a text are found."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("ひらがなとかな", "ja"), ("漢字汉语文本", "zh"), ("the cat sat", "en")] * 5)]
+    model = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    text = "漢字汉语文本" * 3 + "ひらがなとかな" * 3 + " the cat"
+    (r,) = L.label(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, spans=True).collect()
+    assert [(s.lang, s.first, s.end) for s in r.spans] == [("zh", 0, 18), ("ja", 18, 39), ("en", 39, 41)] and r.lang_pred == "ja"
+
+
+def test_only_candidates_are_scored(spark):
+    """A language without the script never wins a word; the sample is bounded, and the same in any layout."""
+    rng = random.Random(4)
+    rows = [(i, text(rng, lang, 12), lang) for i, lang in enumerate(list(STEMS) * 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, again = L.learn(docs, 20), L.learn(docs.repartition(5).selectExpr("*", "1 as k", "2 as h", "3 as bound", "4 as n"), 20)
+    assert np.array_equal(model.table, again.table) and np.array_equal(model.uses, again.uses)
+    c = L.coded(L.pa.array(["the", "мир", "12"], L.pa.large_string()))
+    score = model.scores(c)
+    assert score[0].argmin() == 2 and score[1].argmax() == 2 and (score[1, :2] <= score[1, 2] - L.BARRED).all() and not score[2].any()
+
+
+def test_long_texts_ties_and_clashing_columns(spark):
+    rng = random.Random(3)
+    rows = [(i, text(rng, lang, 40), lang) for i, lang in enumerate(list(STEMS) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.learn(docs)
+    half = text(rng, "bb", 1)
+    long = " ".join(text(rng, lang, 20_000) for lang in ("cc", "bb", "cc"))
+    odd = spark.createDataFrame([(1, long), (None, long), (2, half), (2, half)], "doc_id long, text string").selectExpr("*", "1 as lang_pred", "2 as score", "3 as lang")
+    got = L.label(odd, model, spans=True).collect()
+    assert len(got) == 4 and {r.lang_pred for r in got if r.doc_id != 2} == {"cc"} and all(len(r.spans) == 3 for r in got if r.doc_id != 2)
+    same = L.Model(["aa", "bb"], np.zeros((L.CLASSES, 2), np.float32), np.ones((len(L.NAMES), 2), bool))
+    assert {r.lang_pred for r in L.label(odd, same).collect()} == {"aa"}  # ties go by name
+
+
 def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     model = L.learn(docs)
