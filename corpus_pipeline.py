@@ -56,9 +56,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@store.tidy
+def _written(spark: SparkSession, docs: DataFrame, sf_dir: str, name: str, stage) -> DataFrame:
+    return store.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+
+
+@store.tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages on documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = store.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = _written(spark, docs, sf_dir, name, stage)
     return STAGES[-1][1](spark, docs, sf_dir)
