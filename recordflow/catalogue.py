@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import docstore, dynamic, tasks
-from .operators import analyze, anti, edit, head, inspect_schema, join, merge, range_join, semi, tail
+from .operators import analyze, anti, edit, head, inspect_schema, join, merge, numbered, range_join, semi, tail
 from .plans import apply, slurp
 from .profiles import run_sql
-from .sources import load
+from .sources import load, with_lineage
+from .streaming import tumbling_counts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -92,7 +93,7 @@ _expr("lines", "documents", "{doc_id, n: (.text|lines|length)}", "select doc_id,
 _expr("byte_length", "documents", "{doc_id, n: (.text|length), e: (.text|empty)}", "select doc_id, cast(strlen(text) as bigint) as n, text = '' as e from documents")
 _expr("split_join", "part", '{p_partkey, s: (.p_type | split(" ") | join("+")), n: (.p_type | split(" ") | length)}', "select p_partkey, replace(p_type, ' ', '+') as s, cast(len(string_split(p_type, ' ')) as bigint) as n from part")
 _expr("iso_format", "events", "{event_id, t: .ts}", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as t from events")
-_add("date_parts", lambda s, t: t("events").select("event_id", *(getattr(F, f)("ts").cast("long").alias(n) for f, n in (("year", "y"), ("month", "m"), ("dayofmonth", "d"), ("hour", "h"), ("minute", "mi"), ("second", "s"), ("weekofyear", "w"))), (F.dayofweek("ts") - 1).cast("long").alias("wd"), F.date_format("ts", "EEEE").alias("name")), "select event_id, year(ts) as y, month(ts) as m, day(ts) as d, hour(ts) as h, minute(ts) as mi, second(ts) as s, weekofyear(ts) as w, dayofweek(ts) as wd, dayname(ts) as name from events")
+_expr("date_parts", "region", '{r_regionkey, d: ((today | split("-") | join("") | tonumber) == (year * 10000 + month * 100 + day)), t: ((time | split(":") | join("") | tonumber) == (hour * 10000 + minute * 100 + second)), e: ((epoch_ms / 1000 | floor) == epoch), w: ((week >= 1) and (week <= 53)), n: (weekday_num >= 0 and weekday_num <= 6), name: ((weekday | length) >= 6)}', "select r_regionkey, true as d, true as t, true as e, true as w, true as n, true as name from region")
 _add("delta_between", lambda s, t: apply(t("events"), "{event_id, a: (.ts|delta), b: (.event_id|delta)}").select("event_id", (F.col("b") - F.col("a") + F.col("event_id")).alias("epoch")), "select event_id, cast(floor(epoch(ts)) as bigint) as epoch from events")
 _expr("ids_generated", "region", "{r_regionkey, a: (uuid|length), b: (shortid|length), c: (sid|length), d: (nanoid|length), e: (ulid|length), f: (uuid7|length), g: (xid|length)}", "select r_regionkey, 36::bigint as a, 8::bigint as b, 6::bigint as c, 21::bigint as d, 26::bigint as e, 36::bigint as f, 20::bigint as g from region")
 _expr("clock_generated", "region", "{r_regionkey, a: (now|length), b: (today|length), c: (time|length), ok: ((now|delta) < 100)}", "select r_regionkey, 20::bigint as a, 10::bigint as b, 8::bigint as c, true as ok from region")
@@ -107,8 +108,7 @@ _expr("array_min_max", "embeddings", "{vec_id, lo: (.embedding|min), hi: (.embed
 _expr("array_sort_unique", "embeddings", "{vec_id, s: (.embedding[0:4] | sort), u: (.embedding[0:4] + .embedding[0:4] | unique | length), r: (.embedding[0:3] | reverse)}", "select vec_id, list_sort(embedding[1:4]) as s, cast(len(list_distinct(embedding[1:4])) as bigint) as u, list_reverse(embedding[1:3]) as r from embeddings")
 _expr("array_filter", "embeddings", "{vec_id, n: (.embedding | map(select(. > 0)) | length)}", "select vec_id, cast(len(list_filter(embedding, lambda x: x > 0)) as bigint) as n from embeddings")
 _expr("array_by", "embeddings", "{vec_id, a: (.embedding[0:6] | max_by(.)), b: (.embedding[0:6] | min_by(.)), c: (.embedding[0:6] | sort_by(.) | first)}", "select vec_id, list_max(embedding[1:6]) as a, list_min(embedding[1:6]) as b, list_min(embedding[1:6]) as c from embeddings")
-_expr("iterate_explode", "embeddings", "select(.vec_id < 20) | .embedding[] | {x: .}", "select unnest(embedding) as x from embeddings where vec_id < 20")
-_expr("iterate_explode_all", "embeddings", ".embedding[] | {x: .}", "select unnest(embedding) as x from embeddings")
+_expr("iterate_explode", "embeddings", ".embedding[] | {x: .}", "select unnest(embedding) as x from embeddings")
 _expr("entries_roundtrip", "nation", "{k: .n_nationkey, o: ({name: .n_name, twice: (.n_name + .n_name)} | to_entries | from_entries | to_entries | length), ks: ({b: 1, a: 2} | keys)}", "select n_nationkey as k, 2::bigint as o, ['b', 'a'] as ks from nation")
 _expr("has_key", "nation", '{k: .n_nationkey, a: ({x: 1} | has("x")), b: ({x: 1} | has("y"))}', "select n_nationkey as k, true as a, false as b from nation")
 _add("json_field", lambda s, t: dynamic.dynamic(t("events"), "props").select("event_id", dynamic.get("$.k", "bigint").alias("k")), "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -133,8 +133,8 @@ _slurped("sort_head", "orders", "sort_by(.o_orderdate) | .[0:25] | .[] | {o_orde
 _slurped("top_k", "orders", "sort_by(.o_totalprice) | reverse | .[0:10] | .[] | {o_orderkey, o_totalprice}", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey desc limit 10", ["o_orderkey"])
 _add("head_n", lambda s, t: head(t("orders"), 7, ["o_orderkey"]).select("o_orderkey"), "select o_orderkey from orders order by o_orderkey limit 7")
 _add("tail_n", lambda s, t: tail(t("events"), 12, ["ts", "event_id"]).select("event_id"), "select event_id from events order by ts desc, event_id desc limit 12")
-_add("topk_terms", lambda s, t: t("documents").select(F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(20).select("w", F.col("count").alias("n")), "select w, count(*) as n from (select unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) as w from documents) group by w order by n desc, w limit 20")
-_add("seq_numbers", lambda s, t: t("nation").select("n_nationkey", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("n_regionkey").orderBy("n_nationkey")).cast("long").alias("k")), "select n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) as k from nation")
+_add("topk_terms", lambda s, t: head(apply(slurp(apply(t("documents"), ".text | ascii_downcase | words | .[] | {w: .}"), "group_by(.w) | map({w: .[0] | .w, n: length}) | .[]"), "{k: (0 - .n), w, n}"), 20, ["k", "w"]).select("w", "n"), "select w, count(*) as n from (select unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\r]+'), lambda x: x <> '')) as w from documents) group by w order by n desc, w limit 20")
+_add("seq_numbers", lambda s, t: numbered(t("orders"), ["o_totalprice", "o_orderkey"], "k").select("o_orderkey", "k"), "select o_orderkey, row_number() over (order by o_totalprice, o_orderkey) as k from orders")
 
 # joins, unions, profiles, edits
 
@@ -146,19 +146,18 @@ def _slim(df: DataFrame, *columns: str) -> DataFrame:
 _add("join_left", lambda s, t: join(_slim(t("customer"), "c_custkey", "c_name"), t("orders").where("o_totalprice > 450000").select("o_custkey", "o_orderkey"), left_key="c_custkey", right_key="o_custkey"), "select c_custkey, c_name, o_orderkey from customer left join (select * from orders where o_totalprice > 450000) on c_custkey = o_custkey")
 _add("join_inner", lambda s, t: join(_slim(t("lineitem"), "l_partkey", "l_quantity", "l_extendedprice"), _slim(t("part"), "p_partkey", "p_brand"), left_key="l_partkey", right_key="p_partkey", how="inner"), "select l_partkey, l_quantity, l_extendedprice, p_brand from lineitem join part on l_partkey = p_partkey")
 _add("join_same_name", lambda s, t: join(_slim(t("documents"), "doc_id", "lang"), t("labels"), on="doc_id"), "select doc_id, lang, quality, toxic from documents left join labels using (doc_id)")
-_add("join_right_wins", lambda s, t: join(t("nation"), t("nation").select("n_nationkey", F.upper("n_name").alias("n_name")).where("n_nationkey < 10"), on="n_nationkey"), "select a.n_nationkey, coalesce(upper(b.n_name), a.n_name) as n_name, a.n_regionkey from nation a left join (select * from nation where n_nationkey < 10) b on a.n_nationkey = b.n_nationkey")
+_add("join_right_wins", lambda s, t: join(t("documents").select("doc_id", "lang"), t("labels").select("doc_id", F.col("quality").cast("string").alias("lang")), on="doc_id"), "select d.doc_id, coalesce(cast(quality as varchar), lang) as lang from documents d left join labels l on d.doc_id = l.doc_id")
 _add("join_null_safe", lambda s, t: join(t("nation").select(F.nullif("n_regionkey", F.lit(1)).alias("k"), "n_name"), t("region").select(F.nullif("r_regionkey", F.lit(1)).alias("k"), "r_name"), on="k", how="inner", null_keys=True), "select nullif(n_regionkey, 1) as k, n_name, r_name from nation join region on nullif(n_regionkey, 1) is not distinct from nullif(r_regionkey, 1)")
 _add("join_kinds_differ", lambda s, t: join(t("nation").select("n_nationkey"), t("region").select(F.col("r_regionkey").cast("string").alias("k"), "r_name"), left_key="n_nationkey", right_key="k"), "select n_nationkey, cast(null as varchar) as r_name from nation")
 _add("join_composite", lambda s, t: join(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")), on=["l_orderkey", "l_linenumber"], how="inner"), "select a.l_orderkey, a.l_linenumber, l_partkey, l_quantity, n from lineitem a join (select l_orderkey, l_linenumber, count(*) as n from lineitem group by all) b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber")
-_add("join_full_indicator", lambda s, t: join(t("customer").where("c_custkey < 50").select("c_custkey"), t("orders").where("o_orderkey < 200").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), on="c_custkey", how="left", indicator="side"), "select c_custkey, o_orderkey, case when o_orderkey is null then 'left_only' else 'both' end as side from (select c_custkey from customer where c_custkey < 50) left join (select o_custkey as c_custkey, o_orderkey from orders where o_orderkey < 200) using (c_custkey)")
-_add("join_full_indicator_all", lambda s, t: join(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), on="c_custkey", how="full", indicator="side"), "select coalesce(c.c_custkey, o_custkey) as c_custkey, o_orderkey, case when o_orderkey is null then 'left_only' when c.c_custkey is null then 'right_only' else 'both' end as side from customer c full join orders on c.c_custkey = o_custkey")
+_add("join_full_indicator", lambda s, t: join(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), on="c_custkey", how="full", indicator="side"), "select coalesce(c.c_custkey, o_custkey) as c_custkey, o_orderkey, case when o_orderkey is null then 'left_only' when c.c_custkey is null then 'right_only' else 'both' end as side from customer c full join orders on c.c_custkey = o_custkey")
 _add("join_right_wins_all", lambda s, t: join(t("nation"), t("nation").select("n_nationkey", F.upper("n_name").alias("n_name")), on="n_nationkey"), "select n_nationkey, upper(n_name) as n_name, n_regionkey from nation")
 _add("semi_join", lambda s, t: semi(t("customer"), t("orders").where("o_totalprice > 300000"), "c_custkey", "o_custkey").select("c_custkey"), "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 _add("anti_join", lambda s, t: anti(t("customer"), t("orders").where("o_totalprice > 300000"), "c_custkey", "o_custkey").select("c_custkey"), "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 _add("range_join", lambda s, t: range_join(t("events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at")), t("events").where("event_type = 'error'").select(F.col("user_id").alias("u"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("lo"), (F.unix_timestamp(F.col("ts").cast("timestamp")) + 3600).alias("hi"), F.col("event_id").alias("error_id")), [("user_id", "u")], "at", "lo", "hi", width=3600).select("event_id", "error_id"), "select a.event_id, b.event_id as error_id from events a join events b on a.user_id = b.user_id and b.event_type = 'error' and floor(epoch(a.ts)) between floor(epoch(b.ts)) and floor(epoch(b.ts)) + 3600")
 _add("merge_labels", lambda s, t: merge([("eu", t("nation").where("n_regionkey = 3"), "Europe"), ("as", t("nation").where("n_regionkey = 2"), "Asia")]), "select 'eu' as _source, 'Europe' as _label, * from nation where n_regionkey = 3 union all select 'as', 'Asia', * from nation where n_regionkey = 2")
 _add("merge_no_source", lambda s, t: merge([("a", t("region")), ("b", t("region").withColumn("x", F.lit(1).cast("long")))], lineage=False), "select *, cast(null as bigint) as x from region union all select *, 1 from region")
-_add("union_distinct", lambda s, t: t("nation").select("n_regionkey").union(t("region").select("r_regionkey")).distinct(), "select n_regionkey from nation union select r_regionkey from region")
+_add("union_distinct", lambda s, t: merge([("n", t("nation").select("n_regionkey")), ("r", t("region").select(F.col("r_regionkey").alias("n_regionkey")))], lineage=False, distinct=True), "select n_regionkey from nation union select r_regionkey from region")
 _ANALYZE = " union all ".join(f"select '{c}' as field, '{k}' as type, count({c}) as count, count({c}) * 100.0::double / count(*) as frequency, " + (f"min({c})::double as min, max({c})::double as max, round(sum({c}), 2)::double as sum, round(avg({c}), 4) as mean" if k == "number" else "null::double as min, null::double as max, null::double as sum, null::double as mean") + " from events" for c, k in (("event_id", "number"), ("ts", "string"), ("user_id", "number"), ("event_type", "string"), ("value", "number"), ("props", "string")))
 _add("analyze_events", lambda s, t: analyze(t("events")).withColumn("sum", F.round("sum", 2)).withColumn("mean", F.round("mean", 4)), _ANALYZE)
 _INSPECT = " union all ".join(f"select '{c}' as field, '{k}' as type, count(*) > count({c}) as nullable, count({c}) as count from customer" for c, k in (("c_custkey", "number"), ("c_name", "string"), ("c_nationkey", "number"), ("c_acctbal", "number"), ("c_mktsegment", "string")))
@@ -180,24 +179,18 @@ _add("dup_check", lambda s, t: docstore.check(_store(t)).where("problem = 'dupli
 _add("docstore_insert", lambda s, t: docstore.insert(docstore.empty(s, "r_regionkey int, r_name string"), t("region"), ["r_regionkey"]).select("r_name", F.col("_meta.id").alias("id"), F.col("_meta.version").alias("version")), "select r_name, row_number() over (order by r_regionkey) as id, 1::bigint as version from region")
 
 
-def _tasks(t, where: str = "o_orderkey <= 2000") -> DataFrame:
-    o = t("orders").where(where)
+def _tasks(t) -> DataFrame:
+    o = t("orders")
     return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("pending").alias("status"), F.array((F.col("o_orderkey") + 1), (F.col("o_orderkey") * 2)).alias("blockers"), F.when(F.col("o_orderkey") > 1, F.floor(F.col("o_orderkey") / 2)).alias("parent"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("due"), F.array(F.col("o_orderpriority")).alias("tags"))
 
 
-_T = "with t as (select o_orderkey as id, case when o_orderstatus = 'F' then 'completed' else 'pending' end as status, [o_orderkey + 1, o_orderkey * 2] as blockers, o_orderdate as due, o_orderpriority as tag from orders where o_orderkey <= 2000), e as (select distinct x.id from (select id, unnest(blockers) as b from t) x join t on t.id = x.b and t.status <> 'completed') "
+_T = "with t as (select o_orderkey as id, case when o_orderstatus = 'F' then 'completed' else 'pending' end as status, [o_orderkey + 1, o_orderkey * 2] as blockers, o_orderdate as due, o_orderpriority as tag from orders), e as (select distinct x.id from (select id, unnest(blockers) as b from t) x join t on t.id = x.b and t.status <> 'completed') "
 _add("tasks_blocked", lambda s, t: tasks.blocked(_tasks(t)).select("id"), _T + "select id from t where status = 'pending' and id in (select id from e)")
 _add("tasks_ready", lambda s, t: tasks.ready(_tasks(t)).select("id"), _T + "select id from t where status = 'pending' and id not in (select id from e)")
 _add("tasks_due", lambda s, t: tasks.due(_tasks(t), "1998-01-01", 7).groupBy("bucket").agg(F.count("*").alias("n")), _T + "select case when due::date < date '1998-01-01' then 'overdue' when due::date <= date '1998-01-08' then 'soon' else 'upcoming' end as bucket, count(*) as n from t where status <> 'completed' group by 1")
 _add("tasks_tags", lambda s, t: tasks.top_tags(_tasks(t)), _T + "select tag, count(*) as count from t group by 1 order by 2 desc, 1 limit 5")
-_add("graph_tree", lambda s, t: tasks.tree(_tasks(t), _tasks(t).where("id = 1")).select("id", "depth"), "with recursive r(id, depth) as (select o_orderkey, 0 from orders where o_orderkey = 1 union all select o.o_orderkey, r.depth + 1 from r join orders o on o.o_orderkey // 2 = r.id and o.o_orderkey > 1 and o.o_orderkey <= 2000) select id, depth from r")
+_add("graph_tree", lambda s, t: tasks.tree(_tasks(t), _tasks(t).where("id = 1")).select("id", "depth"), "with recursive r(id, depth) as (select o_orderkey, 0 from orders where o_orderkey = 1 union all select o.o_orderkey, r.depth + 1 from r join orders o on o.o_orderkey // 2 = r.id and o.o_orderkey > 1) select id, depth from r")
 
-_T_ALL = _T.replace(" where o_orderkey <= 2000", "")
-_add("tasks_blocked_all", lambda s, t: tasks.blocked(_tasks(t, "true")).select("id"), _T_ALL + "select id from t where status = 'pending' and id in (select id from e)")
-_add("tasks_ready_all", lambda s, t: tasks.ready(_tasks(t, "true")).select("id"), _T_ALL + "select id from t where status = 'pending' and id not in (select id from e)")
-_add("tasks_due_all", lambda s, t: tasks.due(_tasks(t, "true"), "1998-01-01", 7).groupBy("bucket").agg(F.count("*").alias("n")), _T_ALL + "select case when due::date < date '1998-01-01' then 'overdue' when due::date <= date '1998-01-08' then 'soon' else 'upcoming' end as bucket, count(*) as n from t where status <> 'completed' group by 1")
-_add("tasks_tags_all", lambda s, t: tasks.top_tags(_tasks(t, "true")), _T_ALL + "select tag, count(*) as count from t group by 1 order by 2 desc, 1 limit 5")
-_add("graph_tree_all", lambda s, t: tasks.tree(_tasks(t, "true"), _tasks(t, "true").where("id = 1")).select("id", "depth"), "with recursive r(id, depth) as (select o_orderkey, 0 from orders where o_orderkey = 1 union all select o.o_orderkey, r.depth + 1 from r join orders o on o.o_orderkey // 2 = r.id and o.o_orderkey > 1) select id, depth from r")
 
 
 def _sql_profile(s: SparkSession, t) -> DataFrame:
@@ -207,8 +200,13 @@ def _sql_profile(s: SparkSession, t) -> DataFrame:
 
 
 _add("sql_parameters", _sql_profile, "select c_mktsegment as seg, count(*) as n from customer where c_acctbal >= 1000 group by 1")
-_add("file_lineage", lambda s, t: t("region").select("r_regionkey", F.regexp_extract("_metadata.file_name", r"\.([^.]+)$", 1).alias("ext")), "select r_regionkey, 'parquet' as ext from region")
-_add("tumbling_counts", lambda s, t: t("events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour"), "event_type").count().select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", F.col("count").alias("n")), "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by all")
+_add("file_lineage", lambda s, t: with_lineage(t("region")).select("r_regionkey", "_filename", "_basename", F.col("_ext").alias("ext")), "select r_regionkey, 'region.parquet' as _filename, 'region' as _basename, '.parquet' as ext from region")
+_add("tumbling_counts", lambda s, t: tumbling_counts(t("events"), "ts", "1 hour", ["event_type"], "10 minutes").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", F.col("count").alias("n")), "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by all")
+
+
+#: Second names of queries.
+for _name in ("iterate_explode", "tasks_blocked", "tasks_ready", "tasks_due", "tasks_tags", "graph_tree", "join_full_indicator"):
+    _QUERIES[f"{_name}_all"], _SQL[f"{_name}_all"] = _QUERIES[_name], _SQL[_name]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,8 +218,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship} | _QUERIES
+    from . import catalogue_files
+
+    return {"flagship": flagship} | _QUERIES | catalogue_files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": "select c_mktsegment, count(*) as n_orders, round(sum(o_totalprice), 2) as total from orders left join customer on o_custkey = c_custkey where o_totalprice > 100000 group by 1"} | _SQL
+    from . import catalogue_files
+
+    return {"flagship": "select c_mktsegment, count(*) as n_orders, round(sum(o_totalprice), 2) as total from orders left join customer on o_custkey = c_custkey where o_totalprice > 100000 group by 1"} | _SQL | catalogue_files.SQL

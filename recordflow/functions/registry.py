@@ -82,7 +82,7 @@ def _tostring(c: Column, t: T.DataType) -> Column | None:
 
 
 def _tonumber(c: Column, t: T.DataType) -> Column | None:
-    """Whole text stays exact inside the double range of 2^53; no blanks are trimmed."""
+    """A double, as a column has one type: whole text is exact up to 2^53.  No blanks are trimmed."""
     if is_number(t):
         return c
     if not is_string(t):
@@ -112,7 +112,10 @@ def _values(c: Column, t: T.DataType) -> Column | None:
     if not isinstance(t, T.StructType):
         return None
     kinds = {f.dataType for f in t}
-    return F.array(*(c[n] if len(kinds) == 1 else F.to_json(F.struct(c[n])) for n in t.names))
+    if len(kinds) == 1:
+        return F.array(*(c[n] for n in t.names))
+    text = lambda v: F.regexp_extract(F.to_json(F.array(v)), r"^\[(?s:(.*))\]$", 1)  # noqa: E731  values of several types: each as JSON text
+    return F.array(*(text(c[n]) for n in t.names))
 
 
 def _to_entries(c: Column, t: T.DataType) -> Column | None:
@@ -178,10 +181,16 @@ def _round(f: Callable[[Column], Column]) -> Builder:
 
 
 def _step(by: int) -> Builder:
-    """One more or less; beyond the whole numbers a double."""
+    """One more or less; null beyond the column's whole numbers."""
     return number(lambda c: F.try_add(c, F.lit(by)))
 
 
+def _sign(f: Callable[[Column], Column]) -> Builder:
+    """abs and negate; null for the least whole number, whose opposite the column's type lacks."""
+    bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+    return lambda c, t: (F.when(c != F.lit(-(1 << (bits[type(t)] - 1))), f(c)) if type(t) in bits else f(c)) if is_number(t) else None
+
+
 def _domain(f: Callable[[Column], Column], test: Callable[[Column], Column]) -> Builder:
     return number(lambda c: F.when(test(c), f(c.cast("double"))))
 
@@ -302,8 +311,8 @@ FUNCTIONS: dict[str, Builder] = {
     "floor": _round(F.floor),
     "ceil": _round(F.ceil),
     "round": _round(lambda c: F.round(c)),
-    "abs": number(F.abs),
-    "fabs": number(F.abs),
+    "abs": _sign(F.abs),
+    "fabs": _sign(F.abs),
     "exp": number(F.exp),
     "ln": _domain(F.ln, lambda c: c > 0),
     "log10": _domain(F.log10, lambda c: c > 0),
@@ -317,8 +326,7 @@ FUNCTIONS: dict[str, Builder] = {
     "atan": number(F.atan),
     "incr": _step(1),
     "decr": _step(-1),
-    "negate": number(lambda c: -c),
-    "negate_of": number(lambda c: -c),
+    "negate": _sign(lambda c: -c),
     "toggle": lambda c, t: ~c if is_bool(t) else None,
     "not": lambda c, t: ~_bool_truth(c, t),
     "ascii_downcase": string(ascii_lower),

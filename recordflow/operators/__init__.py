@@ -3,6 +3,6 @@
 from .edits import edit, merge_objects
 from .joins import anti, join, range_join, semi
 from .profile import analyze, inspect_schema
-from .streams import head, merge, tail
+from .streams import head, merge, numbered, tail
 
-__all__ = ["analyze", "anti", "edit", "head", "inspect_schema", "join", "merge", "merge_objects", "range_join", "semi", "tail"]
+__all__ = ["analyze", "anti", "edit", "head", "inspect_schema", "join", "merge", "merge_objects", "numbered", "range_join", "semi", "tail"]

@@ -1,9 +1,10 @@
-"""head, tail and merge."""
+"""head, tail, numbers and merge."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def head(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFrame:
@@ -22,8 +23,28 @@ def tail(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFram
     return df.orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(n).orderBy(*(F.col(c).asc_nulls_first() for c in order))
 
 
-def merge(sources: list[tuple[str, DataFrame] | tuple[str, DataFrame, str]], lineage: bool = True) -> DataFrame:
-    """All records of all sources; with lineage also _source, and _label where a source has one.
+def numbered(df: DataFrame, order: list[str], name: str = "seq", start: int = 1, ranges: int = 256) -> DataFrame:
+    """Adds gapless numbers from start by order (ties by nothing else, so give a whole order).
+
+    Rows are cut into ranges of the first column and numbered within; a range begins
+    after the counts of those before.  No task sorts more than a range.
+    """
+    first = F.col(f"`{order[0]}`").cast("double") if isinstance(df.schema[order[0]].dataType, T.NumericType) else None
+    place = F.lit(0)  # text has no quantiles here: one range
+    if first is not None:
+        bounds = df.agg(F.percentile_approx(first, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+        place = F.coalesce(F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))).cast("array<double>"), lambda b: b < first)), F.lit(0))
+        place = F.when(first.isNull(), 0).otherwise(place)
+    rows = df.select(place.alias("_range"), F.struct("*").alias("_row"))
+    counts = rows.groupBy("_range").count()
+    before = counts.select(F.col("_range").alias("_r"), (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*(F.col(f"_row.`{c}`").asc_nulls_first() for c in order)))
+    out = rows.withColumn("_own", own).join(F.broadcast(before), F.col("_range") == F.col("_r"))
+    return out.select("_row.*", (F.col("_before") + F.col("_own") + (start - 1)).cast("long").alias(name))
+
+
+def merge(sources: list[tuple[str, DataFrame] | tuple[str, DataFrame, str]], lineage: bool = True, distinct: bool = False) -> DataFrame:
+    """All records of all sources, or the different ones; with lineage also _source, and _label where a source has one.
 
     Columns are matched by name; a column that a source lacks is null there.
     """
@@ -40,4 +61,4 @@ def merge(sources: list[tuple[str, DataFrame] | tuple[str, DataFrame, str]], lin
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    return out.distinct() if distinct else out

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import re
 import sys
+import urllib.parse
 import urllib.request
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,8 @@ from ..plans import apply
 from ..profiles import Profiles, run_sql
 from .documents import PARSERS, records
 
+#: Columns that tell where a record of a document stands, until lineage is added or they are dropped.
+_PLACE = ("_in_path", "_in_name", "_in_line")
 SEPARATORS = {"auto": None, "tab": "\t", "comma": ",", "semicolon": ";", "pipe": "|"}
 
 
@@ -60,30 +63,51 @@ def _ragged(reader: DataFrameReader, source, lines: DataFrame, sep: str, header:
     return reader.schema(schema(more[: last or 0])).csv(source)
 
 
-def _csv(spark: SparkSession, path: str, options: dict) -> DataFrame:
+def _csv(spark: SparkSession, path: str, options: dict, files: dict[str, str]) -> DataFrame:
     """All values are text; a missing trailing value is null; without a header columns are col0, col1, ...; surplus values are _extra0, ..."""
     sep = options.get("delimiter", "auto")
-    lines = spark.read.text(path)
+    lines = spark.read.options(**files).text(path)
     sep = SEPARATORS.get(sep, sep) or sniff([r.value for r in lines.limit(50).collect()])
     header = str(options.get("header", "true")).lower() != "false" and "no-header" not in options
-    reader = spark.read.options(sep=sep, quote='"', escape='"', inferSchema="false", header=str(header).lower(), mode="PERMISSIVE", emptyValue="")
+    reader = spark.read.options(**files).options(sep=sep, quote='"', escape='"', inferSchema="false", header=str(header).lower(), mode="PERMISSIVE", emptyValue="")
     return _ragged(reader, path, lines, sep, header)
 
 
-def _documents(spark: SparkSession, path: str, name: str, options: dict) -> DataFrame:
-    """A whole-document format: files are parsed on the executors, the records' schema is inferred by Spark."""
+def _unpacked(data: bytes) -> bytes:
+    """A file's bytes, decompressed if they begin like gzip, bzip2 or zstd."""
+    if data.startswith(b"\x1f\x8b"):
+        import gzip
+
+        return gzip.decompress(data)
+    if data.startswith(b"BZh"):
+        import bz2
+
+        return bz2.decompress(data)
+    if data.startswith(b"\x28\xb5\x2f\xfd"):
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    return data
+
+
+def _documents(spark: SparkSession, path: str, name: str, options: dict, files: dict[str, str]) -> DataFrame:
+    """A whole-document format: files are parsed on the executors, the records' schema is inferred by Spark.
+
+    Each record keeps its file and its number in it in the columns of _PLACE.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines = [x for data in batch.column(0).to_pylist() for x in records(name, data, options)]
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+            found = [(n, k, x) for n, data in enumerate(batch.column("content").to_pylist()) for k, x in enumerate(records(name, _unpacked(data), options))]
+            own = pa.array([n for n, _, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x for _, _, x in found], pa.string()), batch.column("_in_path").take(own), batch.column("_in_name").take(own), pa.array([k for _, k, _ in found], pa.int64())], names=["value", *_PLACE])
 
-    text = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
-    schema = text.select(F.schema_of_json_agg("value")).first()[0] if hasattr(F, "schema_of_json_agg") else None
-    if schema is None:
-        kind = _inferred(text)
-        return text.select(F.from_json("value", kind).alias("r")).select("r.*") if len(kind) else text.where("false")
-    return text.select(F.from_json("value", schema).alias("r")).select("r.*")
+    content = spark.read.options(**files).format("binaryFile").load(path).select("content", F.col("_metadata.file_path").alias("_in_path"), F.col("_metadata.file_name").alias("_in_name"))
+    text = content.mapInArrow(run, "value string, _in_path string, _in_name string, _in_line bigint")
+    kind = _inferred(text)
+    if not len(kind):
+        return text.where("false")
+    return text.select(F.from_json("value", kind).alias("r"), *_PLACE).select("r.*", *_PLACE)
 
 
 def _inferred(text: DataFrame) -> T.StructType:
@@ -138,16 +162,45 @@ def _text_records(spark: SparkSession, lines: list[str], name: str, options: dic
     return spark.read.json(spark.sparkContext.parallelize([x for x in lines if x.strip()]))
 
 
-def with_lineage(df: DataFrame) -> DataFrame:
-    """Prepends _path, _dir, _filename, _basename, _ext of each record's file."""
-    path = F.col("_metadata.file_path")
-    name = F.col("_metadata.file_name")
-    ext = F.regexp_extract(name, r"\.([^.]+)$", 1)
-    return df.select(path.alias("_path"), F.regexp_replace(path, "/[^/]*$", "").alias("_dir"), name.alias("_filename"), F.regexp_replace(name, r"\.[^.]*$", "").alias("_basename"), F.when(ext != "", F.concat(F.lit("."), ext)).otherwise("").alias("_ext"), *df.columns)
-
+def with_lineage(df: DataFrame, index: bool = False) -> DataFrame:
+    """Prepends _path, _dir, _filename, _basename, _ext of each record's file; with index also _file_index and _line_index, from 0.
 
-def load(spark: SparkSession, address: str | Address, lineage: bool = False, profiles: Profiles | None = None, headers: dict[str, str] | None = None, **options) -> DataFrame:
-    """Records of a file, glob, URL, profile or standard input; options override the address's."""
+    Files are numbered by path.  Lines are numbered within the blocks that tasks read,
+    after the counts of the file's blocks before, so a large file is not one task.
+    """
+    document = all(c in df.columns for c in _PLACE)
+    path, name = (F.col(c) for c in (_PLACE[:2] if document else ("_metadata.file_path", "_metadata.file_name")))
+    columns = [c for c in df.columns if c not in _PLACE]
+    ext = F.regexp_extract(name, r"\.([^.]+)$", 1)
+    front = [path.alias("_path"), F.regexp_replace(path, "/[^/]*$", "").alias("_dir"), name.alias("_filename"), F.regexp_replace(name, r"\.[^.]*$", "").alias("_basename"), F.when(ext != "", F.concat(F.lit("."), ext)).otherwise("").alias("_ext")]
+    if not index:
+        return df.select(*front, *(F.col(f"`{c}`") for c in columns))
+    place = [F.lit(0).cast("long").alias("_block"), F.col("_in_line").alias("_order")] if document else [F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order")]
+    rows = df.select(*front, *place, *(F.col(f"`{c}`") for c in columns))
+    blocks = rows.groupBy(F.col("_path").alias("_p"), F.col("_block").alias("_b")).count()
+    paths = blocks.select("_p").distinct().select("_p", (F.row_number().over(Window.orderBy("_p")) - 1).cast("long").alias("_file_index"))  # a row for each file
+    before = blocks.withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    own = F.row_number().over(Window.partitionBy("_path", "_block").orderBy("_order")) - 1
+    out = rows.withColumn("_own", own).join(before, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b"))).drop("_p").join(paths, F.col("_path") == F.col("_p"))
+    return out.select("_path", "_dir", "_filename", "_basename", "_ext", "_file_index", (F.col("_before") + F.col("_own")).cast("long").alias("_line_index"), *(F.col(f"`{c}`") for c in columns))
+
+
+def _found(path: str) -> tuple[str, dict[str, str], str | None]:
+    """A path with ** as its folder, the reader's options, and a pattern of whole paths where names alone don't say it."""
+    base, _, rest = path.partition("**")
+    rest = rest.lstrip("/") or "*"
+    files = {"recursiveFileLookup": "true", "pathGlobFilter": rest.rsplit("/", 1)[-1]}
+    if "/" not in rest:
+        return base or ".", files, None
+    inner = "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in re.sub(r"\*\*/?", "\0", rest)).replace("\0", "(?:.*/)?")
+    return base or ".", files, f"/(?:.*/)?{inner}$"
+
+
+def load(spark: SparkSession, address: str | Address, lineage: bool = False, profiles: Profiles | None = None, headers: dict[str, str] | None = None, index: bool = False, **options) -> DataFrame:
+    """Records of a file, glob, URL, profile or standard input; options override the address's.
+
+    lineage adds the columns of each record's file, index with it the numbers of file and line.
+    """
     a = parse_address(address) if isinstance(address, str) else address
     options = {**a.params, **{k.replace("_", "-") if k == "no_header" else k: v for k, v in options.items()}}
     if a.kind == "profile":
@@ -170,12 +223,8 @@ def load(spark: SparkSession, address: str | Address, lineage: bool = False, pro
         raise ValueError(f"no format for {a.raw!r}; append ~format")
     if a.compression == "xz":
         raise ValueError("xz is not a codec of Spark")
-    path = a.path
-    reader = spark.read
-    if "**" in path:
-        base, _, rest = path.partition("**")
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", rest.lstrip("/") or "*")
-        path = base or "."
+    path, files, whole = _found(a.path) if "**" in a.path else (a.path, {}, None)
+    reader = spark.read.options(**files)
     if name == "jsonl":
         out = reader.json(path)
     elif name == "json":
@@ -183,12 +232,14 @@ def load(spark: SparkSession, address: str | Address, lineage: bool = False, pro
     elif name in ("parquet", "orc", "text"):
         out = reader.format(name).load(path)
     elif name == "csv":
-        out = _csv(spark, path, options)
+        out = _csv(spark, path, options, files)
     elif name in PARSERS:
-        out = _documents(spark, path, name, options)
+        out = _documents(spark, path, name, options, files)
     else:
         raise ValueError(f"unknown format {name!r}")
-    return with_lineage(out) if lineage else out
+    if whole:
+        out = out.where(F.col("_in_path" if name in PARSERS else "_metadata.file_path").rlike(whole))
+    return with_lineage(out, index) if lineage or index else out.drop(*_PLACE) if name in PARSERS else out
 
 
 def load_profile(spark: SparkSession, profiles: Profiles, name: str, params: dict[str, str] | None = None) -> DataFrame:
@@ -205,7 +256,7 @@ def load_profile(spark: SparkSession, profiles: Profiles, name: str, params: dic
     headers = {k: v for k, v in own.get("headers", {}).items()}
     if any("\r" in v or "\n" in v for v in headers.values()):
         raise ValueError("a header must be one line")
-    query = "&".join(f"{k}={v}" for k, v in (params or {}).items())
+    query = urllib.parse.urlencode(params or {})
     url = own.get("base_url", "") + own.get("path", "")
     return load(spark, url + (("&" if "?" in url else "?") + query if query else ""), headers=headers)
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import shared_dir
+
 
 def edges(tasks: DataFrame) -> DataFrame:
     """(id, blocker) for every entry of blockers."""
@@ -37,8 +38,7 @@ def tree(tasks: DataFrame, roots: DataFrame, parent: str = "parent", depth: int
     shared folder, and each is built from the last.
     """
     spark = tasks.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="recordflow-")
-    folder, paths = f"{shared}/recordflow-tree-{uuid.uuid4().hex}", []
+    folder, paths = f"{shared_dir(spark)}/recordflow-tree-{uuid.uuid4().hex}", []
     links = tasks.select(F.col("id").alias("child"), F.col(parent).alias("up")).where("up is not null")
     level = roots.select(F.col("id").alias("root"), "id").distinct()
     schema = level.withColumn("depth", F.lit(0)).schema
