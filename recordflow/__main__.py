@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .operators import analyze, edit, head, inspect_schema, join, merge, tail
 from .plans import apply, slurp
@@ -32,6 +35,8 @@ def parser() -> argparse.ArgumentParser:
     c = add("filter", "address", "expression", help="records through an expression")
     c.add_argument("-s", "--slurp", action="store_true", help="the whole stream is one array")
     c.add_argument("--order", action="append", help="column of the stream's order")
+    c.add_argument("-r", "--raw", action="store_true", help="print text values without quotes")
+    c.add_argument("-e", "--exit-status", action="store_true", help="exit with 1 if nothing came, or the last value is false or null")
     for name in ("head", "tail"):
         c = add(name, "address", help=f"{name} of a stream")
         c.add_argument("-n", "--lines", type=int, default=10)
@@ -41,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--left-key")
     c.add_argument("--right-key")
     c.add_argument("--inner", action="store_true")
+    c.add_argument("--strict", action="store_true", help="a record without a key is an error")
     c = add("merge", help="all records of several addresses (path or path:label=NAME)")
     c.add_argument("sources", nargs="+")
     c.add_argument("--no-source", action="store_true")
@@ -68,7 +74,8 @@ def run(a: argparse.Namespace, spark) -> DataFrame:
     if a.command == "tail":
         return tail(read(a.address), a.lines, a.order)
     if a.command == "join":
-        return join(read(a.left), read(a.right), a.on, a.left_key, a.right_key, "inner" if a.inner else "left")
+        a.sides = {"left": (left := read(a.left), a.left_key or a.on), "right": (right := read(a.right), a.right_key or a.on)}
+        return join(left, right, a.on, a.left_key, a.right_key, "inner" if a.inner else "left", strict=a.strict)
     if a.command == "merge":
         parts = [s.partition(":label=") for s in a.sources]
         return merge([(p, read(p), *([label] if label else [])) for p, _, label in parts], lineage=not a.no_source)
@@ -87,10 +94,24 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "table":
         print(table_text(out, a.style))
     else:
-        for line in out.toJSON().toLocalIterator():
-            print(line)
+        last = None
+        plain = getattr(a, "raw", False) and out.columns == ["value"]
+        for line in _lines(out):
+            last = line
+            value = json.loads(line)
+            print(value["value"] if plain and isinstance(value.get("value"), str) else line)
+        if getattr(a, "exit_status", False) and (last is None or out.columns == ["value"] and json.loads(last).get("value") in (None, False)):
+            return 1
+    for side, (df, key) in getattr(a, "sides", {}).items():
+        if missing := df.where(F.col(f"`{key}`").isNull()).count():
+            print(f"{missing} records of the {side} side lack the key", file=sys.stderr)
     return 0
 
 
+def _lines(out: DataFrame) -> Iterator[str]:
+    """Records as JSON text, a partition at a time."""
+    return (r[0] for r in out.select(F.to_json(F.struct("*"))).toLocalIterator())
+
+
 if __name__ == "__main__":
     sys.exit(main())

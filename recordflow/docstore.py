@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import edit as apply_edits
+from .operators import numbered
+from .names import free_name
 from .plans.compiler import apply
 
 META = "struct<id: bigint, created_at: timestamp, updated_at: timestamp, deleted: boolean, deleted_at: timestamp, version: bigint>"
@@ -33,17 +35,17 @@ def visible(store: DataFrame, include_deleted: bool = False, only_deleted: bool
 
 
 def insert(store: DataFrame, new: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Adds records; ids follow the largest one, deleted records included; a _meta that comes along is dropped."""
+    """Adds records; ids follow the largest one by order (default: the first column), deleted records included; a _meta that comes along is dropped.
+
+    Ids have no gaps; ranges of the order are numbered each, so no task sorts all records.
+    """
     new = new.drop("_meta")
-    top = store.agg(F.coalesce(F.max(_id()), F.lit(0)).alias("_top"))
-    slot = Window.partitionBy("_slot").orderBy(*(order or new.columns[:1]))
-    slots = new.withColumn("_slot", F.pmod(F.xxhash64(*new.columns[:1]), F.lit(256))) if not order else new.withColumn("_slot", F.lit(0))
-    counts = slots.groupBy("_slot").count()
-    before = counts.select("_slot", (F.sum("count").over(Window.orderBy("_slot")) - F.col("count")).alias("_before"))  # 256 rows at most
-    numbered = slots.withColumn("_n", F.row_number().over(slot)).join(F.broadcast(before), "_slot").crossJoin(F.broadcast(top))
+    top = store.agg(F.max(_id())).first()[0] or 0
+    number = free_name("_id", new.columns)
+    made = numbered(new, order or new.columns[:1], number, start=top + 1)
     now = F.current_timestamp()
-    meta = F.struct((F.col("_top") + F.col("_before") + F.col("_n")).cast("long").alias("id"), now.alias("created_at"), now.alias("updated_at"), F.lit(False).alias("deleted"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(1).cast("long").alias("version"))
-    return store.unionByName(numbered.withColumn("_meta", meta).drop("_slot", "_before", "_n", "_top"), allowMissingColumns=True)
+    meta = F.struct(F.col(number).alias("id"), now.alias("created_at"), now.alias("updated_at"), F.lit(False).alias("deleted"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit(1).cast("long").alias("version"))
+    return store.unionByName(made.withColumn("_meta", meta).drop(number), allowMissingColumns=True)
 
 
 def get(store: DataFrame, record: int) -> DataFrame:
@@ -100,8 +102,9 @@ def check(store: DataFrame) -> DataFrame:
 
 def repair(store: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(store with one record for each id, the others): the earliest created one stays."""
-    ranked = store.withColumn("_n", F.row_number().over(Window.partitionBy(_id()).orderBy(F.col("_meta.created_at").asc_nulls_last(), "_meta.version")))
-    return ranked.where("_n = 1 or _meta.id is null").drop("_n"), ranked.where("_n > 1 and _meta.id is not null").drop("_n")
+    n = free_name("_n", store.columns)
+    ranked = store.withColumn(n, F.row_number().over(Window.partitionBy(_id()).orderBy(F.col("_meta.created_at").asc_nulls_last(), "_meta.version")))
+    return ranked.where(f"{n} = 1 or _meta.id is null").drop(n), ranked.where(f"{n} > 1 and _meta.id is not null").drop(n)
 
 
 def export_rows(store: DataFrame) -> DataFrame:

@@ -5,26 +5,47 @@ The strategy is Catalyst's and adaptive execution's: nothing here is broadcast b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..names import free_name
+
 
 def _family(t: T.DataType) -> str:
     return "number" if isinstance(t, T.NumericType) else "text" if isinstance(t, T.StringType) else t.typeName()
 
 
-def join(left: DataFrame, right: DataFrame, on: str | list[str] | None = None, left_key: str | list[str] | None = None, right_key: str | list[str] | None = None, how: str = "left", null_keys: bool = False, suffix: str | None = None, indicator: str | None = None) -> DataFrame:
+def _lacks(keys: list[str]) -> Column:
+    out = F.lit(False)
+    for k in keys:
+        out = out | F.col(f"`{k}`").isNull()
+    return out
+
+
+def _with_keys(df: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """df, with an error for a record that lacks a key."""
+    return df.where(F.when(_lacks(keys), F.raise_error(F.lit(f"a record of the {side} side lacks {', '.join(keys)}")).cast("boolean")).otherwise(True))
+
+
+def join(left: DataFrame, right: DataFrame, on: str | list[str] | None = None, left_key: str | list[str] | None = None, right_key: str | list[str] | None = None, how: str = "left", null_keys: bool = False, suffix: str | None = None, indicator: str | None = None, strict: bool = False, skipped: tuple[Observation, Observation] | None = None) -> DataFrame:
     """Left (default), inner, right, full, semi or anti join on keys of possibly different names.
 
     The right key columns are left out.  Where both sides have a column the right
     one wins, unless ``suffix`` keeps both.  Keys of different kinds (text and
-    number) never match.  ``null_keys``: null matches null.
+    number) never match.  ``null_keys``: null matches null.  Records without a key
+    find no partner: ``strict`` makes them an error when the job meets one, and
+    ``skipped`` (an Observation for each side) has their number as ``missing_keys``
+    when an action is done, with no pass of its own.
     """
     listed = lambda k: [k] if isinstance(k, str) else list(k or [])
     lk, rk = listed(left_key or on), listed(right_key or on)
     if not lk or len(lk) != len(rk):
         raise ValueError("give on, or as many left as right keys")
+    if strict:
+        left, right = _with_keys(left, lk, "left"), _with_keys(right, rk, "right")
+    if skipped:
+        left, right = (df.observe(o, F.count_if(_lacks(k)).alias("missing_keys"), F.count(F.lit(1)).alias("records")) for df, k, o in zip((left, right), (lk, rk), skipped, strict=True))
     l, r = left.alias("l"), right.alias("r")  # noqa: E741
     test: Column | None = None
     for a, b in zip(lk, rk, strict=True):
@@ -34,8 +55,9 @@ def join(left: DataFrame, right: DataFrame, on: str | list[str] | None = None, l
         test = own if test is None else test & own
     if how in ("semi", "anti"):
         return l.join(r, test, f"left_{how}")
+    here, there = free_name("_here", left.columns), free_name("_there", right.columns)
     if indicator:
-        l, r = left.withColumn("_here", F.lit(True)).alias("l"), right.withColumn("_there", F.lit(True)).alias("r")  # noqa: E741
+        l, r = left.withColumn(here, F.lit(True)).alias("l"), right.withColumn(there, F.lit(True)).alias("r")  # noqa: E741
     joined = l.join(r, test, how)
     extra = [c for c in right.columns if c not in rk]
     outer = how in ("right", "full", "outer")
@@ -50,7 +72,7 @@ def join(left: DataFrame, right: DataFrame, on: str | list[str] | None = None, l
             out.append(F.coalesce(F.col(f"r.`{c}`"), col).alias(c) if left.schema[c].dataType == right.schema[c].dataType else F.col(f"r.`{c}`").alias(c))
     out += [F.col(f"r.`{c}`").alias(c + suffix if suffix is not None and c in left.columns else c) for c in extra if suffix is not None or c not in left.columns]
     if indicator:
-        out.append(F.when(F.col("r._there").isNull(), "left_only").when(F.col("l._here").isNull(), "right_only").otherwise("both").alias(indicator))
+        out.append(F.when(F.col(f"r.{there}").isNull(), "left_only").when(F.col(f"l.{here}").isNull(), "right_only").otherwise("both").alias(indicator))
     return joined.select(*out)
 
 

@@ -40,7 +40,7 @@ def analyze(df: DataFrame, sample: int | None = None) -> DataFrame:
 
 
 def inspect_schema(df: DataFrame, sample: int = 100, samples: int = 3) -> DataFrame:
-    """field, type, nullable (a null was seen), count, and up to three sample values as text.
+    """field, type, nullable (a null was seen), count, and up to three sample values as text: one that was met, the least and the largest.
 
     sample: records looked at, 0 for all.
     """
@@ -51,14 +51,14 @@ def inspect_schema(df: DataFrame, sample: int = 100, samples: int = 3) -> DataFr
         text = c.cast("string") if isinstance(f.dataType, T.AtomicType) else F.to_json(c) if isinstance(f.dataType, T.StructType | T.ArrayType | T.MapType) else c.cast("string")
         aggs += [F.count(c).alias(f"c{i}"), F.count_if(c.isNull()).alias(f"n{i}")]
         lowest = F.min(text)
-        aggs += [lowest.alias(f"a{i}"), F.max(text).alias(f"b{i}")]
+        aggs += [lowest.alias(f"a{i}"), F.max(text).alias(f"b{i}"), F.first(text, ignorenulls=True).alias(f"f{i}")]
     rows = [
         F.struct(
             F.lit(f.name).alias("field"),
             F.lit(kind(f.dataType)).alias("type"),
             (F.col(f"n{i}") > 0).alias("nullable"),
             F.col(f"c{i}").alias("count"),
-            F.slice(F.array_distinct(F.transform(F.filter(F.array(f"a{i}", f"b{i}"), lambda x: x.isNotNull()), lambda x: F.substring(x, 1, 50))), 1, samples).alias("samples"),
+            F.slice(F.array_distinct(F.transform(F.filter(F.array(f"f{i}", f"a{i}", f"b{i}"), lambda x: x.isNotNull()), lambda x: F.substring(x, 1, 50))), 1, samples).alias("samples"),
         )
         for i, f in enumerate(src.schema)
     ]

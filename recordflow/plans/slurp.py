@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..expr import ExpressionError, parse
 from ..expr import tree as N
 from ..functions.registry import is_number, is_string, is_whole
+from ..names import free_name
 from .compiler import Compiler, Val, apply
 
 
@@ -122,8 +123,9 @@ def slurp(df: DataFrame, expression: str, order: list[str] | None = None) -> Dat
         key = c.compile(head.args[0], None).col
         if rest and _call(rest[0], "length"):
             return df.agg(F.count_distinct(key).alias("value"))
-        ranked = df.where(key.isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*(by or [F.lit(1)]))))
-        return _then(ranked.where("_n = 1").drop("_n"), _after_array(rest))
+        n = free_name("_n", df.columns)
+        ranked = df.where(key.isNotNull()).withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(*(by or [F.lit(1)]))))
+        return _then(ranked.where(f"{n} = 1").drop(n), _after_array(rest))
     if _call(head, "min_by", "max_by"):
         key = c.compile(head.args[0], None).col
         down = head.name == "max_by"

@@ -132,8 +132,23 @@ def table(data: bytes, options: dict) -> Iterator[dict]:
                 yield {n: cell(r[k]) if k < len(r) else None for k, n in enumerate(names)}
 
 
+def _as_dict(e: ElementTree.Element):
+    """An element as nested values: attributes with @, text beside others as #text, repeated children as a list; only text as text."""
+    out: dict = {f"@{k}": v for k, v in e.attrib.items()}
+    for c in e:
+        value = _as_dict(c)
+        if c.tag in out:
+            out[c.tag] = [*(out[c.tag] if isinstance(out[c.tag], list) else [out[c.tag]]), value]
+        else:
+            out[c.tag] = value
+    text = (e.text or "").strip()
+    if not out:
+        return text or None
+    return out | ({"#text": text} if text else {})
+
+
 def xml(data: bytes, options: dict) -> Iterator[dict]:
-    """flatten (default): a record for each element; tree: one nested record; coverage: lines of a Cobertura report."""
+    """flatten (default): a record for each element; tree: one nested record; xmltodict: one record by tags; coverage: lines of a Cobertura report."""
     root = ElementTree.fromstring(data)
     mode = options.get("mode", "flatten")
     if mode == "tree":
@@ -142,6 +157,8 @@ def xml(data: bytes, options: dict) -> Iterator[dict]:
             return {"tag": e.tag} | ({"attributes": dict(e.attrib)} if e.attrib else {}) | ({"text": e.text.strip()} if e.text and e.text.strip() else {}) | ({"children": [nested(c) for c in e]} if len(e) else {})
 
         yield nested(root)
+    elif mode == "xmltodict":
+        yield {root.tag: _as_dict(root)}
     elif mode == "coverage":
         for cls in root.iter("class"):
             for line in cls.iter("line"):

@@ -1,7 +1,11 @@
 """Source facts, and the command line's parts."""
 
-from recordflow.__main__ import parser, run
+import pytest
+from pyspark.sql import Observation
+
+from recordflow.__main__ import main, parser, run
 from recordflow.coverage import call_counts
+from recordflow.operators import join
 from recordflow.sources.code import dead, load_code, with_coverage
 
 TEXT = '''
@@ -39,3 +43,23 @@ def test_command_line(spark, tmp_path):
     assert len(go("merge", f"{at}:label=L", at)) == 6 and len(go("join", at, at, "--on", "k", "--inner")) == 5
     assert go("edit", at, ".x:=0", "--delete", ".k")[0] == {"x": 0}
     assert {r["field"] for r in go("analyze", at)} == {"x", "k"} == {r["field"] for r in go("inspect", at)}
+
+
+def test_raw_output_exit_status_and_skipped_keys(spark, tmp_path, capsys):
+    (tmp_path / "a.jsonl").write_text('{"k": "a", "on": true}\n{"k": "b\\"", "on": false}\n{"on": true}\n')
+    at = f"{tmp_path}/a.jsonl"
+    assert main(["filter", at, ".k", "-r"]) == 0
+    assert capsys.readouterr().out.splitlines()[:2] == ["a", 'b"']
+    assert main(["filter", at, ".on", "-e"]) == 0 and main(["filter", at, 'select(.k == "z")', "-e"]) == 1 and main(["filter", at, "select(.k) | .on", "-e"]) == 1
+    capsys.readouterr()
+    assert main(["join", at, at, "--on", "k"]) == 0
+    assert "1 records of the left side lack the key" in capsys.readouterr().err
+    with pytest.raises(Exception, match="lacks k"):
+        main(["join", at, at, "--on", "k", "--strict"])
+
+
+def test_skipped_keys_are_observed(spark):
+    a = spark.createDataFrame([(1, "a"), (None, "b")], "k long, v string")
+    seen = Observation(), Observation()
+    assert join(a, a.where("k = 1"), on="k", skipped=seen).count() == 2
+    assert seen[0].get == {"missing_keys": 1, "records": 2} and seen[1].get == {"missing_keys": 0, "records": 1}
