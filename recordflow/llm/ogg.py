@@ -98,11 +98,48 @@ class Stream:
             return struct.unpack_from("<I", head, 12)[0] or None
         return 48000 if head.startswith(b"OpusHead") else None
 
+    def lengths(self) -> list[int | None]:
+        """Granules of each packet, where its bytes tell: 8-bit samples and Opus frames; headers have none."""
+        head = self.packets[0] if self.packets else b""
+        if head.startswith(SAMPLES):
+            return [0, *map(len, self.packets[1:])]
+        if head.startswith(b"OpusHead"):
+            return [0, 0, *map(opus_samples, self.packets[2:])][: len(self.packets)]
+        return [None] * len(self.packets)
+
+    def ends(self) -> list[int | None]:
+        """Granule position at the end of each packet: the page's for its last one, the others counted back from the next, or on from the last."""
+        size = self.lengths()
+        out = [g if g >= 0 else None for g in self.granules]
+        for k in range(len(out) - 2, -1, -1):
+            if out[k] is None and out[k + 1] is not None and size[k + 1] is not None:
+                out[k] = out[k + 1] - size[k + 1]
+        for k in range(1, len(out)):
+            if out[k] is None and out[k - 1] is not None and size[k] is not None:
+                out[k] = out[k - 1] + size[k]
+        return out
+
     def times(self) -> list[float | None]:
-        """Seconds at the end of each packet; null where no granule position or rate is known."""
+        """Seconds at the end of each packet; null where no granule position, length or rate tells it."""
         rate = self.rate()
         skip = struct.unpack_from("<H", self.packets[0], 10)[0] if self.packets and self.packets[0].startswith(b"OpusHead") and len(self.packets[0]) >= 12 else 0
-        return [max(0, g - skip) / rate if rate and g >= 0 else None for g in self.granules]
+        return [max(0, g - skip) / rate if rate and g is not None else None for g in self.ends()]
+
+
+def opus_samples(packet: bytes) -> int | None:
+    """Samples at 48 kHz of an Opus packet, from its first byte (and the second, where frames are counted there)."""
+    if not packet:
+        return 0
+    config, code = packet[0] >> 3, packet[0] & 3
+    if config < 12:
+        frame = (480, 960, 1920, 2880)[config & 3]
+    elif config < 16:
+        frame = (480, 960)[config & 1]
+    else:
+        frame = (120, 240, 480, 960)[config & 3]
+    if code == 3 and len(packet) < 2:
+        return None
+    return frame * (packet[1] & 63 if code == 3 else min(code + 1, 2))
 
 
 @dataclass

@@ -149,10 +149,10 @@ def numbered(pieces: DataFrame) -> DataFrame:
     """
     total = pieces.count()
     buckets = max(256, -(-total // 1_000_000))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     counts = dealt.groupBy("length", "bucket").count()
     before = counts.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
     return dealt.withColumn("own", own).join(before, ["length", "bucket"]).withColumn("number", F.col("before") + F.col("own") - 1).drop("bucket", "before", "own")
 
 

@@ -11,11 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast, lit, pmod, xxhash64
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (local tests), a folder in the warehouse, which executors share as well."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/recordflow-checkpoints"
+from ..session import shared_dir
 
 
 #: Whether Spark deletes an execution's shuffle files when it ends.

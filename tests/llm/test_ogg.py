@@ -62,3 +62,22 @@ def test_packet_table(spark):
     rows = sorted(ogg.packet_table(df, "id", "media").collect())
     assert [(r.key, r.serial, r.packet) for r in rows] == [(5, 1, 0), (5, 1, 1), (5, 2, 0), (5, 2, 1)]
     assert rows[1].bytes == b"x" * 64 and rows[1].seconds == 64 / ogg.RATE
+
+
+def test_every_packet_has_a_time():
+    """Packets before the last of a page are timed by the samples they hold; Opus by its frames."""
+    payload = random.Random(4).randbytes(8192 * 20 + 64)
+    s = ogg.read(ogg.store(payload)).streams[1]
+    upto, want = 0, []
+    for p in s.packets[1:]:
+        upto += len(p)
+        want.append(upto / ogg.RATE)
+    assert s.times() == [0.0, *want] and s.granules.count(-1) > 5
+    head = b"OpusHead" + bytes([1, 1]) + (312).to_bytes(2, "little") + bytes(7)
+    packets = [(head, 0), (b"OpusTags", 0), (bytes([0b01100000, 1]), 480), (bytes([0b11111001, 2]), 2400), (bytes([0b00011011, 3, 3]), 11040)]
+    pages = ogg.write_stream(packets, 5)
+    s = ogg.read(b"".join(pages)).streams[5]
+    assert s.lengths() == [0, 0, 480, 1920, 8640] and s.ends()[2:] == [480, 2400, 11040]
+    assert s.times()[2:] == [(g - 312) / 48000 for g in (480, 2400, 11040)]
+    lone = ogg.read(b"".join(ogg.write_stream([(b"\x01vorbis" + bytes(30), 0), (b"a", 5), (b"b", 9)], 6))).streams[6]
+    assert lone.ends()[1:] == [None, 9]

@@ -78,3 +78,19 @@ def test_stages(spark, corpus):
     whole = P.run(spark, corpus).collect()
     key = lambda rs: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rs)
     assert key(whole) == key(packed)
+
+
+def test_nothing_and_odd_rows(spark, corpus, tmp_path):
+    """An empty table gives an empty one; nulls in every column, empty and repeated rows and clashing columns go through all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, sig string, spans string"
+    for name, rows in (("none", []), ("odd", [(None,) * 9, (None,) * 9, (1, "", *[None] * 7), (1, "", *["x"] * 2, 0, *["y"] * 4), (2, "some words here " * 3000, *[None] * 7), (3, "a b c d e f g", *[None] * 7), (4, "a b c d e f g", *[None] * 7)])):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+        spark.read.parquet(f"{corpus}/labels.parquet").where("doc_id > 4" if rows else "true").write.parquet(f"{path}/labels.parquet")
+        docs = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in P.STAGES[:-1]:
+            out = stage(spark, docs, path)
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+        assert docs.count() == (0 if not rows else 6 if docs.where("doc_id = 1").count() == 2 else 5)
+        assert {r.doc_id for r in P.run(spark, path).collect()} == ({None, 1, 2, 3} if rows else set())
