@@ -14,7 +14,7 @@ from . import coverage, docstore, sinks
 from .operators import join
 from .plans import apply
 from .session import shared_dir
-from .sources import load
+from .sources import container, load, table
 from .streaming import follow, run_available, running_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,32 @@ def _(spark, t, folder):
     return load(spark, f"{folder}/n.xml").where("tag = 'n_name'").select("tag", "text")
 
 
+@_query("file_xml_tree", _values("tag, name", "'user', 'ann'", "'user', 'bob'"))
+def _(spark, t, folder):
+    sinks.put(spark, f"{folder}/in.xml", b'<users><user id="1"><name>ann</name></user><user id="2"><name>bob</name></user></users>')
+    sinks.save(load(spark, f"{folder}/in.xml?mode=tree"), f"{folder}/out.xml?mode=tree")
+    return apply(load(spark, f"{folder}/out.xml?mode=tree"), ".children | .[] | {tag, name: .children[0].text}")
+
+
+@_query("file_xml_by_tag", _values("id, name", "'1', 'ann'"))
+def _(spark, t, folder):
+    sinks.put(spark, f"{folder}/in.xml", b'<user id="1"><name>ann</name></user>')
+    return load(spark, f"{folder}/in.xml?mode=xmltodict").selectExpr("user.`@id` as id", "user.name as name")
+
+
+@_query("table_container", _values('"table", kind, columns', "'listed_nation', 'view', 3::bigint", "'listed_region', 'view', 2"))
+def _(spark, t, folder):
+    for name in ("nation", "region"):
+        t(name).createOrReplaceTempView(f"listed_{name}")
+    return container(spark).where("table like 'listed\\\\_%'")
+
+
+@_query("table_records", "select r_name from region where r_regionkey > 0")
+def _(spark, t, folder):
+    t("region").createOrReplaceTempView("listed_region")
+    return apply(table(spark, "listed_region"), "select(.r_regionkey > 0) | {r_name}")
+
+
 @_query("file_csv_long_rows", _values("a, b, _extra0, _extra1", "'1', '2', null, null", "'5', '6', '7', null", "'8', null, null, null", "'9', '10', '11', '12'"))
 def _(spark, t, folder):
     sinks.put(spark, f"{folder}/x.csv", b"a,b\n1,2\n5,6,7\n8\n9,10,11,12\n")
@@ -216,6 +242,11 @@ def _(spark, t, folder):
     return docstore.repair(store)[0].select("first")
 
 
+@_query("docstore_reindex", "select n_name, row_number() over (order by n_nationkey) as id, case when n_nationkey < 2 then 1 else 2 end::bigint as version from nation where n_nationkey <> 2")
+def _(spark, t, folder):
+    return docstore.reindex(docstore.purge(docstore.delete(_store(spark, t), 3))).select("n_name", F.col("_meta.id").alias("id"), F.col("_meta.version").alias("version"))
+
+
 @_query("docstore_export", "select n_nationkey + 1::bigint as id, false as deleted, '{\"n_name\":\"' || n_name || '\"}' as data from nation")
 def _(spark, t, folder):
     return docstore.export_rows(_store(spark, t).drop("n_nationkey", "n_regionkey")).select("id", "deleted", "data")

@@ -107,6 +107,15 @@ def repair(store: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ranked.where(f"{n} = 1 or _meta.id is null").drop(n), ranked.where(f"{n} > 1 and _meta.id is not null").drop(n)
 
 
+def reindex(store: DataFrame) -> DataFrame:
+    """Ids from 1 without gaps, in order of the old ones; records without an id come first, in order of creation; versions go up where the id changes."""
+    keyed = store.withColumns({(old := free_name("_old", store.columns)): _id(), (at := free_name("_at", store.columns)): F.col("_meta.created_at")})
+    made = numbered(keyed, [old, at], new := free_name("_new", keyed.columns))
+    changed = ~F.col(old).eqNullSafe(F.col(new))
+    meta = F.col("_meta").withField("id", F.col(new)).withField("version", F.coalesce("_meta.version", F.lit(0)) + changed.cast("long"))
+    return made.withColumn("_meta", meta).drop(old, at, new)
+
+
 def export_rows(store: DataFrame) -> DataFrame:
     """id, created_at, updated_at, deleted, version, and the data as JSON text."""
     data = [c for c in store.columns if c != "_meta"]

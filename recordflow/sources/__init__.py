@@ -1,5 +1,6 @@
 """Readers."""
 
-from .load import load, load_profile, with_lineage
+from .load import inspect_profile, load, load_profile, with_lineage
+from .tables import container, table
 
-__all__ = ["load", "load_profile", "with_lineage"]
+__all__ = ["container", "inspect_profile", "load", "load_profile", "table", "with_lineage"]

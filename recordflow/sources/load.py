@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..address import Address, parse_address
+from ..operators import inspect_schema
 from ..plans import apply
 from ..profiles import Profiles, run_sql
 from .documents import PARSERS, records
@@ -261,6 +262,11 @@ def load_profile(spark: SparkSession, profiles: Profiles, name: str, params: dic
     return load(spark, url + (("&" if "?" in url else "?") + query if query else ""), headers=headers)
 
 
+def inspect_profile(spark: SparkSession, profiles: Profiles, name: str, params: dict[str, str] | None = None) -> DataFrame:
+    """field, type and the rest of inspect_schema() for a profile's records, with the profile's name first."""
+    return inspect_schema(load_profile(spark, profiles, name, params)).select(F.lit(name).alias("profile"), "*")
+
+
 def shell(spark: SparkSession, command: list[str]) -> DataFrame:
     """A command's output lines as (line, text); runs on the driver."""
     import subprocess
@@ -270,4 +276,4 @@ def shell(spark: SparkSession, command: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "line long, text string")
 
 
-__all__ = ["load", "load_profile", "shell", "sniff", "with_lineage"]
+__all__ = ["inspect_profile", "load", "load_profile", "shell", "sniff", "with_lineage"]

@@ -1,5 +1,6 @@
 """The same operators on streams."""
 
-from .streams import follow, running_counts, run_available, tumbling_counts, with_table
+from .streams import follow, run_available, running_counts, tumbling_counts, with_table
+from .watch import register as register_watch
 
-__all__ = ["follow", "run_available", "running_counts", "tumbling_counts", "with_table"]
+__all__ = ["follow", "run_available", "register_watch", "running_counts", "tumbling_counts", "with_table"]
