@@ -28,6 +28,8 @@ from . import words as W
 
 #: Longest word, in bytes, that goes into the array trie; longer ones are walked alone.
 LONGEST_WORD = 40
+#: Bytes of text whose distinct words are encoded at once.
+SLICE = 4 << 20
 
 #: Classes of a plain text's bytes: white space, letter (bytes from 0x80 on stand in letters of two bytes), digit,
 #: other visible; ODD sends the text to the library's normaliser and classes.
@@ -377,7 +379,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=SLICE):
                 ids, at = encode_batch(bpe, W.texts(part))
                 decoded = decode_batch(bpe, ids, at)
                 raw = memoryview(ids.astype("<u4").tobytes())

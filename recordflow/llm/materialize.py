@@ -64,7 +64,7 @@ def sequences(docs: DataFrame, path: str, length: int, separator: int, pad: int)
             raise ValueError("ids need more than 16 bits")
         now, following = -1, 0
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=B.SLICE):
                 ids, at = B.encode_batch(bpe, W.texts(part))
                 many = np.diff(at) + 1
                 pieces = -(-many // length)

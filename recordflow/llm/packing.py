@@ -120,7 +120,7 @@ def piece_table(docs: DataFrame, path: str, capacity: int, separator: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = B.load(path)
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=B.SLICE):
                 ids, at = B.encode_batch(bpe, W.texts(part))
                 many = np.diff(at) + 1
                 own = np.full(len(ids) + len(many), separator, "<u4")

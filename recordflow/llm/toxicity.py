@@ -40,6 +40,8 @@ NEIGHBOURS = 32
 POWERS = (1.0, 2.0, 4.0, 8.0)
 #: Examples of a block, queries handled at once, and blocks that every query visits first.
 BLOCK, QUERIES, FIRST = 64, 256, 4
+#: Bytes of text handled at once.
+SLICE = 2 << 20
 #: A list is long if it has more than this share of the examples (and BLOCK of them).
 LONG = 1 / 32
 
@@ -181,7 +183,7 @@ def _example_terms(docs: DataFrame, sample: DataFrame) -> list:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=SLICE):
                 doc, term, count = bags(W.texts(part))
                 cuts = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
                 found = [(term[a:b].tobytes(), count[a:b].astype("<u4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -199,7 +201,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
         wanted = shared.value
         total = np.zeros(len(wanted) + 1, np.int64)
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=SLICE):
                 total[:-1] += np.bincount(bags(W.texts(part), wanted)[1], minlength=len(wanted))
                 total[-1] += part.num_rows
         return total
@@ -300,7 +302,7 @@ def score(docs: DataFrame, index: Index | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=SLICE):
                 s, found, cosine = _scored(shared.value, W.texts(part))
                 keep = found >= 0
                 offsets = pa.array(np.concatenate(([0], np.cumsum(keep.sum(axis=1)))), pa.int32())
@@ -319,7 +321,7 @@ def keep_clean(docs: DataFrame, index: Index | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, most=SLICE):
                 yield part.filter(pa.array(_scored(shared.value, W.texts(part))[0] < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

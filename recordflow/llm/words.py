@@ -6,6 +6,7 @@ with the corpus.  A word is a maximal run of bytes outside space and \\t..\\r.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,21 @@ SLICE_BYTES = 8 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows with about SLICE_BYTES of text each."""
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _give_back() -> None:
+    """Returns the memory that Arrow and the C library hold but don't use."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of rows with about SLICE_BYTES of text each (or most); free memory goes back after each.
+
+    Workers are used again by other operators, so what one keeps is not there for the next.
+    """
     n = batch.num_rows
     if n == 0:
         return
@@ -29,9 +43,10 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     start = 0
     while start < n:
         before = int(upto[start - 1]) if start else 0
-        end = int(np.searchsorted(upto, before + SLICE_BYTES, side="right"))
+        end = int(np.searchsorted(upto, before + (most or SLICE_BYTES), side="right"))
         end = min(n, max(end, start + 1))
         yield batch.slice(start, end - start)
+        _give_back()
         start = end
 
 
