@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,18 +23,30 @@ def tail(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFram
     return df.orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(n).orderBy(*(F.col(c).asc_nulls_first() for c in order))
 
 
+def _measure(df: DataFrame, name: str) -> Column | None:
+    """A double that grows with a column's order: its value, its time, or the first six bytes of text."""
+    c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, T.NumericType):
+        return c.cast("double")
+    if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return None
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "seq", start: int = 1, ranges: int = 256) -> DataFrame:
     """Adds gapless numbers from start by order (ties by nothing else, so give a whole order).
 
     Rows are cut into ranges of the first column and numbered within; a range begins
-    after the counts of those before.  No task sorts more than a range.
+    after the counts of those before.  No task sorts more than a range, but for columns
+    that are neither numbers, times nor text, which are one.
     """
-    first = F.col(f"`{order[0]}`").cast("double") if isinstance(df.schema[order[0]].dataType, T.NumericType) else None
-    place = F.lit(0)  # text has no quantiles here: one range
+    first, place = _measure(df, order[0]), F.lit(0)
     if first is not None:
         bounds = df.agg(F.percentile_approx(first, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
-        place = F.coalesce(F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))).cast("array<double>"), lambda b: b < first)), F.lit(0))
-        place = F.when(first.isNull(), 0).otherwise(place)
+        below = F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))).cast("array<double>"), lambda b: b < first))
+        place = F.when(first.isNull(), 0).otherwise(F.coalesce(below, F.lit(0)))
     rows = df.select(place.alias("_range"), F.struct("*").alias("_row"))
     counts = rows.groupBy("_range").count()
     before = counts.select(F.col("_range").alias("_r"), (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))  # a row for each range

@@ -48,6 +48,10 @@ def test_numbered(spark):
     assert key == sorted(key) and got[0]._range is not None
     assert [r.n for r in numbered(df, ["v"], "n").orderBy("v").limit(3).collect()] == [1, 2, 3]
     assert numbered(df.limit(0), ["k"]).count() == 0
+    text = spark.range(3000).selectExpr("concat(char(97 + id % 26), if(id % 7 = 0, 'é', 'zz'), id) as v", "timestamp_seconds(id * 977 % 3001) as at")
+    for c in ("v", "at"):
+        got = [getattr(r, c) for r in numbered(text, [c], "n").orderBy("n").collect()]
+        assert got == [getattr(r, c) for r in text.orderBy(c).collect()]
 
 
 def test_limits(spark):
