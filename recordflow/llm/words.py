@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text bytes handled at once inside a Python worker.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
