@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from . import langid, oracles, toxicity
 from .bpe import encode_documents
 from .jaccard import jaccard_components
+from .lines import drop_repeated_lines
 from .materialize import materialize
 from .ogg import media_features
 from .packing import pack_documents
+from .resample import resample
 from .secretscan import secret_spans
+from .spelling import spelling_variants
 from .substring import dedup_substrings
 from .winnow import compare_fingerprints
 
@@ -87,6 +90,19 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_fingerprints(_documents(spark, sf_dir), k=5, w=16)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_documents(spark, sf_dir), least_chars=5, least_count=3, ratio=2, every=97)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=25, longest=2, buckets=10_000, least_words=20, seed=7)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(_documents(spark, sf_dir), least_chars=40, least_docs=5)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
