@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def head(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFrame:
@@ -23,34 +22,45 @@ def tail(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFram
     return df.orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(n).orderBy(*(F.col(c).asc_nulls_first() for c in order))
 
 
-def _measure(df: DataFrame, name: str) -> Column | None:
-    """A double that grows with a column's order: its value, its time, or the first six bytes of text."""
-    c, kind = F.col(f"`{name}`"), df.schema[name].dataType
-    if isinstance(kind, T.NumericType):
-        return c.cast("double")
-    if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return None
+#: Rows of a range about, ranges at most, and rows looked at for each bound.
+RANGE_ROWS, RANGES, SAMPLES = 50_000, 1024, 20
 
+_SPAN = 1 << 40
 
-def numbered(df: DataFrame, order: list[str], name: str = "seq", start: int = 1, ranges: int = 256) -> DataFrame:
-    """Adds gapless numbers from start by order (ties by nothing else, so give a whole order).
 
-    Rows are cut into ranges of the first column and numbered within; a range begins
-    after the counts of those before.  No task sorts more than a range, but for columns
-    that are neither numbers, times nor text, which are one.
+def _cuts(df: DataFrame, key: Column, ranges: int) -> list[Column]:
+    """Keys that cut df into ranges of about equal size, from a sample by hash that has at most about SAMPLES rows for each."""
+    total = df.count()
+    n = min(ranges, total // RANGE_ROWS)
+    if n < 2:
+        return []
+    share = min(_SPAN, int(n * SAMPLES / total * _SPAN))
+    seen = df.select(key.alias("k")).where(F.pmod("k.h", F.lit(_SPAN)) < share).distinct().orderBy("k").select("k.*")
+    kinds, rows = seen.schema, seen.collect()
+    picked = dict.fromkeys(rows[i * len(rows) // n] for i in range(1, n)) if rows else {}
+    return [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, kinds, strict=True))) for r in picked]
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "seq", start: int = 1, ranges: int = RANGES) -> DataFrame:
+    """Adds gapless numbers from start by order; rows equal in it are ordered by a hash of the whole row.
+
+    Rows are cut into ranges of all order columns and that hash, so neither texts with a
+    common beginning nor a value that most rows share gather in one range; only rows
+    that are equal in every column stay together.  Numbers are given within a range, which begins
+    after the counts of those before.  nulls come first.
     """
-    first, place = _measure(df, order[0]), F.lit(0)
-    if first is not None:
-        bounds = df.agg(F.percentile_approx(first, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
-        below = F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))).cast("array<double>"), lambda b: b < first))
-        place = F.when(first.isNull(), 0).otherwise(F.coalesce(below, F.lit(0)))
-    rows = df.select(place.alias("_range"), F.struct("*").alias("_row"))
+    hashed = [f"`{f.name}`" for f in df.schema if "map<" not in f.dataType.simpleString()]
+    key = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)), F.xxhash64(*hashed).alias("h"))
+    cuts = _cuts(df, key, ranges)
+    rows = df.select(key.alias("_key"), F.struct("*").alias("_row"))
+    place = F.lit(0)
+    if cuts:  # how many bounds are below the key, by halving
+        known, steps = F.array(*cuts), F.array(*(F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)))
+        place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(known, at + step - 1) < F.col("_key"), F.lit(False)), at + step).otherwise(at))
+    rows = rows.withColumn("_range", place)
     counts = rows.groupBy("_range").count()
     before = counts.select(F.col("_range").alias("_r"), (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))  # a row for each range
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*(F.col(f"_row.`{c}`").asc_nulls_first() for c in order)))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*(F.col(f"_key.c{i}").asc_nulls_first() for i in range(len(order))), "_key.h"))
     out = rows.withColumn("_own", own).join(F.broadcast(before), F.col("_range") == F.col("_r"))
     return out.select("_row.*", (F.col("_before") + F.col("_own") + (start - 1)).cast("long").alias(name))
 
