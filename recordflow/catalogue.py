@@ -129,6 +129,24 @@ _slurped("slurp_map", "orders", "map(select(.o_totalprice > 400000)) | .[] | {o_
 _slurped("unique_by_first", "events", "unique_by(.user_id) | .[] | {user_id, event_id}", "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts, event_id) as k from events) where k = 1", ["ts", "event_id"])
 _slurped("min_by_row", "events", "min_by(.value) | {event_id, value}", "select event_id, value from events order by value, ts, event_id limit 1", ["ts", "event_id"])
 _slurped("max_by_row", "events", "max_by(.value) | {event_id, value}", "select event_id, value from events order by value desc, ts, event_id limit 1", ["ts", "event_id"])
+_slurped("slurp_last", "events", "last | {event_id, user_id}", "select event_id, user_id from events order by ts desc, event_id desc limit 1", ["ts", "event_id"])
+_slurped("slurp_reverse_slice", "events", "reverse | .[5:25] | .[] | {event_id}", "select event_id from events order by ts desc, event_id desc limit 20 offset 5", ["ts", "event_id"])
+_slurped("slurp_tail_slice", "orders", ".[-12:] | map(.o_orderkey)", "select o_orderkey as k from orders order by o_orderkey desc limit 12", ["o_orderkey"], rename="k")
+_slurped("slurp_sort_slice", "orders", "map(.o_totalprice) | sort | .[0:15]", "select o_totalprice as p from orders order by o_totalprice limit 15", rename="p")
+_slurped("slurp_unique_length", "lineitem", "map(.l_suppkey) | unique | length", "select count(distinct l_suppkey) as n from lineitem", rename="n")
+_slurped("slurp_unique", "customer", "map(.c_mktsegment) | unique", "select distinct c_mktsegment as s from customer", rename="s")
+_slurped("slurp_collect_length", "lineitem", "[.[] | select(.l_quantity > 25) | .l_orderkey] | length", "select count(*) as n from lineitem where l_quantity > 25", rename="n")
+_slurped("slurp_mean", "lineitem", "(map(.l_linenumber) | add) / length | . * 1000 | round", "select cast(round(sum(l_linenumber) / count(*) * 1000) as bigint) as m from lineitem", rename="m")
+_slurped("slurp_object_of_slices", "orders", "{n: length, top: (sort_by(.o_totalprice) | reverse | .[0:3] | map(.o_orderkey)), first: (first | .o_orderkey), dear: (map(select(.o_totalprice > 300000)) | length)}", "select (select count(*) from orders) as n, (select list(o_orderkey order by o_totalprice desc, o_orderkey desc) from (select * from orders order by o_totalprice desc, o_orderkey desc limit 3)) as top, (select min(o_orderkey) from orders) as first, (select count(*) from orders where o_totalprice > 300000) as dear", ["o_orderkey"])
+_slurped("group_top_k", "orders", "group_by(.o_custkey) | map(sort_by(.o_totalprice) | reverse | .[0:3]) | flatten | .[] | {o_custkey, o_orderkey}", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey desc) as k from orders) where k <= 3", ["o_orderkey"])
+_slurped("group_first_row", "events", "group_by(.user_id) | map(sort_by(.value) | .[0]) | .[] | {user_id, event_id}", "select user_id, event_id from (select *, row_number() over (partition by user_id order by value, ts, event_id) as k from events) where k = 1", ["ts", "event_id"])
+_slurped("group_second_row", "events", "group_by(.user_id) | map(.[1]) | .[] | {user_id, event_id}", "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts, event_id) as k from events) where k = 2", ["ts", "event_id"])
+_slurped("group_last_value", "events", "group_by(.user_id) | map({u: .[0] | .user_id, kind: last | .event_type}) | .[]", "select user_id as u, last(event_type order by ts, event_id) as kind from events group by user_id", ["ts", "event_id"])
+_slurped("group_having", "orders", "group_by(.o_custkey) | map(select(length > 12)) | map({c: .[0] | .o_custkey, n: length}) | .[]", "select o_custkey as c, count(*) as n from orders group by o_custkey having count(*) > 12")
+_slurped("group_filtered_counts", "events", "group_by(.user_id) | map({u: .[0] | .user_id, errors: (map(select(.event_type == \"error\")) | length)}) | .[]", "select user_id as u, count(*) filter (event_type = 'error') as errors from events group by user_id")
+_slurped("group_by_size", "orders", "group_by(.o_custkey) | sort_by(length) | reverse | .[0:2] | map({c: .[0] | .o_custkey, n: length}) | .[]", "select o_custkey as c, count(*) as n from orders group by o_custkey order by n desc, c desc limit 2", ["o_orderkey"])
+_slurped("group_nested", "events", "group_by(.event_type) | map(group_by(.user_id) | map({t: .[0] | .event_type, u: .[0] | .user_id, n: length})) | flatten | .[]", "select event_type as t, user_id as u, count(*) as n from events group by 1, 2", ["event_id"])
+_slurped("group_lists", "nation", "group_by(.n_regionkey) | map(map(.n_nationkey))", "select list(n_nationkey order by n_name) as k from nation group by n_regionkey", ["n_name"], rename="k")
 _slurped("sort_head", "orders", "sort_by(.o_orderdate) | .[0:25] | .[] | {o_orderkey}", "select o_orderkey from orders order by o_orderdate, o_orderkey limit 25", ["o_orderkey"])
 _slurped("top_k", "orders", "sort_by(.o_totalprice) | reverse | .[0:10] | .[] | {o_orderkey, o_totalprice}", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey desc limit 10", ["o_orderkey"])
 _add("head_n", lambda s, t: head(t("orders"), 7, ["o_orderkey"]).select("o_orderkey"), "select o_orderkey from orders order by o_orderkey limit 7")
