@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import docstore, dynamic, tasks
-from .operators import analyze, anti, edit, head, inspect_schema, join, merge, numbered, range_join, semi, tail
+from .operators import analyze, anti, asof_join, edit, head, inspect_schema, join, merge, numbered, overlap_join, range_join, semi, tail, theta_join
 from .plans import apply, slurp
 from .profiles import run_sql
 from .sources import load, with_lineage
@@ -172,7 +172,25 @@ _add("join_full_indicator", lambda s, t: join(t("customer").select("c_custkey"),
 _add("join_right_wins_all", lambda s, t: join(t("nation"), t("nation").select("n_nationkey", F.upper("n_name").alias("n_name")), on="n_nationkey"), "select n_nationkey, upper(n_name) as n_name, n_regionkey from nation")
 _add("semi_join", lambda s, t: semi(t("customer"), t("orders").where("o_totalprice > 300000"), "c_custkey", "o_custkey").select("c_custkey"), "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
 _add("anti_join", lambda s, t: anti(t("customer"), t("orders").where("o_totalprice > 300000"), "c_custkey", "o_custkey").select("c_custkey"), "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
-_add("range_join", lambda s, t: range_join(t("events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at")), t("events").where("event_type = 'error'").select(F.col("user_id").alias("u"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("lo"), (F.unix_timestamp(F.col("ts").cast("timestamp")) + 3600).alias("hi"), F.col("event_id").alias("error_id")), [("user_id", "u")], "at", "lo", "hi", width=3600).select("event_id", "error_id"), "select a.event_id, b.event_id as error_id from events a join events b on a.user_id = b.user_id and b.event_type = 'error' and floor(epoch(a.ts)) between floor(epoch(b.ts)) and floor(epoch(b.ts)) + 3600")
+_KIND = lambda t, kind: t("events").where(f"event_type = '{kind}'")
+_ASOF = "select a.event_id, b.event_id as other, b.value as other_value from (select * from events where event_type = 'click') a asof {how} join (select * from events where event_type = 'error') b on a.user_id = b.user_id and a.ts {op} b.ts"
+
+
+def _asof(t, **options) -> DataFrame:
+    """Clicks with the error next to them of the same user."""
+    return asof_join(_KIND(t, "click"), _KIND(t, "error"), "ts", "ts", [("user_id", "user_id")], **options).select("event_id", F.col("event_id_right").alias("other"), F.col("value_right").alias("other_value"))
+
+
+_add("asof_backward", lambda s, t: _asof(t), _ASOF.format(how="left", op=">="))
+_add("asof_forward", lambda s, t: _asof(t, direction="forward"), _ASOF.format(how="left", op="<="))
+_add("asof_inner", lambda s, t: _asof(t, how="inner"), _ASOF.format(how="", op=">="))
+_add("asof_tolerance", lambda s, t: _asof(t, tolerance="2 hours"), "select event_id, case when near then other end as other, case when near then other_value end as other_value from (select a.event_id, b.event_id as other, b.value as other_value, b.ts >= a.ts - interval 2 hours as near from (select * from events where event_type = 'click') a asof left join (select * from events where event_type = 'error') b on a.user_id = b.user_id and a.ts >= b.ts)")
+_add("asof_one_key", lambda s, t: asof_join(t("events").where("event_type = 'view'"), _KIND(t, "error"), "ts", "ts").select("event_id", F.col("event_id_right").alias("other")), "select a.event_id, b.event_id as other from (select * from events where event_type = 'view') a asof left join (select * from events where event_type = 'error') b on a.ts >= b.ts")
+_add("asof_number", lambda s, t: asof_join(t("orders"), t("customer"), "o_totalprice", "c_acctbal", tolerance=5000.0).select("o_orderkey", "c_acctbal"), "select o_orderkey, case when c_acctbal >= o_totalprice - 5000 then c_acctbal end as c_acctbal from orders asof left join customer on o_totalprice >= c_acctbal")
+_add("interval_join_long", lambda s, t: range_join(t("orders").select("o_orderkey", "o_totalprice"), t("part").select("p_partkey", (F.col("p_retailprice") * 200).alias("lo"), (F.col("p_retailprice") * 200 + F.col("p_size") * F.col("p_size") / 20).alias("hi")), [], "o_totalprice", "lo", "hi").select("o_orderkey", "p_partkey"), "select o_orderkey, p_partkey from orders join part on o_totalprice between p_retailprice * 200 and p_retailprice * 200 + p_size * p_size / 20")
+_add("overlap_join", lambda s, t: overlap_join(t("events").where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("a0"), F.expr("ts + interval 1 hour").alias("a1")), _KIND(t, "error").select(F.col("event_id").alias("other"), F.col("user_id").alias("u"), F.expr("ts - interval 30 minutes").alias("b0"), F.expr("ts + interval 30 minutes").alias("b1")), ("a0", "a1"), ("b0", "b1"), [("user_id", "u")]).select("event_id", "other"), "select a.event_id, b.event_id as other from events a join events b on a.event_type = 'purchase' and b.event_type = 'error' and a.user_id = b.user_id and a.ts <= b.ts + interval 30 minutes and b.ts - interval 30 minutes <= a.ts + interval 1 hour")
+_add("theta_join", lambda s, t: theta_join(t("supplier"), t("customer"), "s_acctbal", "<", "c_acctbal", [("s_nationkey", "c_nationkey")]).select("s_suppkey", "c_custkey"), "select s_suppkey, c_custkey from supplier join customer on s_nationkey = c_nationkey and s_acctbal < c_acctbal")
+_add("range_join", lambda s, t: range_join(t("events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at")), t("events").where("event_type = 'error'").select(F.col("user_id").alias("u"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("lo"), (F.unix_timestamp(F.col("ts").cast("timestamp")) + 3600).alias("hi"), F.col("event_id").alias("error_id")), [("user_id", "u")], "at", "lo", "hi").select("event_id", "error_id"), "select a.event_id, b.event_id as error_id from events a join events b on a.user_id = b.user_id and b.event_type = 'error' and floor(epoch(a.ts)) between floor(epoch(b.ts)) and floor(epoch(b.ts)) + 3600")
 _add("merge_labels", lambda s, t: merge([("eu", t("nation").where("n_regionkey = 3"), "Europe"), ("as", t("nation").where("n_regionkey = 2"), "Asia")]), "select 'eu' as _source, 'Europe' as _label, * from nation where n_regionkey = 3 union all select 'as', 'Asia', * from nation where n_regionkey = 2")
 _add("merge_no_source", lambda s, t: merge([("a", t("region")), ("b", t("region").withColumn("x", F.lit(1).cast("long")))], lineage=False), "select *, cast(null as bigint) as x from region union all select *, 1 from region")
 _add("union_distinct", lambda s, t: merge([("n", t("nation").select("n_regionkey")), ("r", t("region").select(F.col("r_regionkey").alias("n_regionkey")))], lineage=False, distinct=True), "select n_regionkey from nation union select r_regionkey from region")

@@ -5,11 +5,12 @@ The strategy is Catalyst's and adaptive execution's: nothing here is broadcast b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..names import free_name
+from .ranges import cuts, place, row_hash
 
 
 def _family(t: T.DataType) -> str:
@@ -86,22 +87,139 @@ def anti(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> Da
     return join(left, right, left_key=left_key, right_key=right_key, how="anti")
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], value: str, start: str, end: str, width: float | None = None) -> DataFrame:
-    """Rows of left and right with equal keys and left.value within [right.start, right.end].
+#: Rows of a range of an as-of join about, and ranges at most.
+ASOF_ROWS, ASOF_RANGES = 50_000, 1024
 
-    ``width``: numeric values and bounds are cut into cells of that width and
-    cells are joined too, so one busy key spreads over many tasks.
+
+def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, keys: list[tuple[str, str]] = (), direction: str = "backward", tolerance: str | float | None = None, how: str = "left", suffix: str = "_right") -> DataFrame:
+    """Each row of left with the latest row of right that is not later (backward), or the earliest that is not earlier (forward).
+
+    keys are pairs of columns that must be equal.  tolerance: the greatest distance of the two times, a
+    number or an interval like "5 minutes".  Columns of right that left has get the suffix; inner leaves rows
+    without a partner out.  A row without a key or time has none.  Of rows of right with equal key and time one is taken, by hash.
+
+    Both sides are cut into common ranges of (key, time), so a key with most of the rows spreads over
+    many tasks; a range begins with the last row of right before it, one row for each range.
     """
-    inside = lambda a, b: a[value].between(b[start], b[end])
-    if width is None:
-        on = inside(left, right)
-        for a, b in keys:
-            on = on & (left[a] == right[b])
-        return left.join(right, on)
-    cell = lambda c: F.floor(c / width).cast("long")
-    a = left.withColumn("_cell", cell(F.col(value)))
-    b = right.where(F.col(start) <= F.col(end)).withColumn("_cell", F.explode(F.sequence(cell(F.col(start)), cell(F.col(end)))))
-    on = (a["_cell"] == b["_cell"]) & inside(a, b)
+    if direction not in ("backward", "forward"):
+        raise ValueError("direction is backward or forward")
+    back = direction == "backward"
+    taken = [c.lower() for c in left.columns]
+    names = {c: c + suffix if c.lower() in taken else c for c in right.columns}
+    lk, rk = [k for k, _ in keys], [k for _, k in keys]
+
+    def side(df: DataFrame, own: list[str], time: str, right_side: bool) -> DataFrame:
+        # in the order of time, or against it, a row of right comes before rows of left at the same time
+        rank = F.lit(int(right_side != back))
+        key = F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(own)), F.lit(0).alias("none"))
+        return df.select(key.alias("key"), F.col(f"`{time}`").alias("t"), rank.alias("side"), row_hash(df).alias("h"), F.struct("*").alias("r" if right_side else "l"))
+
+    whole = lambda own, time: ~_lacks([*own, time])
+    a, b = side(left.where(whole(lk, left_time)), lk, left_time, False), side(right.where(whole(rk, right_time)), rk, right_time, True)
+    both = a.unionByName(b, allowMissingColumns=True)
+    at = F.struct("key", "t", "side", "h")
+    bounds = cuts(both.select(at.alias("k"), "h"), ASOF_RANGES, ASOF_ROWS)
+    both = both.withColumn("range", place(at, bounds))
+    order = [F.col(c) if back else F.col(c).desc() for c in ("t", "side", "h")]
+    found = both.withColumn("m", F.last("r", ignorenulls=True).over(Window.partitionBy("range", "key").orderBy(*order)))
+    found = found.where("l is not null")
+    if bounds:
+        ends = both.groupBy("range").agg((F.max_by if back else F.min_by)(F.when(F.col("r").isNotNull(), F.struct("key", "r")), F.when(F.col("r").isNotNull(), at)).alias("end"))  # a row for each range
+        before = Window.orderBy(F.col("range") if back else F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(F.col("range").alias("to"), F.last("end", ignorenulls=True).over(before).alias("end"))
+        found = found.join(F.broadcast(carried), F.col("range") == F.col("to"), "left").withColumn("m", F.coalesce("m", F.when(F.col("end.key") == F.col("key"), F.col("end.r"))))
+    if tolerance is not None:
+        far = F.expr(f"interval {tolerance}") if isinstance(tolerance, str) else F.lit(tolerance)
+        other = F.col(f"m.`{right_time}`")
+        near = other >= F.col("t") - far if back else other <= F.col("t") + far
+        found = found.withColumn("m", F.when(near, F.col("m")))
+    shown = [F.col(f"m.`{c}`").alias(n) for c, n in names.items()]
+    if how == "inner":
+        return found.where("m is not null").select("l.*", *shown)
+    alone = left.where(_lacks([*lk, left_time])).select("*", *(F.lit(None).cast(right.schema[c].dataType).alias(n) for c, n in names.items()))
+    return found.select("l.*", *shown).unionAll(alone)
+
+
+#: Rows of a cell of an interval join about, and cells at most.
+CELL_ROWS, CELLS = 2_000, 4096
+
+
+def _covers(a: Column, b: Column, leaves: int) -> Column:
+    """Nodes of a binary tree over the cells that together cover cells a to b: two of each level at most."""
+    none = F.array().cast("array<int>")
+
+    def up(acc: Column, _: Column) -> Column:
+        low, high = acc["low"], acc["high"]
+        go = low < high
+        one, two = go & (low % 2 == 1), go & (high % 2 == 1)
+        nodes = F.concat(acc["nodes"], F.when(one, F.array(low)).otherwise(none), F.when(two, F.array(high - 1)).otherwise(none))
+        return F.struct(F.shiftright(F.when(one, low + 1).otherwise(low), 1).alias("low"), F.shiftright(F.when(two, high - 1).otherwise(high), 1).alias("high"), nodes.alias("nodes"))
+
+    begin = F.struct((a + leaves).cast("int").alias("low"), (b + leaves + 1).cast("int").alias("high"), none.alias("nodes"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(leaves.bit_length() - 1)), begin, up, lambda acc: acc["nodes"])
+
+
+def range_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], value: str, start: str | None, end: str | None, ends: str = "both") -> DataFrame:
+    """Rows of left and right with equal keys and left.value between right.start and right.end, those included.
+
+    start or end None: unbounded on that side.  ends: "both", or which of them counts as inside ("start", "end", "neither").
+    Values of both sides are cut into cells by quantiles; a binary tree over the cells covers each interval with at
+    most two nodes a level, however long it is, and a value stands in one node of each level in use.  An interval and
+    a value inside it meet in one node exactly.  A null never matches.
+    """
+    taken = [*left.columns, *right.columns]
+    node, way = free_name("_node", taken), free_name("_nodes", taken)
+    cols = [F.col(f"`{c}`") for c in (start, end) if c is not None]
+    there = F.lit(True)
+    for c in cols:
+        there = there & c.isNotNull()
+    if len(cols) == 2:
+        there = there & (cols[0] <= cols[1])
+    a, b = left.where(F.col(f"`{value}`").isNotNull()), right.where(there)
+    key = lambda c: F.struct(F.col(f"`{c}`").alias("v"))
+    seen = a.select(key(value).alias("k"), row_hash(a).alias("h"))
+    for c in (start, end):
+        if c is not None:
+            seen = seen.unionAll(b.select(key(c).alias("k"), row_hash(b).alias("h")))
+    kind = seen.schema["k"].dataType["v"].dataType
+    bounds = cuts(seen, CELLS, CELL_ROWS)
+    leaves = 1 << len(bounds).bit_length()
+    cell = lambda c: place(F.struct(F.col(f"`{c}`").cast(kind).alias("v")), bounds)
+    b = b.withColumn(way, _covers(F.lit(0) if start is None else cell(start), F.lit(leaves - 1) if end is None else cell(end), leaves))
+    b = b.withColumn(node, F.explode(way)).drop(way)
+    top = leaves.bit_length() - 1
+    used = [r[0] for r in b.select((top - F.floor(F.log2(F.col(node) + 0.5))).cast("int").alias("level")).distinct().collect()]  # a number for each level
+    leaf = (cell(value) + leaves).cast("int")
+    a = a.withColumn(node, F.explode(F.array(*(F.shiftright(leaf, h) for h in sorted(used))) if used else F.array().cast("array<int>")))
+    l, r = (lambda c: F.col(f"l.`{c}`")), (lambda c: F.col(f"r.`{c}`"))  # noqa: E731, E741
+    on = l(node) == r(node)
     for x, y in keys:
-        on = on & (a[x] == b[y])
-    return a.join(b, on).drop("_cell")
+        on = on & (l(x) == r(y))
+    if start is not None:
+        on = on & (l(value) >= r(start) if ends in ("both", "start") else l(value) > r(start))
+    if end is not None:
+        on = on & (l(value) <= r(end) if ends in ("both", "end") else l(value) < r(end))
+    return a.alias("l").join(b.alias("r"), on).drop(node)
+
+
+def theta_join(left: DataFrame, right: DataFrame, value: str, op: str, bound: str, keys: list[tuple[str, str]] = ()) -> DataFrame:
+    """Rows of left and right with equal keys and left.value <, <=, > or >= right.bound, through the cells of range_join."""
+    kinds = {"<": (None, bound, "start"), "<=": (None, bound, "both"), ">": (bound, None, "end"), ">=": (bound, None, "both")}
+    if op not in kinds:
+        raise ValueError("op is one of < <= > >=")
+    start, end, ends = kinds[op]
+    return range_join(left, right, list(keys), value, start, end, ends)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], keys: list[tuple[str, str]] = ()) -> DataFrame:
+    """Rows of left and right with equal keys whose intervals, ends included, have a common point.
+
+    Either left begins inside right, or right begins inside left after its beginning; no pair does both.
+    """
+    whole = lambda df, span: df.where(F.col(f"`{span[0]}`") <= F.col(f"`{span[1]}`"))
+    left, right = whole(left, left_span), whole(right, right_span)
+    names = [f"c{i}" for i in range(len(left.columns) + len(right.columns))]
+    one = range_join(left, right, list(keys), left_span[0], *right_span).toDF(*names)
+    two = range_join(right, left, [(y, x) for x, y in keys], right_span[0], *left_span, ends="end")
+    two = two.toDF(*names[len(left.columns) :], *names[: len(left.columns)]).select(*names)
+    return one.unionAll(two).toDF(*left.columns, *right.columns)

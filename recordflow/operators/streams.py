@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import cuts, place, row_hash
+
 
 def head(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFrame:
     """The first n records; with order a top-k, without it any n, as a stream of files has no order of its own."""
@@ -22,23 +24,8 @@ def tail(df: DataFrame, n: int = 10, order: list[str] | None = None) -> DataFram
     return df.orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(n).orderBy(*(F.col(c).asc_nulls_first() for c in order))
 
 
-#: Rows of a range about, ranges at most, and rows looked at for each bound.
-RANGE_ROWS, RANGES, SAMPLES = 50_000, 1024, 20
-
-_SPAN = 1 << 40
-
-
-def _cuts(df: DataFrame, key: Column, ranges: int) -> list[Column]:
-    """Keys that cut df into ranges of about equal size, from a sample by hash that has at most about SAMPLES rows for each."""
-    total = df.count()
-    n = min(ranges, total // RANGE_ROWS)
-    if n < 2:
-        return []
-    share = min(_SPAN, int(n * SAMPLES / total * _SPAN))
-    seen = df.select(key.alias("k")).where(F.pmod("k.h", F.lit(_SPAN)) < share).distinct().orderBy("k").select("k.*")
-    kinds, rows = seen.schema, seen.collect()
-    picked = dict.fromkeys(rows[i * len(rows) // n] for i in range(1, n)) if rows else {}
-    return [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, kinds, strict=True))) for r in picked]
+#: Rows of a range about, and ranges at most.
+RANGE_ROWS, RANGES = 50_000, 1024
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "seq", start: int = 1, ranges: int = RANGES) -> DataFrame:
@@ -49,15 +36,10 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq", start: int = 1,
     that are equal in every column stay together.  Numbers are given within a range, which begins
     after the counts of those before.  nulls come first.
     """
-    hashed = [f"`{f.name}`" for f in df.schema if "map<" not in f.dataType.simpleString()]
-    key = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)), F.xxhash64(*hashed).alias("h"))
-    cuts = _cuts(df, key, ranges)
+    key = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(order)), row_hash(df).alias("h"))
+    bounds = cuts(df.select(key.alias("k")).select("k", "k.h"), ranges, RANGE_ROWS)
     rows = df.select(key.alias("_key"), F.struct("*").alias("_row"))
-    place = F.lit(0)
-    if cuts:  # how many bounds are below the key, by halving
-        known, steps = F.array(*cuts), F.array(*(F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)))
-        place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(known, at + step - 1) < F.col("_key"), F.lit(False)), at + step).otherwise(at))
-    rows = rows.withColumn("_range", place)
+    rows = rows.withColumn("_range", place(F.col("_key"), bounds))
     counts = rows.groupBy("_range").count()
     before = counts.select(F.col("_range").alias("_r"), (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))  # a row for each range
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*(F.col(f"_key.c{i}").asc_nulls_first() for i in range(len(order))), "_key.h"))
