@@ -163,7 +163,9 @@ def spelling_groups(counts: DataFrame, ratio: int = 2) -> DataFrame:
     if ratio < 2:
         raise ValueError("forms must be at least twice as frequent, else they may go round")
     known = counts.where("word is not null and n is not null").select("word", F.col("n").cast("bigint").alias("n"), (-F.col("n")).alias("down"))
+    known = cut(known, "counts")  # numbering reads it several times
     words = cut(numbered(known, ["down", "word"], "id").select("id", "word", "n"), "words")
+    drop(known)
     near = near_words(words)
     best = words.select(F.col("id").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
     far = F.col("form_n") >= ratio * F.col("n")
