@@ -15,7 +15,7 @@ from .operators import join
 from .plans import apply
 from .session import shared_dir
 from .sources import container, load, table
-from .streaming import follow, run_available, running_counts
+from .streaming import follow, join_streams, keyed_head, keyed_numbers, keyed_profile, keyed_tail, register_lines, run_available, running_counts, session_counts, sliding_counts, use_state_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -252,23 +252,85 @@ def _(spark, t, folder):
     return docstore.export_rows(_store(spark, t).drop("n_nationkey", "n_regionkey")).select("id", "deleted", "data")
 
 
-# streams: all that is available now, from files
+# streams: all that is available now, from files, into a table
+
+
+def _stream(spark: SparkSession, rows: DataFrame, folder: str, name: str = "in") -> DataFrame:
+    rows.write.json(f"{folder}/{name}")
+    return follow(spark, f"{folder}/{name}", rows.schema)
 
 
 def _events(spark: SparkSession, t, folder: str) -> DataFrame:
-    source = t("events").select("event_id", "user_id", "event_type", "value")
-    source.write.json(f"{folder}/in")
-    return follow(spark, f"{folder}/in", source.schema)
+    return _stream(spark, t("events").select("event_id", "user_id", "event_type", "value", "ts"), folder)
 
 
 @_query("stream_filter", "select event_id, value * 2 as v from events where event_type = 'error'")
 def _(spark, t, folder):
-    return run_available(apply(_events(spark, t, folder), 'select(.event_type == "error") | {event_id, v: (.value * 2)}'), f"s{uuid.uuid4().hex}", f"{folder}/state")
+    return run_available(apply(_events(spark, t, folder), 'select(.event_type == "error") | {event_id, v: (.value * 2)}'), f"{folder}/out")
 
 
 @_query("stream_running_counts", "select event_type, count(*) as n from events group by 1")
 def _(spark, t, folder):
-    return run_available(running_counts(_events(spark, t, folder), ["event_type"]), f"s{uuid.uuid4().hex}", f"{folder}/state", "complete").select("event_type", F.col("count").alias("n"))
+    return run_available(running_counts(_events(spark, t, folder), ["event_type"]), f"{folder}/out", "complete").select("event_type", F.col("count").alias("n"))
+
+
+@_query("stream_followed_lines", "select event_id, user_id from events")
+def _(spark, t, folder):
+    register_lines(spark)
+    t("events").select("event_id", "user_id").write.json(f"{folder}/in")
+    lines = spark.readStream.format("lines").option("chunk", "65536").load(f"{folder}/in/part-*.json")
+    return run_available(lines.select(F.from_json("line", "event_id bigint, user_id bigint").alias("r")).select("r.*"), f"{folder}/out")
+
+
+@_query("stream_keyed_numbers", "select event_id, row_number() over (partition by user_id order by ts, event_id) as seq from events")
+def _(spark, t, folder):
+    use_state_store(spark)
+    return run_available(keyed_numbers(_events(spark, t, folder), ["user_id"], ["ts", "event_id"]), f"{folder}/out").select("event_id", "seq")
+
+
+@_query("stream_keyed_head", "select event_id, k as seq from (select *, row_number() over (partition by user_id order by ts, event_id) as k from events) where k <= 3")
+def _(spark, t, folder):
+    use_state_store(spark)
+    return run_available(keyed_head(_events(spark, t, folder), ["user_id"], 3, ["ts", "event_id"]), f"{folder}/out").select("event_id", "seq")
+
+
+@_query("stream_keyed_tail", "select event_id, least(n, 4) + 1 - k as place from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k, count(*) over (partition by user_id) as n from events) where k <= 4")
+def _(spark, t, folder):
+    use_state_store(spark)
+    stream = _events(spark, t, folder).select("event_id", "user_id", "ts")
+    return run_available(keyed_tail(stream, ["user_id"], 4, ["ts", "event_id"]), f"{folder}/out", "update", ["user_id"]).select("event_id", "place")
+
+
+@_query("stream_keyed_profile", "select event_type, count(*) as records, count(value) as count, min(value) as min, max(value) as max, cast(round(sum(value) * 100) as bigint) as cents from events group by 1")
+def _(spark, t, folder):
+    use_state_store(spark)
+    out = run_available(keyed_profile(_events(spark, t, folder), ["event_type"], ["value"]), f"{folder}/out", "update", ["event_type"])
+    return out.select("event_type", "records", "count", "min", "max", F.round(F.col("sum") * 100).cast("long").alias("cents"))
+
+
+_TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+_SHOWN = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+#: Windows that have ended by the watermark; later ones are still open.
+_DONE = "(select max(ts) from events) - interval 10 minutes"
+
+
+@_query("stream_sliding_counts", f"with w as (select date_trunc('hour', ts) - to_hours(unnest(range(0, 3))::bigint) as s, event_type from events) select {_TIME.format('s')} as start, {_TIME.format('s + interval 3 hours')} as end, event_type, count(*) as n from w where s + interval 3 hours <= {_DONE} group by s, event_type")
+def _(spark, t, folder):
+    out = run_available(sliding_counts(_events(spark, t, folder), "ts", "3 hours", "1 hour", ["event_type"], "10 minutes"), f"{folder}/out")
+    return out.select(_SHOWN("start"), _SHOWN("end"), "event_type", F.col("count").alias("n"))
+
+
+@_query("stream_sessions", f"with b as (select *, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 45 minutes then 0 else 1 end as new from events), g as (select *, sum(new) over (partition by user_id order by ts) as s from b) select {_TIME.format('min(ts)')} as start, user_id, count(*) as n from g group by user_id, s having max(ts) + interval 45 minutes <= {_DONE}")
+def _(spark, t, folder):
+    return run_available(session_counts(_events(spark, t, folder), "ts", "45 minutes", ["user_id"], "10 minutes"), f"{folder}/out").select(_SHOWN("start"), "user_id", F.col("count").alias("n"))
+
+
+@_query("stream_join", "select a.event_id, b.event_id as other from events a join events b on a.event_type = 'view' and b.event_type = 'click' and a.user_id = b.user_id and b.ts between a.ts - interval 5 minutes and a.ts + interval 1 hour")
+def _(spark, t, folder):
+    rows = t("events").select("event_id", "user_id", "event_type", "ts")
+    views, clicks = (_stream(spark, rows.where(f"event_type = '{k}'"), folder, k) for k in ("view", "click"))
+    joined = join_streams(views, clicks, [("user_id", "user_id")], "ts", "ts", "5 minutes", "1 hour", "2 hours")
+    return run_available(joined, f"{folder}/out").select("event_id", F.col("event_id_right").alias("other"))
 
 
 __all__ = ["QUERIES", "SQL"]
