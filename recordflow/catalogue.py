@@ -225,6 +225,8 @@ _add("tasks_blocked", lambda s, t: tasks.blocked(_tasks(t)).select("id"), _T + "
 _add("tasks_ready", lambda s, t: tasks.ready(_tasks(t)).select("id"), _T + "select id from t where status = 'pending' and id not in (select id from e)")
 _add("tasks_due", lambda s, t: tasks.due(_tasks(t), "1998-01-01", 7).groupBy("bucket").agg(F.count("*").alias("n")), _T + "select case when due::date < date '1998-01-01' then 'overdue' when due::date <= date '1998-01-08' then 'soon' else 'upcoming' end as bucket, count(*) as n from t where status <> 'completed' group by 1")
 _add("tasks_tags", lambda s, t: tasks.top_tags(_tasks(t)), _T + "select tag, count(*) as count from t group by 1 order by 2 desc, 1 limit 5")
+_CHAIN = "select o_orderkey as id, case when o_orderkey % 300 > 0 then o_orderkey - 1 end as parent from orders"
+_add("graph_chains", lambda s, t: tasks.tree(c := t("orders").selectExpr("o_orderkey as id", "case when o_orderkey % 300 > 0 then o_orderkey - 1 end as parent"), c.where("id % 100 = 0")).groupBy("root").agg(F.count("*").alias("n"), F.max("depth").cast("long").alias("deepest")), f"with recursive c as ({_CHAIN}), r(root, id, depth) as (select id, id, 0 from c where id % 100 = 0 union all select root, c.id, depth + 1 from r join c on c.parent = r.id) select root, count(*) as n, max(depth)::bigint as deepest from r group by root")
 _add("graph_tree", lambda s, t: tasks.tree(_tasks(t), _tasks(t).where("id = 1")).select("id", "depth"), "with recursive r(id, depth) as (select o_orderkey, 0 from orders where o_orderkey = 1 union all select o.o_orderkey, r.depth + 1 from r join orders o on o.o_orderkey // 2 = r.id and o.o_orderkey > 1) select id, depth from r")
 
 

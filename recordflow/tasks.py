@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import shared_dir
@@ -30,30 +30,93 @@ def ready(tasks: DataFrame) -> DataFrame:
     return tasks.where("status = 'pending'").join(_open_edges(tasks), "id", "left_anti")
 
 
-def tree(tasks: DataFrame, roots: DataFrame, parent: str = "parent", depth: int | None = None) -> DataFrame:
-    """(root, id, depth) of everything below the roots, level by level, to any depth unless one is given.
+def _written(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that what follows does not depend on the executors before."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
 
-    An id is listed once for each root, where it is met first; a level without a
-    new (root, id) ends the search, so cycles end too.  Levels are written to the
-    shared folder, and each is built from the last.
+def reach(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """(root, id, depth) of all that can be reached over edges (child, up) from ids, level by level.
+
+    For graphs in which a child has several parents.  An id is listed once for each root, where
+    it is met first; a level without a new (root, id) ends the search, so cycles end too.
     """
-    spark = tasks.sparkSession
+    spark = edges.sparkSession
     folder, paths = f"{shared_dir(spark)}/recordflow-tree-{uuid.uuid4().hex}", []
-    links = tasks.select(F.col("id").alias("child"), F.col(parent).alias("up")).where("up is not null")
-    level = roots.select(F.col("id").alias("root"), "id").distinct()
+    level = sources.select(F.col("id").alias("root"), "id").distinct()
     schema = level.withColumn("depth", F.lit(0)).schema
     while True:
         d = len(paths)
+        level = _written(level.select("root", "id", F.lit(d).alias("depth")), folder, str(d))
         paths.append(f"{folder}/{d}")
-        level.select("root", "id", F.lit(d).alias("depth")).write.parquet(paths[-1])
-        level = spark.read.schema(schema).parquet(paths[-1])
         out = spark.read.schema(schema).parquet(*paths)
         if d == depth or level.isEmpty():
             return out
-        below = level.join(links, level.id == links.up).select("root", F.col("child").cast(schema["id"].dataType).alias("id")).distinct()
+        below = level.join(edges, level.id == edges.up).select("root", F.col("child").cast(schema["id"].dataType).alias("id")).distinct()
         level = below.join(out.select("root", "id"), ["root", "id"], "left_anti")
 
 
+def _nearest(links: DataFrame, roots: DataFrame, folder: str) -> DataFrame:
+    """(id, at, dist): of each id below a root the nearest one and how far it is.
+
+    Pointers to parents are doubled: one that has not come to a root goes on from where it points to, by that
+    one's own pointer.  A round without fewer open pointers ends it: what is left goes round in a cycle without a root.
+    """
+    spark = links.sparkSession
+    ends = roots.select(F.col("id").alias("at"), F.lit(True).alias("done"))
+    now = links.select(F.col("child").alias("id"), F.col("up").alias("at"), F.lit(1).alias("dist")).join(ends, "at", "left").select("id", "at", "dist", F.coalesce("done", F.lit(False)).alias("done"))
+    now = _written(now, folder, "0")
+    number, left = 0, now.where("not done").count()
+    while left:
+        a, b = now.where("not done").alias("a"), now.alias("b")
+        moved = a.join(b, F.col("a.at") == F.col("b.id")).select("a.id", "b.at", (F.col("a.dist") + F.col("b.dist")).alias("dist"), "b.done")
+        number += 1
+        now = _written(now.where("done").unionByName(moved), folder, str(number))
+        _removed(spark, f"{folder}/{number - 1}")
+        before, left = left, now.where("not done").count()
+        if left == before:
+            break
+    return now.where("done").select("id", "at", "dist")
+
+
+def tree(tasks: DataFrame, roots: DataFrame, parent: str = "parent", depth: int | None = None) -> DataFrame:
+    """(root, id, depth) of everything below the roots, to any depth unless one is given.
+
+    An id is listed once for each root above it, at its least depth; a root is below itself at 0.  Cycles end.
+    The number of rounds is the binary logarithm of the depth, and not the depth: pointers to the
+    nearest root above are doubled, then those from root to root.  Where an id has several parents, reach() is used.
+    """
+    spark = tasks.sparkSession
+    kind = tasks.schema["id"].dataType
+    links = tasks.select(F.col("id").alias("child"), F.col(parent).cast(kind).alias("up")).where("up is not null and child is not null").distinct()
+    if not links.groupBy("child").count().where("count > 1").isEmpty():
+        return reach(links, roots, depth)
+    folder = f"{shared_dir(spark)}/recordflow-tree-{uuid.uuid4().hex}"
+    roots = roots.select(F.col("id").cast(kind).alias("id")).where("id is not null").distinct()
+    near = _nearest(links, roots, folder)
+    least = lambda df: df.groupBy("root", "id").agg(F.min("depth").alias("depth"))
+    over = near.join(roots, "id", "left_semi").select(F.col("at").alias("root"), "id", F.col("dist").alias("depth"))
+    over, number, size = _written(least(over), folder, "over0"), 0, -1
+    while size != (now := over.count()):  # from root to root: as far again as before in each round
+        size, number = now, number + 1
+        a, b = over.alias("a"), over.alias("b")
+        further = a.join(b, F.col("a.root") == F.col("b.id")).select("b.root", "a.id", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        over = _written(least(over.unionByName(further)), folder, f"over{number}")
+        _removed(spark, f"{folder}/over{number - 1}")
+    n, o = near.alias("n"), over.alias("o")
+    first = near.select(F.col("at").alias("root"), "id", F.col("dist").alias("depth"))
+    above = n.join(o, F.col("n.at") == F.col("o.id")).select("o.root", "n.id", (F.col("n.dist") + F.col("o.depth")).alias("depth"))
+    own = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
+    out = least(first.unionByName(above).unionByName(own))
+    return out if depth is None else out.where(F.col("depth") <= depth)
+
+
 def counts(tasks: DataFrame) -> DataFrame:
     each = [F.count_if(F.col("status") == s).alias(s) for s in ("pending", "in_progress", "completed")]
     return tasks.agg(F.count("*").alias("total"), *each)
