@@ -14,7 +14,7 @@ from . import coverage, docstore, sinks
 from .operators import join
 from .plans import apply
 from .session import shared_dir
-from .sources import container, load, table
+from .sources import container, load, register_records, table
 from .streaming import follow, join_streams, keyed_head, keyed_numbers, keyed_profile, keyed_tail, register_lines, run_available, running_counts, session_counts, sliding_counts, use_state_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,6 +252,24 @@ def _(spark, t, folder):
     return docstore.export_rows(_store(spark, t).drop("n_nationkey", "n_regionkey")).select("id", "deleted", "data")
 
 
+# a format of its own and a table function
+
+
+@_query("records_pushed", "select o_orderkey, o_orderstatus, o_totalprice from orders where o_totalprice > 400000 and o_orderstatus in ('F', 'O')")
+def _(spark, t, folder):
+    register_records(spark)
+    rows = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    rows.repartitionByRange("o_totalprice").write.format("records").mode("append").save(folder)
+    return spark.read.format("records").option("push", "true").load(folder).where("o_totalprice > 400000 and o_orderstatus in ('F', 'O')")
+
+
+@_query("table_function_sessions", "with b as (select *, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 1800 seconds then 0 else 1 end as new from events) select event_id as id, cast(sum(new) over (partition by user_id order by ts) as integer) as session from b")
+def _(spark, t, folder):
+    register_records(spark)
+    events = t("events").select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"))
+    return spark.sql("select id, session from sessions(table({rows}) partition by user_id order by (at), 1800)", rows=events)
+
+
 # streams: all that is available now, from files, into a table
 
 
