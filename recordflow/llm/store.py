@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +21,15 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def save(df: DataFrame, path: str, options: dict[str, str] | None = None) -> None:
-    """Writes df as a table; the shuffle files of the job are deleted when it is done."""
+    """Writes df as a table; from the first call on, the session's jobs delete their shuffle files when they are done."""
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
-    try:
-        df.write.options(compression="zstd", **(options or {})).parquet(path)
-    finally:
-        conf.set(_CLEANUP, before)
+    if conf.get(_CLEANUP, "false") != "true":
+        conf.set(_CLEANUP, "true")
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
+
+
+#: Tables that cut() made and that are not deleted yet: a list for each tidy operator that this thread is in, the innermost last.
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 
 
 def cut(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
@@ -36,20 +39,15 @@ def cut(df: DataFrame, name: str, options: dict[str, str] | None = None) -> Data
     re-read and not a recomputation.
     """
     path = f"{shared_dir(df.sparkSession)}/recordflow-{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    for made in _MADE.get()[-1:]:
+        made.append(path)
     save(df, path, options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables of cut() that are not deleted yet, in the order in which they were made.
-_MADE: list[str] = []
-
-
-def _delete(spark: SparkSession, paths: list[str]) -> None:
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _MADE.remove(p)
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _read_by(df: DataFrame) -> set[str]:
@@ -58,22 +56,36 @@ def _read_by(df: DataFrame) -> set[str]:
 
 
 def drop(df: DataFrame) -> None:
-    """Deletes the table behind a cut() that nothing reads any more."""
-    folders = _read_by(df)
-    _delete(df.sparkSession, [p for p in _MADE if p.rsplit("/", 1)[1] in folders])
+    """Deletes the tables of cut() that df reads and nothing else reads any more."""
+    for folder in {unquote(f.rsplit("/", 1)[0]) for f in df.inputFiles()}:
+        name = folder.rsplit("/", 1)[1]
+        if name.startswith("recordflow-"):
+            _delete(df.sparkSession, folder)
+            for made in _MADE.get():
+                made[:] = [p for p in made if p.rsplit("/", 1)[1] != name]
 
 
 def tidy(operator: Callable) -> Callable:
-    """An operator whose tables are deleted when it returns, but for those that its results still read."""
+    """An operator whose tables are deleted when it returns, but for those that its results still read.
+
+    Those pass to the operator that called it.  Each call has a list of its own, so threads don't meet.
+    """
 
     @functools.wraps(operator)
     def run(*args, **kwargs):
-        before = set(_MADE)
-        out = operator(*args, **kwargs)
+        own: list[str] = []
+        before = _MADE.set((*_MADE.get(), own))
+        try:
+            out = operator(*args, **kwargs)
+        finally:
+            _MADE.reset(before)
         results = [x for x in (out if isinstance(out, tuple) else (out,)) if isinstance(x, DataFrame)]
-        if results:
-            kept = set().union(*map(_read_by, results))
-            _delete(results[0].sparkSession, [p for p in _MADE if p not in before and p.rsplit("/", 1)[1] not in kept])
+        kept = set().union(*map(_read_by, results)) if results else set()
+        for p in own if results else []:
+            if p.rsplit("/", 1)[1] not in kept:
+                _delete(results[0].sparkSession, p)
+        for outer in _MADE.get()[-1:]:
+            outer.extend(p for p in own if not results or p.rsplit("/", 1)[1] in kept)
         return out
 
     return run

@@ -50,6 +50,33 @@ def test_tables_are_deleted_when_nothing_reads_them(spark):
     assert len(folders(spark) - before) == 1
 
 
+def test_operators_in_threads_keep_their_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    before = folders(spark)
+
+    @store.tidy
+    def inner(n):
+        kept = store.cut(spark.range(n).toDF("k"), "inner")
+        store.cut(kept.selectExpr("k + 1 as k"), "gone")
+        return kept
+
+    @store.tidy
+    def outer(n):
+        a = inner(n)
+        b = store.cut(a.selectExpr("k * 2 as k"), "outer")
+        store.drop(a)
+        return b
+
+    def work(n):
+        return [outer(n).agg({"k": "sum"}).first()[0] for _ in range(4)]
+
+    with ThreadPoolExecutor(3) as pool:
+        assert list(pool.map(work, (10, 200, 3000))) == [[n * (n - 1)] * 4 for n in (10, 200, 3000)]
+    new = folders(spark) - before
+    assert len(new) == 12 and all("-outer-" in f for f in new)
+
+
 @pytest.mark.parametrize("rows", [3, 1_000_000])
 def test_small_tables_only_are_broadcast(spark, monkeypatch, rows):
     monkeypatch.setattr(store, "SMALL_ROWS", rows)
