@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import docstore, dynamic, tasks
+from .functions.registry import ago_text
 from .operators import analyze, anti, asof_join, edit, head, inspect_schema, join, merge, numbered, overlap_join, range_join, semi, tail, theta_join
 from .plans import apply, slurp
 from .profiles import run_sql
@@ -97,7 +98,9 @@ _expr("date_parts", "region", '{r_regionkey, d: ((today | split("-") | join("")
 _add("delta_between", lambda s, t: apply(t("events"), "{event_id, a: (.ts|delta), b: (.event_id|delta)}").select("event_id", (F.col("b") - F.col("a") + F.col("event_id")).alias("epoch")), "select event_id, cast(floor(epoch(ts)) as bigint) as epoch from events")
 _expr("ids_generated", "region", "{r_regionkey, a: (uuid|length), b: (shortid|length), c: (sid|length), d: (nanoid|length), e: (ulid|length), f: (uuid7|length), g: (xid|length)}", "select r_regionkey, 36::bigint as a, 8::bigint as b, 6::bigint as c, 21::bigint as d, 26::bigint as e, 36::bigint as f, 20::bigint as g from region")
 _expr("clock_generated", "region", "{r_regionkey, a: (now|length), b: (today|length), c: (time|length), ok: ((now|delta) < 100)}", "select r_regionkey, 20::bigint as a, 10::bigint as b, 8::bigint as c, true as ok from region")
-_add("ago_words", lambda s, t: t("orders").select("o_orderkey", __import__("recordflow.functions.registry", fromlist=["ago_text"]).ago_text(F.col("o_orderkey") * 977).alias("w")).where("w like '%day%' or w like '%minute%'").select("o_orderkey"), "select o_orderkey from (select o_orderkey, o_orderkey * 977 as s from orders) where (s >= 60 and s < 3600) or (s >= 3600 and s < 86400 and (s % 3600) // 60 > 0) or (s >= 86400 and s // 86400 < 30) or (s // 86400 >= 30 and s // 86400 // 30 < 12 and s // 86400 % 30 > 0)")
+_UNIT = lambda n, unit: f"concat({n}, ' {unit}', case when {n} = 1 then '' else 's' end)"
+_UNITS = lambda a, x, b, y: f"concat({_UNIT(a, x)}, case when {b} > 0 then concat(', ', {_UNIT(b, y)}) else '' end)"
+_add("ago_words", lambda s, t: t("orders").select("o_orderkey", ago_text((F.col("o_orderkey") - 50) * 9770).alias("w")), f"select o_orderkey, concat(case when s < 60 then {_UNIT('s', 'second')} when s < 3600 then {_UNIT('s // 60', 'minute')} when s < 86400 then {_UNITS('s // 3600', 'hour', 's % 3600 // 60', 'minute')} when d < 30 then {_UNITS('d', 'day', 's % 86400 // 3600', 'hour')} when d // 30 < 12 then {_UNITS('d // 30', 'month', 'd % 30', 'day')} else {_UNITS('d // 365', 'year', 'd % 365 // 30', 'month')} end, case when o_orderkey < 50 then ' from now' else ' ago' end) as w from (select o_orderkey, abs((o_orderkey - 50) * 9770) as s, abs((o_orderkey - 50) * 9770) // 86400 as d from orders)")
 
 # arrays and dynamic values
 
@@ -105,9 +108,9 @@ _expr("array_index", "embeddings", "{vec_id, a: .embedding[0], b: .embedding[-1]
 _expr("array_slice", "embeddings", "{vec_id, a: .embedding[1:3], b: (.embedding[-2:] | length), c: (.embedding[5:2] | length)}", "select vec_id, embedding[2:3] as a, cast(len(embedding[-2:]) as bigint) as b, 0::bigint as c from embeddings")
 _add("array_map_add", lambda s, t: apply(t("embeddings"), "{vec_id, s: (.embedding | map(. * 2) | add), n: (.embedding|length), f: (.embedding|first), l: (.embedding|last)}").withColumn("s", F.round("s", 4)), "select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * 2)), 4) as s, cast(len(embedding) as bigint) as n, embedding[1] as f, embedding[-1] as l from embeddings")
 _expr("array_min_max", "embeddings", "{vec_id, lo: (.embedding|min), hi: (.embedding|max)}", "select vec_id, list_min(embedding) as lo, list_max(embedding) as hi from embeddings")
-_expr("array_sort_unique", "embeddings", "{vec_id, s: (.embedding[0:4] | sort), u: (.embedding[0:4] + .embedding[0:4] | unique | length), r: (.embedding[0:3] | reverse)}", "select vec_id, list_sort(embedding[1:4]) as s, cast(len(list_distinct(embedding[1:4])) as bigint) as u, list_reverse(embedding[1:3]) as r from embeddings")
+_expr("array_sort_unique", "embeddings", "{vec_id, s: (.embedding | sort), u: (.embedding + .embedding | unique | length), r: (.embedding | reverse)}", "select vec_id, list_sort(embedding) as s, cast(len(list_distinct(embedding)) as bigint) as u, list_reverse(embedding) as r from embeddings")
 _expr("array_filter", "embeddings", "{vec_id, n: (.embedding | map(select(. > 0)) | length)}", "select vec_id, cast(len(list_filter(embedding, lambda x: x > 0)) as bigint) as n from embeddings")
-_expr("array_by", "embeddings", "{vec_id, a: (.embedding[0:6] | max_by(.)), b: (.embedding[0:6] | min_by(.)), c: (.embedding[0:6] | sort_by(.) | first)}", "select vec_id, list_max(embedding[1:6]) as a, list_min(embedding[1:6]) as b, list_min(embedding[1:6]) as c from embeddings")
+_expr("array_by", "embeddings", "{vec_id, a: (.embedding | max_by(.)), b: (.embedding | min_by(.)), c: (.embedding | sort_by(.) | first)}", "select vec_id, list_max(embedding) as a, list_min(embedding) as b, list_min(embedding) as c from embeddings")
 _expr("iterate_explode", "embeddings", ".embedding[] | {x: .}", "select unnest(embedding) as x from embeddings")
 _expr("entries_roundtrip", "nation", "{k: .n_nationkey, o: ({name: .n_name, twice: (.n_name + .n_name)} | to_entries | from_entries | to_entries | length), ks: ({b: 1, a: 2} | keys)}", "select n_nationkey as k, 2::bigint as o, ['b', 'a'] as ks from nation")
 _expr("has_key", "nation", '{k: .n_nationkey, a: ({x: 1} | has("x")), b: ({x: 1} | has("y"))}', "select n_nationkey as k, true as a, false as b from nation")

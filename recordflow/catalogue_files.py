@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import coverage, docstore, sinks
+from . import coverage, docstore, lookup, sinks
 from .operators import join
 from .plans import apply
 from .session import shared_dir
@@ -252,6 +252,15 @@ def _(spark, t, folder):
     return docstore.export_rows(_store(spark, t).drop("n_nationkey", "n_regionkey")).select("id", "deleted", "data")
 
 
+# a persistent index
+
+
+@_query("lookup_join", "select c_custkey, o_orderkey from customer left join orders on o_custkey = c_custkey")
+def _(spark, t, folder):
+    lookup.build(t("orders"), "o_custkey", folder, block_rows=5000)
+    return lookup.indexed_join(t("customer"), folder, "c_custkey", "o_custkey").select("c_custkey", "o_orderkey")
+
+
 # a format of its own and a table function
 
 

@@ -177,13 +177,13 @@ def with_lineage(df: DataFrame, index: bool = False) -> DataFrame:
     if not index:
         return df.select(*front, *(F.col(f"`{c}`") for c in columns))
     place = [F.lit(0).cast("long").alias("_block"), F.col("_in_line").alias("_order")] if document else [F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order")]
-    rows = df.select(*front, *place, *(F.col(f"`{c}`") for c in columns))
+    rows = df.select(*front, *place, F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"))
     blocks = rows.groupBy(F.col("_path").alias("_p"), F.col("_block").alias("_b")).count()
     paths = blocks.select("_p").distinct().select("_p", (F.row_number().over(Window.orderBy("_p")) - 1).cast("long").alias("_file_index"))  # a row for each file
     before = blocks.withColumn("_before", F.coalesce(F.sum("count").over(Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     own = F.row_number().over(Window.partitionBy("_path", "_block").orderBy("_order")) - 1
     out = rows.withColumn("_own", own).join(before, (F.col("_path") == F.col("_p")) & (F.col("_block") == F.col("_b"))).drop("_p").join(paths, F.col("_path") == F.col("_p"))
-    return out.select("_path", "_dir", "_filename", "_basename", "_ext", "_file_index", (F.col("_before") + F.col("_own")).cast("long").alias("_line_index"), *(F.col(f"`{c}`") for c in columns))
+    return out.select("_path", "_dir", "_filename", "_basename", "_ext", "_file_index", (F.col("_before") + F.col("_own")).cast("long").alias("_line_index"), "_row.*")
 
 
 def _found(path: str) -> tuple[str, dict[str, str], str | None]:
