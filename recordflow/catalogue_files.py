@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import coverage, docstore, lookup, sinks
+from . import coverage, docstore, lookup, sinks, versions
 from .operators import join
 from .plans import apply
 from .session import shared_dir
@@ -261,6 +261,40 @@ def _(spark, t, folder):
     return lookup.indexed_join(t("customer"), folder, "c_custkey", "o_custkey").select("c_custkey", "o_orderkey")
 
 
+# versions of a store, and what changed
+
+
+def _versions(spark, t, folder) -> versions.Store:
+    store = versions.Store(spark, folder, file_rows=4000)
+    store.insert(t("orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+    store.update(10, ".o_orderstatus=X")
+    store.delete(11)
+    return store
+
+
+_FIRST = "select o_orderkey, row_number() over (order by o_orderkey) as id, o_orderstatus from orders"
+
+
+@_query("versions_latest", f"select o_orderkey, case when id = 10 then 'X' else o_orderstatus end as o_orderstatus, id = 11 as deleted, case when id in (10, 11) then 2 else 1 end::bigint as version from ({_FIRST})")
+def _(spark, t, folder):
+    return _versions(spark, t, folder).read().select("o_orderkey", "o_orderstatus", "_meta.deleted", "_meta.version")
+
+
+@_query("versions_earlier", f"select o_orderkey, case when id = 10 then 'X' else o_orderstatus end as o_orderstatus from ({_FIRST})")
+def _(spark, t, folder):
+    return _versions(spark, t, folder).read(2).select("o_orderkey", "o_orderstatus")
+
+
+_EDITED = "select o_orderkey, o_custkey, case when o_orderkey % 83 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice, case when o_orderkey % 89 = 0 then 'X' else o_orderstatus end as o_orderstatus from orders where o_orderkey % 97 > 0 union all select -o_orderkey - 1, o_custkey, o_totalprice, o_orderstatus from orders where o_orderkey % 101 = 0"
+
+
+@_query("table_changes", f"with n as ({_EDITED}), c as (select coalesce(o.o_orderkey, n.o_orderkey) as o_orderkey, case when o.o_orderkey is null then 'added' when n.o_orderkey is null then 'removed' when o.o_totalprice <> n.o_totalprice or o.o_orderstatus <> n.o_orderstatus then 'changed' end as change, concat_ws(',', case when o.o_totalprice <> n.o_totalprice then 'o_totalprice' end, case when o.o_orderstatus <> n.o_orderstatus then 'o_orderstatus' end) as columns from orders o full join n on o.o_orderkey = n.o_orderkey) select o_orderkey, change, case when change = 'changed' then columns end as columns from c where change is not null")
+def _(spark, t, folder):
+    orders = t("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    edited = spark.sql(_EDITED.replace("from orders", "from {orders}"), orders=orders)
+    return versions.changes(orders, edited, ["o_orderkey"]).withColumn("columns", F.array_join("columns", ","))
+
+
 # a format of its own and a table function
 
 
