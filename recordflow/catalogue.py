@@ -228,6 +228,20 @@ _add("tasks_blocked", lambda s, t: tasks.blocked(_tasks(t)).select("id"), _T + "
 _add("tasks_ready", lambda s, t: tasks.ready(_tasks(t)).select("id"), _T + "select id from t where status = 'pending' and id not in (select id from e)")
 _add("tasks_due", lambda s, t: tasks.due(_tasks(t), "1998-01-01", 7).groupBy("bucket").agg(F.count("*").alias("n")), _T + "select case when due::date < date '1998-01-01' then 'overdue' when due::date <= date '1998-01-08' then 'soon' else 'upcoming' end as bucket, count(*) as n from t where status <> 'completed' group by 1")
 _add("tasks_tags", lambda s, t: tasks.top_tags(_tasks(t)), _T + "select tag, count(*) as count from t group by 1 order by 2 desc, 1 limit 5")
+def _todo(t) -> DataFrame:
+    """Orders as tasks with all statuses, priorities, blockers and notes."""
+    o, key = t("orders"), F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("skipped")
+    rank = F.substring("o_orderpriority", 1, 1)
+    priority = F.when(rank.isin("1", "2"), "high").when(rank == "3", "med").otherwise("low")
+    return o.select(key.alias("id"), F.concat(F.lit("task "), key.cast("string")).alias("text"), status.alias("status"), priority.alias("priority"), F.when(key % 3 > 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("due"), F.array("o_orderpriority", F.concat(F.lit("t"), (key % 40).cast("string"))).alias("tags"), F.array(key + 1, key * 2).alias("blockers"), F.array_repeat(F.lit("note"), (key % 3).cast("int")).alias("notes"), F.when(key > 1, F.floor(key / 2)).alias("parent"))
+
+
+_TODO = "with t as (select o_orderkey as id, case o_orderstatus when 'F' then 'done' when 'O' then 'pending' else 'skipped' end as status, case when left(o_orderpriority, 1) in ('1', '2') then 'high' when left(o_orderpriority, 1) = '3' then 'med' else 'low' end as priority, case when o_orderkey % 3 > 0 then o_orderdate::date end as due, [o_orderpriority, 't' || o_orderkey % 40] as tags, [o_orderkey + 1, o_orderkey * 2] as blockers from orders), b as (select distinct x.id from (select id, unnest(blockers) as k from t) x join t on t.id = x.k and t.status = 'pending'), p as (select t.*, b.id is not null as held from t left join b on b.id = t.id), c as (select count(*) as total, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'done') as done, count(*) filter (status = 'skipped') as skipped, " + ", ".join(f"count(*) filter (status = 'pending' and {test}) as {name}" for name, test in (("high", "priority = 'high'"), ("med", "priority = 'med'"), ("low", "priority = 'low'"), ("ready", "not held"), ("blocked", "held"), ("overdue", "due < date '1997-01-01'"), ("soon", "due between date '1997-01-01' and date '1997-01-08'"), ("undated", "due is null"))) + " from p) "
+_add("tasks_counts", lambda s, t: tasks.counts(_todo(t), "1997-01-01"), _TODO + "select total, pending, done, skipped, ready, blocked, overdue from c")
+_add("tasks_stats", lambda s, t: tasks.stats(_todo(t), "1997-01-01").select("total", "pending", "done", "skipped", "priority.*", "workflow.*", "due.overdue", "due.soon", F.col("due.none").alias("undated"), F.array_join(F.transform("top_tags", lambda e: F.concat(e["tag"], F.lit("="), e["count"].cast("string"))), ",").alias("tags")), _TODO + "select c.*, (select string_agg(tag || '=' || n, ',' order by n desc, tag desc) from (select tag, count(*) as n from (select unnest(tags) as tag from t where status = 'pending') group by tag order by n desc, tag desc limit 5)) as tags from c")
+_add("tasks_export_csv", lambda s, t: tasks.export_rows(_todo(t)).select("id", "text", "status", "tags", "blockers", F.col("notes_count").cast("long").alias("notes_count"), "parent"), "select o_orderkey as id, 'task ' || o_orderkey as text, case o_orderstatus when 'F' then 'done' when 'O' then 'pending' else 'skipped' end as status, o_orderpriority || ';t' || o_orderkey % 40 as tags, (o_orderkey + 1) || ';' || (o_orderkey * 2) as blockers, o_orderkey % 3 as notes_count, case when o_orderkey > 1 then o_orderkey // 2 end as parent from orders")
+_add("tasks_export_markdown", lambda s, t: tasks.export_markdown(_todo(t), ["id"]).where("part % 2 = 0 and part > 0").select("part", "place", "line"), "select case o_orderstatus when 'O' then 2 when 'F' then 4 else 6 end as part, row_number() over (partition by o_orderstatus order by o_orderkey) as place, case o_orderstatus when 'O' then '- [ ] ' when 'F' then '- [x] ' else '- [~] ' end || 'task ' || o_orderkey || case when o_orderstatus <> 'O' then '' else case when left(o_orderpriority, 1) in ('1', '2') then ' 🔴' when left(o_orderpriority, 1) in ('4', '5') then ' 🟢' else '' end || case when o_orderkey % 3 > 0 then ' (due: ' || strftime(o_orderdate, '%Y-%m-%d') || ')' else '' end end as line from orders")
 _CHAIN = "select o_orderkey as id, case when o_orderkey % 300 > 0 then o_orderkey - 1 end as parent from orders"
 _add("graph_chains", lambda s, t: tasks.tree(c := t("orders").selectExpr("o_orderkey as id", "case when o_orderkey % 300 > 0 then o_orderkey - 1 end as parent"), c.where("id % 100 = 0")).groupBy("root").agg(F.count("*").alias("n"), F.max("depth").cast("long").alias("deepest")), f"with recursive c as ({_CHAIN}), r(root, id, depth) as (select id, id, 0 from c where id % 100 = 0 union all select root, c.id, depth + 1 from r join c on c.parent = r.id) select root, count(*) as n, max(depth)::bigint as deepest from r group by root")
 _add("graph_tree", lambda s, t: tasks.tree(_tasks(t), _tasks(t).where("id = 1")).select("id", "depth"), "with recursive r(id, depth) as (select o_orderkey, 0 from orders where o_orderkey = 1 union all select o.o_orderkey, r.depth + 1 from r join orders o on o.o_orderkey // 2 = r.id and o.o_orderkey > 1) select id, depth from r")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .names import free_name
+from .operators import numbered
 from .session import shared_dir
 
 
@@ -16,12 +18,12 @@ def edges(tasks: DataFrame) -> DataFrame:
 
 
 def _open_edges(tasks: DataFrame) -> DataFrame:
-    unfinished = tasks.where("status <> 'completed'").select(F.col("id").alias("blocker"))
-    return edges(tasks).join(unfinished, "blocker", "left_semi").select("id").distinct()
+    pending = tasks.where("status = 'pending'").select(F.col("id").alias("blocker"))
+    return edges(tasks).join(pending, "blocker", "left_semi").select("id").distinct()
 
 
 def blocked(tasks: DataFrame) -> DataFrame:
-    """Pending tasks with a blocker that is not completed."""
+    """Pending tasks with a blocker that is pending, too."""
     return tasks.where("status = 'pending'").join(_open_edges(tasks), "id", "left_semi")
 
 
@@ -117,13 +119,63 @@ def tree(tasks: DataFrame, roots: DataFrame, parent: str = "parent", depth: int
     return out if depth is None else out.where(F.col("depth") <= depth)
 
 
-def counts(tasks: DataFrame) -> DataFrame:
-    each = [F.count_if(F.col("status") == s).alias(s) for s in ("pending", "in_progress", "completed")]
-    return tasks.agg(F.count("*").alias("total"), *each)
+def _weighed(tasks: DataFrame, today: str, horizon: int) -> DataFrame:
+    """A row of counts: by status, and of pending tasks by priority, blockers and due date."""
+    blocked_ids = _open_edges(tasks).select(F.col("id").alias("_blocked"))
+    rows = tasks.join(blocked_ids, F.col("id") == F.col("_blocked"), "left")
+    pending, held = F.col("status") == "pending", F.col("_blocked").isNotNull()
+    days = F.date_diff(F.to_date("due"), F.lit(today).cast("date"))
+    tests = {s: F.col("status") == s for s in ("pending", "done", "skipped")}
+    tests |= {p: pending & (F.col("priority") == p) for p in ("high", "med", "low")}
+    tests |= {"ready": pending & ~held, "blocked": pending & held}
+    tests |= {"overdue": pending & (days < 0), "soon": pending & days.between(0, horizon), "none": pending & F.col("due").isNull()}
+    return rows.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(t).alias(k) for k, t in tests.items()))
+
+
+def counts(tasks: DataFrame, today: str) -> DataFrame:
+    """total, pending, done, skipped, ready, blocked and overdue, in one row."""
+    return _weighed(tasks, today, 7).select("total", "pending", "done", "skipped", "ready", "blocked", "overdue")
+
+
+def stats(tasks: DataFrame, today: str, horizon: int = 7, n: int = 5) -> DataFrame:
+    """The dashboard in one row: counts by status, and of pending tasks by priority, workflow and due date, and their n most frequent tags."""
+    tags = top_tags(tasks.where("status = 'pending'"), n, F.desc("tag")).agg(F.sort_array(F.collect_list(F.struct("count", "tag")), asc=False).alias("t"))
+    tags = tags.select(F.transform("t", lambda e: F.struct(e["tag"].alias("tag"), e["count"].alias("count"))).alias("top_tags"))
+    groups = {"priority": ("high", "med", "low"), "workflow": ("ready", "blocked"), "due": ("overdue", "soon", "none")}
+    row = _weighed(tasks, today, horizon).select("total", "pending", "done", "skipped", *(F.struct(*names).alias(k) for k, names in groups.items()))
+    both = row.unionByName(tags, allowMissingColumns=True)  # two rows, put together
+    return both.agg(*(F.first(c, ignorenulls=True).alias(c) for c in both.columns))
+
+
+def export_rows(tasks: DataFrame) -> DataFrame:
+    """id, text, status, priority, due, tags, blockers, notes_count and parent as a CSV holds them: lists joined by semicolons."""
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ";").alias(c)
+    return tasks.select("id", "text", "status", "priority", "due", joined("tags"), joined("blockers"), F.size("notes").alias("notes_count"), "parent")
+
+
+#: Marks of the Markdown list, as the format has them.
+SECTIONS = (("pending", "Pending", "- [ ] "), ("done", "Done", "- [x] "), ("skipped", "Skipped", "- [~] "))
+PRIORITY_MARKS = {"high": " 🔴", "low": " 🟢"}
+
+
+def export_markdown(tasks: DataFrame, order: list[str]) -> DataFrame:
+    """part, place and line of a Markdown list: a heading and the tasks of each status, tasks by order; sort by part and place."""
+    spark = tasks.sparkSession
+    marks = F.lit("")
+    for name, mark in PRIORITY_MARKS.items():
+        marks = F.when(F.col("priority") == name, mark).otherwise(marks)
+    due_mark = F.when(F.col("due").isNotNull(), F.concat(F.lit(" (due: "), F.col("due").cast("string"), F.lit(")"))).otherwise("")
+    out = spark.createDataFrame([(0, 0, "# Todo List"), *((2 * k + 1, 0, f"## {title}") for k, (_, title, _) in enumerate(SECTIONS))], "part int, place bigint, line string")
+    for k, (status, _, box) in enumerate(SECTIONS):
+        own = numbered(tasks.where(F.col("status") == status), order, place := free_name("place", tasks.columns))
+        text = F.concat(F.lit(box), F.coalesce("text", F.lit("")), *([marks, due_mark] if status == "pending" else []))
+        out = out.unionAll(own.select(F.lit(2 * k + 2).alias("part"), F.col(place), text))
+    return out
 
 
-def top_tags(tasks: DataFrame, n: int = 5) -> DataFrame:
-    return tasks.select(F.explode("tags").alias("tag")).groupBy("tag").count().orderBy(F.desc("count"), "tag").limit(n)
+def top_tags(tasks: DataFrame, n: int = 5, ties: Column | str = "tag") -> DataFrame:
+    """The n most frequent tags; equally frequent ones by the second order."""
+    return tasks.select(F.explode("tags").alias("tag")).groupBy("tag").count().orderBy(F.desc("count"), ties).limit(n)
 
 
 def search(tasks: DataFrame, text: str) -> DataFrame:
@@ -132,9 +184,9 @@ def search(tasks: DataFrame, text: str) -> DataFrame:
 
 
 def due(tasks: DataFrame, today: str, horizon: int = 7) -> DataFrame:
-    """Adds bucket: overdue, soon (within the horizon) or upcoming; tasks without a date are left out."""
+    """Pending tasks with bucket: overdue, soon (within the horizon) or upcoming; tasks without a date are left out."""
     days = F.date_diff(F.to_date("due"), F.lit(today).cast("date"))
-    return tasks.where("due is not null and status <> 'completed'").withColumn("bucket", F.when(days < 0, "overdue").when(days <= horizon, "soon").otherwise("upcoming"))
+    return tasks.where("due is not null and status = 'pending'").withColumn("bucket", F.when(days < 0, "overdue").when(days <= horizon, "soon").otherwise("upcoming"))
 
 
 def rename_tag(tasks: DataFrame, old: str, new: str) -> DataFrame:
