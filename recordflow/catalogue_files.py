@@ -60,16 +60,26 @@ def _(spark, t, folder):
     return load(spark, f"{folder}/n.xml").where("tag = 'n_name'").select("tag", "text")
 
 
-@_query("file_xml_tree", _values("tag, name", "'user', 'ann'", "'user', 'bob'"))
+def _text(rows: DataFrame, line: str, path: str, order: str, head: str | None = None, end: str | None = None, each: bool = False, **options) -> None:
+    """Text made of a table's rows, in order: one file, or (each) a file for each row."""
+    made = rows.select(F.lit(1).alias("part"), F.col(order).cast("long").alias("at"), F.expr(line).alias("value"))
+    for part, text in ((0, head), (2, end)):
+        if text is not None:
+            made = made.unionAll(rows.sparkSession.createDataFrame([(part, 0, text)], "part int, at long, value string"))
+    sorted_ = made.repartition(1).sortWithinPartitions("part", "at").select("value")
+    sorted_.write.options(**options | ({"maxRecordsPerFile": "1"} if each else {})).text(path)
+
+
+@_query("file_xml_tree", "select 'user' as tag, n_name as name from nation")
 def _(spark, t, folder):
-    sinks.put(spark, f"{folder}/in.xml", b'<users><user id="1"><name>ann</name></user><user id="2"><name>bob</name></user></users>')
+    _text(t("nation"), "concat('<user id=\"', n_nationkey, '\"><name>', n_name, '</name></user>')", f"{folder}/in.xml", "n_nationkey", "<users>", "</users>")
     sinks.save(load(spark, f"{folder}/in.xml?mode=tree"), f"{folder}/out.xml?mode=tree")
     return apply(load(spark, f"{folder}/out.xml?mode=tree"), ".children | .[] | {tag, name: .children[0].text}")
 
 
-@_query("file_xml_by_tag", _values("id, name", "'1', 'ann'"))
+@_query("file_xml_by_tag", "select cast(n_nationkey as varchar) as id, n_name as name from nation")
 def _(spark, t, folder):
-    sinks.put(spark, f"{folder}/in.xml", b'<user id="1"><name>ann</name></user>')
+    _text(t("nation"), "concat('<user id=\"', n_nationkey, '\"><name>', n_name, '</name></user>')", f"{folder}/in.xml", "n_nationkey", each=True)
     return load(spark, f"{folder}/in.xml?mode=xmltodict").selectExpr("user.`@id` as id", "user.name as name")
 
 
@@ -86,72 +96,76 @@ def _(spark, t, folder):
     return apply(table(spark, "listed_region"), "select(.r_regionkey > 0) | {r_name}")
 
 
-@_query("file_csv_long_rows", _values("a, b, _extra0, _extra1", "'1', '2', null, null", "'5', '6', '7', null", "'8', null, null, null", "'9', '10', '11', '12'"))
+@_query("file_csv_long_rows", "select cast(o_orderkey as varchar) as a, case when o_orderkey % 5 < 4 then cast(o_custkey as varchar) end as b, case when o_orderkey % 5 between 2 and 3 then 'x' || o_orderkey end as _extra0, case when o_orderkey % 5 = 3 then 'y' end as _extra1 from orders")
 def _(spark, t, folder):
-    sinks.put(spark, f"{folder}/x.csv", b"a,b\n1,2\n5,6,7\n8\n9,10,11,12\n")
+    _text(t("orders"), "concat_ws(',', o_orderkey, if(o_orderkey % 5 < 4, string(o_custkey), null), if(o_orderkey % 5 in (2, 3), concat('x', o_orderkey), null), if(o_orderkey % 5 = 3, 'y', null))", f"{folder}/x.csv", "o_orderkey", "a,b")
     return load(spark, f"{folder}/x.csv")
 
 
-@_query("file_csv_sniffed", _values("name, age", "'a;b', '1'", "'say \"x\"', '2'", "'c', '3'"))
+@_query("file_csv_sniffed", "select c_name || ';\"' || c_mktsegment as name, cast(c_custkey as varchar) as key from customer")
 def _(spark, t, folder):
-    sinks.put(spark, f"{folder}/x.csv", b'name;age\n"a;b";1\n"say ""x""";2\nc;3\n')
+    _text(t("customer"), "concat('\"', c_name, ';\"\"', c_mktsegment, '\";', c_custkey)", f"{folder}/x.csv", "c_custkey", "name;key")
     return load(spark, f"{folder}/x.csv")
 
 
-@_query("file_csv_no_header", _values("col0, col1", "'x', '1'", "'y', '2'", "'z', '3'"))
+@_query("file_csv_no_header", "select c_name as col0, cast(c_custkey as varchar) as col1 from customer")
 def _(spark, t, folder):
-    sinks.put(spark, f"{folder}/x.csv", b"x,1\ny,2\nz,3\n")
+    _text(t("customer"), "concat(c_name, ',', c_custkey)", f"{folder}/x.csv", "c_custkey")
     return load(spark, f"{folder}/x.csv?header=false")
 
 
-@_query("file_glob_lineage", _values("_filename, _ext, _file_index, _line_index, level", "'a.jsonl', '.jsonl', 0::bigint, 0::bigint, 'info'", "'a.jsonl', '.jsonl', 0, 1, 'error'", "'b.jsonl', '.jsonl', 1, 0, 'warn'", "'c.jsonl', '.jsonl', 2, 0, 'error'", "'c.jsonl', '.jsonl', 2, 1, 'info'", "'c.jsonl', '.jsonl', 2, 2, 'info'"))
+@_query("file_glob_lineage", "select '.json' as _ext, case event_type when 'click' then 0 when 'error' then 1 else 2 end::bigint as _file_index, row_number() over (partition by event_type order by event_id) - 1 as _line_index, event_id from events where event_type in ('click', 'error', 'view')")
 def _(spark, t, folder):
-    for name, levels in (("2024/a", ("info", "error")), ("2024/01/b", ("warn",)), ("2025/c", ("error", "info", "info"))):
-        # a folder's own files come before those of its folders below, as paths are ordered
-        sinks.put(spark, f"{folder}/{name.replace('2024/a', '2024/00/a')}.jsonl", "".join(json.dumps({"level": x}) + "\n" for x in levels).encode())
-    return load(spark, f"{folder}/**/*.jsonl", index=True).select("_filename", "_ext", "_file_index", "_line_index", "level")
+    for place, kind in (("2024/00", "click"), ("2024/01", "error"), ("2025", "view")):
+        t("events").where(f"event_type = '{kind}'").select("event_id").orderBy("event_id").coalesce(1).write.json(f"{folder}/{place}")
+    return load(spark, f"{folder}/**/*.json~jsonl", index=True).select("_ext", "_file_index", "_line_index", "event_id")
 
 
-@_query("file_glob_csv", _values("_basename, a, b", "'one', '1', '2'", "'two', '3', '4'"))
+@_query("file_glob_csv", "select case when c_custkey % 3 = 0 then 'x' else 'y/z' end as place, cast(c_custkey as varchar) as c_custkey, c_name from customer where c_custkey % 3 < 2")
 def _(spark, t, folder):
-    sinks.put(spark, f"{folder}/x/logs/one.csv", b"a,b\n1,2\n")
-    sinks.put(spark, f"{folder}/y/z/logs/two.csv", b"a,b\n3,4\n")
-    sinks.put(spark, f"{folder}/y/other.csv", b"a,b\n5,6\n")
-    return load(spark, f"{folder}/**/logs/*.csv", lineage=True).select("_basename", "a", "b")
+    for k, place in enumerate(("x/logs", "y/z/logs", "y/other")):
+        t("customer").where(f"c_custkey % 3 = {k}").select("c_custkey", "c_name").write.option("header", "true").csv(f"{folder}/{place}")
+    return load(spark, f"{folder}/**/logs/*.csv", lineage=True).select(F.regexp_extract("_dir", "/(x|y/z)/logs$", 1).alias("place"), "c_custkey", "c_name")
 
 
-@_query("file_yaml_gzip", _values("_filename, _line_index, x, tags", "'one.yaml.gz', 0::bigint, 1::bigint, ['a']", "'one.yaml.gz', 1, 2, ['b', 'c']", "'two.yaml', 0, 3, null"))
+@_query("file_yaml_gzip", "select r_regionkey as _file_index, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as _line_index, n_nationkey::bigint as x, [n_name, r_name] as tags from nation join region on n_regionkey = r_regionkey")
 def _(spark, t, folder):
-    sinks.put(spark, f"{folder}/a/one.yaml.gz", gzip.compress(b"- x: 1\n  tags: [a]\n- x: 2\n  tags: [b, c]\n"))
-    sinks.put(spark, f"{folder}/b/two.yaml", b"x: 3\n")
-    return load(spark, f"{folder}/**/*.y*ml*~yaml", index=True).select("_filename", "_line_index", "x", "tags")
+    both = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    for k in range(5):  # a file for each region
+        _text(both.where(f"r_regionkey = {k}"), "concat('- x: ', n_nationkey, '\n  tags: [', n_name, ', ', r_name, ']')", f"{folder}/{k}", "n_nationkey", compression="gzip")
+    return load(spark, f"{folder}/**/*.txt.gz~yaml", index=True).select("_file_index", "_line_index", "x", "tags")
 
 
-@_query("file_toml", _values("title, port", "'demo', 8080::bigint"))
+@_query("file_toml", "select n_name as title, 8000 + n_nationkey::bigint as port from nation")
 def _(spark, t, folder):
-    sinks.put(spark, f"{folder}/x.toml", b'title = "demo"\n[server]\nport = 8080\n')
+    _text(t("nation"), "concat('title = \"', n_name, '\"\n[server]\nport = ', 8000 + n_nationkey)", f"{folder}/x.toml", "n_nationkey", each=True)
     return apply(load(spark, f"{folder}/x.toml"), "{title, port: .server.port}")
 
 
-@_query("file_markdown", _values("type, content", "'frontmatter', null", "'content', '# Head' || chr(10) || 'body'"))
+@_query("file_markdown", "select 'content' as type, '# ' || n_name || chr(10) || 'body ' || n_nationkey as content from nation union all select 'frontmatter', null from nation")
 def _(spark, t, folder):
-    sinks.put(spark, f"{folder}/x.md", b"---\ntitle: demo\n---\n# Head\nbody\n")
+    _text(t("nation"), "concat('---\ntitle: ', n_name, '\n---\n# ', n_name, '\nbody ', n_nationkey, '\n')", f"{folder}/x.md", "n_nationkey", each=True)
     return load(spark, f"{folder}/x.md").select("type", "content")
 
 
-_LCOV = b"SF:a.py\nFN:1,3,f\nFN:5,g\nFNDA:2,f\nFNDA:0,g\nDA:1,1\nDA:2,2\nDA:3,0\nDA:5,1\nDA:6,0\nBRDA:2,0,0,1\nBRDA:2,0,1,-\nend_of_record\nSF:b.py\nDA:1,0\nend_of_record\n"
+def _covered(t, folder: str) -> str:
+    """Coverage of a made-up source file for each nation: its key says how often lines, functions and branches ran."""
+    record = "concat_ws('\n', concat('SF:', n_name, '.py'), 'FN:1,3,f', 'FN:5,g', concat('FNDA:', n_nationkey, ',f'), 'FNDA:0,g', concat('DA:1,', n_nationkey % 2), 'DA:2,2', 'DA:3,0', concat('DA:5,', n_nationkey % 3), 'DA:6,0', concat('BRDA:2,0,0,', n_nationkey), 'BRDA:2,0,1,-', 'end_of_record', concat('SF:', n_name, '_b.py'), 'DA:1,0', 'end_of_record')"
+    _text(t("nation"), record, f"{folder}/x.lcov", "n_nationkey", each=True)
+    return f"{folder}/x.lcov"
+
+
+_HITS = "1 + (n_nationkey % 2 > 0)::int + (n_nationkey % 3 > 0)::int"
 
 
-@_query("coverage_files", _values("file, lines, hit_lines, branches, hit_branches, line_share, branch_share", "'a.py', 5::bigint, 3::bigint, 2::bigint, 1::bigint, 0.6::double, 0.5::double", "'b.py', 1, 0, 0, 0, 0.0, null"))
+@_query("coverage_files", f"select n_name || '.py' as file, 5::bigint as lines, ({_HITS})::bigint as hit_lines, 2::bigint as branches, (n_nationkey > 0)::bigint as hit_branches, ({_HITS}) / 5::double as line_share, (n_nationkey > 0)::int / 2::double as branch_share from nation union all select n_name || '_b.py', 1, 0, 0, 0, 0.0, null from nation")
 def _(spark, t, folder):
-    sinks.put(spark, f"{folder}/x.lcov", _LCOV)
-    return coverage.files(load(spark, f"{folder}/x.lcov"))
+    return coverage.files(load(spark, _covered(t, folder)))
 
 
-@_query("coverage_functions", _values("name, calls, lines, hit_lines", "'f', 2::bigint, 3::bigint, 2::bigint", "'g', 0, 2, 1"))
+@_query("coverage_functions", "select n_name || '.py' as file, 'f' as name, n_nationkey::bigint as calls, 3::bigint as lines, (1 + (n_nationkey % 2 > 0)::int)::bigint as hit_lines from nation union all select n_name || '.py', 'g', 0, 2, (n_nationkey % 3 > 0)::bigint from nation")
 def _(spark, t, folder):
-    sinks.put(spark, f"{folder}/x.lcov", _LCOV)
-    return coverage.functions(load(spark, f"{folder}/x.lcov")).select("name", "calls", "lines", "hit_lines")
+    return coverage.functions(load(spark, _covered(t, folder))).select("file", "name", "calls", "lines", "hit_lines")
 
 
 @_query("call_counts", "select event_type as callee, count(distinct user_id) as callers from events group by 1")
@@ -187,10 +201,10 @@ def _(spark, t, folder):
     return apply(t("nation"), "{n_nationkey, c: (.n_name | chars)}")
 
 
-@_query("math_limits", _values("k, i, d, a, n", "0, -9223372036854775807, null, null, null", "1, null, 9223372036854775806, 9223372036854775807, -9223372036854775807", "2, 6, 4, 5, -5").replace("(0, -9223372036854775807,", "(0, -9223372036854775807::bigint,"))
+@_query("math_limits", "select o_orderkey as k, case o_orderkey % 3 when 0 then -9223372036854775807::bigint when 2 then o_custkey + 1 end as i, case o_orderkey % 3 when 1 then 9223372036854775806::bigint when 2 then o_custkey - 1 end as d, case o_orderkey % 3 when 1 then 9223372036854775807::bigint when 2 then o_custkey end as a, case o_orderkey % 3 when 1 then -9223372036854775807::bigint when 2 then -o_custkey end as n from orders")
 def _(spark, t, folder):
     # one more, one less, size and sign of the least and the largest whole numbers: null where there is none
-    made = spark.range(3).selectExpr("cast(id as int) k", "case id when 0 then -9223372036854775807 - 1 when 1 then 9223372036854775807 else 5 end v")
+    made = t("orders").selectExpr("o_orderkey k", "case o_orderkey % 3 when 0 then -9223372036854775807 - 1 when 1 then 9223372036854775807 else o_custkey end v")
     return apply(made, "{k, i: (.v|incr), d: (.v|decr), a: (.v|abs), n: (.v|negate)}")
 
 
