@@ -152,9 +152,10 @@ def seen_twice(docs: DataFrame, least: int, cells: int, folded: int = FOLDED) ->
     if cells > folded:
         found = together(found, "place").mapInArrow(fold, "place bigint, bits binary")
     out = np.zeros(folded // 8, np.uint8)
-    for r in found.toLocalIterator():
-        own = np.frombuffer(r.bits, np.uint8)
-        out[r.place * segment // 8 :][: len(own)] |= own
+    for batch in found.toArrow().to_batches():  # folded / 8 bytes at most
+        for at, bits in zip(batch.column("place").to_pylist(), batch.column("bits"), strict=True):
+            own = np.frombuffer(bits.as_buffer(), np.uint8)
+            out[at * segment // 8 :][: len(own)] |= own
     return out
 
 
@@ -265,7 +266,8 @@ def drop_repeated_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
     found = cut(repeated_lines(own, bits, least_chars, least_docs), "lines")
     n, total = found.agg(F.count(F.lit(1)), F.sum("n")).first()
     often = found.where(F.col("n") > total / held) if n > held else found  # held of them at most
-    keepers = sc.broadcast({bytes(r.digest): r.keeper for r in often.select("digest", "keeper").toLocalIterator()})
+    kept = often.select("digest", "keeper").toArrow()
+    keepers = sc.broadcast(dict(zip(kept.column("digest").to_pylist(), kept.column("keeper").to_pylist(), strict=True)))
     id_, drops = free_name("_id", rest), None
     ready = docs.select(*rest, F.col("doc_id").cast("bigint").alias(id_))
     if n > held:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextvars import ContextVar
@@ -18,14 +20,38 @@ from ..session import shared_dir
 
 #: Whether Spark deletes an execution's shuffle files when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+#: Of each session with writes under way: their number, and the setting before the first of them.
+_WRITES: dict[int, tuple[int, str]] = {}
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Executions inside delete their shuffle files.  The setting is the session's: the first write sets it and the last puts the old value back.
+
+    It can't stay on: a DataFrame that is executed a second time would have to make its shuffles again.
+    """
+    with _LOCK:
+        n, before = _WRITES.get(id(spark), (0, ""))
+        if n == 0:
+            before = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _WRITES[id(spark)] = (n + 1, before)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _WRITES.pop(id(spark))
+            if n == 1:
+                spark.conf.set(_CLEANUP, before)
+            else:
+                _WRITES[id(spark)] = (n - 1, before)
 
 
 def save(df: DataFrame, path: str, options: dict[str, str] | None = None) -> None:
-    """Writes df as a table; from the first call on, the session's jobs delete their shuffle files when they are done."""
-    conf = df.sparkSession.conf
-    if conf.get(_CLEANUP, "false") != "true":
-        conf.set(_CLEANUP, "true")
-    df.write.options(compression="zstd", **(options or {})).parquet(path)
+    """Writes df as a table; the shuffle files of the job are deleted when it is done."""
+    with _cleaned(df.sparkSession):
+        df.write.options(compression="zstd", **(options or {})).parquet(path)
 
 
 #: Tables that cut() made and that are not deleted yet: a list for each tidy operator that this thread is in, the innermost last.

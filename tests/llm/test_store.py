@@ -71,8 +71,10 @@ def test_operators_in_threads_keep_their_tables(spark):
     def work(n):
         return [outer(n).agg({"k": "sum"}).first()[0] for _ in range(4)]
 
+    setting = spark.conf.get(store._CLEANUP, "false")
     with ThreadPoolExecutor(3) as pool:
         assert list(pool.map(work, (10, 200, 3000))) == [[n * (n - 1)] * 4 for n in (10, 200, 3000)]
+    assert spark.conf.get(store._CLEANUP, "false") == setting and not store._WRITES
     new = folders(spark) - before
     assert len(new) == 12 and all("-outer-" in f for f in new)
 
