@@ -128,7 +128,7 @@ def _(spark, t, folder):
     return load(spark, f"{folder}/**/logs/*.csv", lineage=True).select(F.regexp_extract("_dir", "/(x|y/z)/logs$", 1).alias("place"), "c_custkey", "c_name")
 
 
-@_query("file_yaml_gzip", "select r_regionkey as _file_index, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as _line_index, n_nationkey::bigint as x, [n_name, r_name] as tags from nation join region on n_regionkey = r_regionkey")
+@_query("file_yaml_gzip", "select r_regionkey::bigint as _file_index, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as _line_index, n_nationkey::bigint as x, [n_name, r_name] as tags from nation join region on n_regionkey = r_regionkey")
 def _(spark, t, folder):
     both = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     for k in range(5):  # a file for each region

@@ -8,7 +8,7 @@ import pytest
 from recordflow import catalogue
 
 DATA = "/root/testdata/sf0.001"
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "float": "FLOAT", "array<float>": "FLOAT[]", "array<string>": "VARCHAR[]", "array<bigint>": "BIGINT[]"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "float": "FLOAT", "array<float>": "FLOAT[]", "array<string>": "VARCHAR[]", "array<bigint>": "BIGINT[]", "array<int>": "INTEGER[]"}
 
 
 @pytest.fixture(scope="module")
