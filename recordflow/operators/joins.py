@@ -1,10 +1,12 @@
 """Equi-joins of records, membership tests and containment joins.
 
-The strategy is Catalyst's and adaptive execution's: nothing here is broadcast by hand.
+The strategy of equi-joins is Catalyst's and adaptive execution's; nothing of a table's size is broadcast by hand.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,8 +142,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     return found.select("l.*", *shown).unionAll(alone)
 
 
-#: Rows of a cell of an interval join about, and cells at most.
-CELL_ROWS, CELLS = 2_000, 4096
+#: Points of a cell of an interval join about, and cells at most.
+CELL_ROWS, CELLS = 500, 4096
 
 
 def _covers(a: Column, b: Column, leaves: int) -> Column:
@@ -163,34 +165,47 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], v
     """Rows of left and right with equal keys and left.value between right.start and right.end, those included.
 
     start or end None: unbounded on that side.  ends: "both", or which of them counts as inside ("start", "end", "neither").
-    Values of both sides are cut into cells by quantiles; a binary tree over the cells covers each interval with at
-    most two nodes a level, however long it is, and a value stands in one node of each level in use.  An interval and
-    a value inside it meet in one node exactly.  A null never matches.
+    Quantiles of (keys, value) cut left into cells.  A row of it stands in one cell, and an interval in each cell from its
+    beginning to its end.  All of these but the first and the last hold nothing but partners of it, so its copies are few beside
+    its results.  Keys of different kinds have no common order; there cells are of the value alone, and a binary tree
+    over them covers each interval with at most two nodes a level, and a value stands in one node of each level in use.
+    Both sides are dealt by cell to as many tasks as the session shuffles to, as the work lies in the pairs and not in the rows
+    read.  A null never matches.
     """
     taken = [*left.columns, *right.columns]
-    node, way = free_name("_node", taken), free_name("_nodes", taken)
-    cols = [F.col(f"`{c}`") for c in (start, end) if c is not None]
-    there = F.lit(True)
-    for c in cols:
-        there = there & c.isNotNull()
-    if len(cols) == 2:
-        there = there & (cols[0] <= cols[1])
-    a, b = left.where(F.col(f"`{value}`").isNotNull()), right.where(there)
-    key = lambda c: F.struct(F.col(f"`{c}`").alias("v"))
-    seen = a.select(key(value).alias("k"), row_hash(a).alias("h"))
-    for c in (start, end):
-        if c is not None:
-            seen = seen.unionAll(b.select(key(c).alias("k"), row_hash(b).alias("h")))
-    kind = seen.schema["k"].dataType["v"].dataType
-    bounds = cuts(seen, CELLS, CELL_ROWS)
-    leaves = 1 << len(bounds).bit_length()
-    cell = lambda c: place(F.struct(F.col(f"`{c}`").cast(kind).alias("v")), bounds)
-    b = b.withColumn(way, _covers(F.lit(0) if start is None else cell(start), F.lit(leaves - 1) if end is None else cell(end), leaves))
-    b = b.withColumn(node, F.explode(way)).drop(way)
-    top = leaves.bit_length() - 1
-    used = [r[0] for r in b.select((top - F.floor(F.log2(F.col(node) + 0.5))).cast("int").alias("level")).distinct().collect()]  # a number for each level
-    leaf = (cell(value) + leaves).cast("int")
-    a = a.withColumn(node, F.explode(F.array(*(F.shiftright(leaf, h) for h in sorted(used))) if used else F.array().cast("array<int>")))
+    node = free_name("_node", taken)
+    way = free_name("_nodes", [*taken, node])
+    a = left.where(~_lacks([value, *(x for x, _ in keys)]))
+    b = right.where(~_lacks([c for c in (start, end, *(y for _, y in keys)) if c is not None]))
+    if start is not None and end is not None:
+        b = b.where(F.col(f"`{start}`") <= F.col(f"`{end}`"))
+    kind = lambda df, c: df.schema[c].dataType
+    alike = lambda x, y: x == y or isinstance(x, T.NumericType) and isinstance(y, T.NumericType)
+    together = all(alike(kind(left, x), kind(right, y)) for x, y in keys)
+    groups = [(x, y) for x, y in keys if together]
+    common = lambda x, *others: functools.reduce(DataFrame.unionAll, (b.select(f"`{y}`") for y in others), a.select(f"`{x}`")).schema[0].dataType
+    types = [*(common(x, y) for x, y in groups), common(value, *(c for c in (start, end) if c is not None))]
+
+    def at(own: list[str], v: str | None, side: int = 0) -> Column:
+        """The place of a value after those of smaller keys; without a value, before or after all of its keys."""
+        shown = [F.col(f"`{c}`").cast(t).alias(f"k{i}") for i, (c, t) in enumerate(zip(own, types, strict=False))]
+        return F.struct(*shown, F.lit(side).alias("side"), (F.lit(None) if v is None else F.col(f"`{v}`")).cast(types[-1]).alias("v"))
+
+    ours, theirs = [x for x, _ in groups], [y for _, y in groups]
+    bounds = cuts(a.select(at(ours, value).alias("k"), row_hash(a).alias("h")), CELLS, CELL_ROWS)
+    first, last = (place(at(theirs, c, 0 if c is not None else side), bounds) for c, side in ((start, -1), (end, 1)))
+    if together:
+        a = a.withColumn(node, place(at(ours, value), bounds))
+        b = b.withColumn(node, F.explode(F.sequence(first, last)))
+    else:
+        leaves = 1 << len(bounds).bit_length()
+        b = b.withColumn(way, _covers(first, last, leaves)).withColumn(node, F.explode(way)).drop(way)
+        top = leaves.bit_length() - 1
+        used = [r[0] for r in b.select((top - F.floor(F.log2(F.col(node) + 0.5))).cast("int").alias("level")).distinct().collect()]  # a number for each level
+        a = a.withColumn(node, (place(at(ours, value), bounds) + leaves).cast("int"))
+        a = a.withColumn(way, F.array(*(F.shiftright(node, h) for h in sorted(used))) if used else F.array().cast("array<int>")).withColumn(node, F.explode(way)).drop(way)
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (df.repartition(tasks, node, *(F.col(f"`{k[side]}`") for k in keys)) for side, df in enumerate((a, b)))
     l, r = (lambda c: F.col(f"l.`{c}`")), (lambda c: F.col(f"r.`{c}`"))  # noqa: E731, E741
     on = l(node) == r(node)
     for x, y in keys:
@@ -199,7 +214,9 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], v
         on = on & (l(value) >= r(start) if ends in ("both", "start") else l(value) > r(start))
     if end is not None:
         on = on & (l(value) <= r(end) if ends in ("both", "end") else l(value) < r(end))
-    return a.alias("l").join(b.alias("r"), on).drop(node)
+    # intervals pass by, and a task holds the points of one cell
+    joined = b.alias("r").join(a.alias("l").hint("merge"), on)
+    return joined.select(*(l(c) for c in left.columns), *(r(c) for c in right.columns))
 
 
 def theta_join(left: DataFrame, right: DataFrame, value: str, op: str, bound: str, keys: list[tuple[str, str]] = ()) -> DataFrame:

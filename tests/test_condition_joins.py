@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
 from recordflow.operators import asof_join, joins, overlap_join, range_join, theta_join
 
@@ -91,3 +92,30 @@ def test_copies_of_an_interval_are_bounded(spark):
         for r in spark.createDataFrame(rows, "a int, b int").select("a", "b", joins._covers(F.col("a"), F.col("b"), leaves).alias("nodes")).collect():
             under = [leaf for leaf in range(leaves) for h in range(leaves.bit_length()) if (leaf + leaves) >> h in r.nodes]
             assert under == list(range(r.a, r.b + 1)) and len(r.nodes) <= 2 * leaves.bit_length()
+
+
+def test_theta_deals_pairs_to_all_tasks(spark):
+    """Small sides with many pairs are not broadcast, which would leave the pairs to the tasks that read a small file; a value is not copied."""
+    a = spark.range(3000).selectExpr("id as i", "id % 2 as k", "id as v").coalesce(1)
+    got = theta_join(a, a.toDF("j", "kk", "w"), "v", "<", "w", [("k", "kk")])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert got.count() == 2 * (1500 * 1499 // 2)
+    held = got.select("i", "j", spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(held) > 1
+
+
+def test_intervals_of_other_kinds(spark, monkeypatch):
+    """Keys of different kinds, times without a zone, missing numbers and wide keys against a loop."""
+    monkeypatch.setattr(joins, "CELL_ROWS", 3)
+    rng = random.Random(8)
+    points = [(i, f"0{rng.randint(0, 3)}", rng.randint(0, 3), rng.choice([None, float("nan"), -1.5, 0.0, -0.0, *map(float, range(30))]), rng.randint(0, 10**6)) for i in range(150)]
+    spans = [(i, rng.randint(0, 3), s, s + rng.randint(0, 9), t, t + rng.randint(0, 10**5)) for i in range(60) for s, t in [(float(rng.randint(-3, 30)), rng.randint(0, 10**6))]]
+    at = "timestamp_ntz'1969-12-31 23:59:59.3' + make_dt_interval(0, 0, 0, {} / 1000000)"
+    a = spark.createDataFrame(points, "i int, k string, n int, v double, t long").selectExpr("i", "k", "n", "v", "t", f"{at.format('t')} as ts")
+    b = spark.createDataFrame(spans, "j int, kk long, lo double, hi double, t0 long, t1 long").selectExpr("*", f"{at.format('t0')} as s0", f"{at.format('t1')} as s1")
+    for key in ("k", "n"):
+        want = sorted((i, j) for i, k, n, v, _ in points for j, kk, lo, hi, *_ in spans if int(k if key == "k" else n) == kk and v is not None and lo <= v <= hi)
+        assert sorted((r.i, r.j) for r in range_join(a, b, [(key, "kk")], "v", "lo", "hi").collect()) == want
+        want = sorted((i, j) for i, k, n, _, t in points for j, kk, _, _, t0, t1 in spans if int(k if key == "k" else n) == kk and t0 <= t <= t1)
+        assert sorted((r.i, r.j) for r in range_join(a, b, [(key, "kk")], "ts", "s0", "s1").collect()) == want
