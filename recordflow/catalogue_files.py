@@ -5,8 +5,9 @@ from __future__ import annotations
 import gzip
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,25 @@ def _(spark, t, folder):
     return load(spark, f"{folder}/n.xml").where("tag = 'n_name'").select("tag", "text")
 
 
+def _csv_text(rows: DataFrame, line: str, path: str, order: str, head: str | None = None) -> None:
+    """Lines made of a table's rows, in order: a file for each range of them, each with the head, so no task sorts the whole table."""
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        led = False
+        for batch in batches:
+            if batch.num_rows and not led:
+                led = True
+                if batch.column("at")[0].is_valid:  # the first range has it as a row
+                    yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+            yield pa.RecordBatch.from_arrays([batch.column("value")], names=["value"])
+
+    made = rows.select(F.col(order).cast("long").alias("at"), F.expr(line).alias("value"))
+    if head is not None:
+        made = made.unionAll(rows.sparkSession.createDataFrame([(None, head)], "at long, value string"))
+    made = made.repartitionByRange("at").sortWithinPartitions("at")
+    (made.select("value") if head is None else made.mapInArrow(headed, "value string")).write.text(path)
+
+
 def _text(rows: DataFrame, line: str, path: str, order: str, head: str | None = None, end: str | None = None, each: bool = False, **options) -> None:
     """Text made of a table's rows, in order: one file, or (each) a file for each row."""
     made = rows.select(F.lit(1).alias("part"), F.col(order).cast("long").alias("at"), F.expr(line).alias("value"))
@@ -98,19 +118,19 @@ def _(spark, t, folder):
 
 @_query("file_csv_long_rows", "select cast(o_orderkey as varchar) as a, case when o_orderkey % 5 < 4 then cast(o_custkey as varchar) end as b, case when o_orderkey % 5 between 2 and 3 then 'x' || o_orderkey end as _extra0, case when o_orderkey % 5 = 3 then 'y' end as _extra1 from orders")
 def _(spark, t, folder):
-    _text(t("orders"), "concat_ws(',', o_orderkey, if(o_orderkey % 5 < 4, string(o_custkey), null), if(o_orderkey % 5 in (2, 3), concat('x', o_orderkey), null), if(o_orderkey % 5 = 3, 'y', null))", f"{folder}/x.csv", "o_orderkey", "a,b")
+    _csv_text(t("orders"), "concat_ws(',', o_orderkey, if(o_orderkey % 5 < 4, string(o_custkey), null), if(o_orderkey % 5 in (2, 3), concat('x', o_orderkey), null), if(o_orderkey % 5 = 3, 'y', null))", f"{folder}/x.csv", "o_orderkey", "a,b")
     return load(spark, f"{folder}/x.csv")
 
 
 @_query("file_csv_sniffed", "select c_name || ';\"' || c_mktsegment as name, cast(c_custkey as varchar) as key from customer")
 def _(spark, t, folder):
-    _text(t("customer"), "concat('\"', c_name, ';\"\"', c_mktsegment, '\";', c_custkey)", f"{folder}/x.csv", "c_custkey", "name;key")
+    _csv_text(t("customer"), "concat('\"', c_name, ';\"\"', c_mktsegment, '\";', c_custkey)", f"{folder}/x.csv", "c_custkey", "name;key")
     return load(spark, f"{folder}/x.csv")
 
 
 @_query("file_csv_no_header", "select c_name as col0, cast(c_custkey as varchar) as col1 from customer")
 def _(spark, t, folder):
-    _text(t("customer"), "concat(c_name, ',', c_custkey)", f"{folder}/x.csv", "c_custkey")
+    _csv_text(t("customer"), "concat(c_name, ',', c_custkey)", f"{folder}/x.csv", "c_custkey")
     return load(spark, f"{folder}/x.csv?header=false")
 
 
