@@ -81,6 +81,32 @@ def test_recall_constrains_the_threshold(spark, rows):
     assert few.recall >= 0.85
 
 
+def test_every_window_is_used(spark, rows):
+    """Shares hold all distinct windows, whatever their size; training and threshold see all shares, and their layout changes nothing."""
+    windows = set()
+    for _, text in rows:
+        base = S.base_spans(text or "")
+        windows |= {(k < 3, S.window(text, a, b)) for a, k, b in base + S.other_spans(text or "", base)}
+    by = {y: sorted(w for x, w in windows if x == y) for y in (True, False)}
+    for few, sample in ((5, 1000), (5, 30), (len(by[True]), 30)):
+        kept = {(False, w) for w in by[False]} | {(True, w) for w in by[True][:few]}
+        dealt, n = S.shares(spark.createDataFrame(sorted(kept), "y boolean, w string"), {True: few, False: len(by[False])}, sample)
+        dealt = dealt.cache()
+        found = dealt.collect()
+        assert len(found) == n == -(-max(few, len(by[False])) // sample)
+        assert {(x.y, x.w) for r in found for x in r.windows} == kept
+        for y in (True, False):
+            part = {x.w: x.part for r in found for x in r.windows if x.y == y}
+            assert all(abs(sum(v == k for v in part.values()) - len(part) / 4) <= n for k in range(4))
+            assert all(sum(x.y == y for x in r.windows) >= min(few, 5) for r in found)
+    nets = [S.Network.new() for _ in range(2)]
+    assert all(S._turn(net, dealt.repartition(k), (1, 0), None, 1) for net, k in zip(nets, (1, 6), strict=True))
+    assert S.np.array_equal(nets[0].state(), nets[1].state()) and nets[0].steps == nets[1].steps > 30
+    counts = S._held_out(nets[0], dealt, 2, 3, S.Network.new())
+    held = [sum(x.y == y and x.part == 2 for r in found for x in r.windows) for y in (False, True)]
+    assert counts.sum(axis=1).tolist() == [2 * held[0] + 2 * S.INVENTED * n, held[1] + 2 * S.INVENTED * n] and min(held) > 30
+
+
 def test_whole_candidates_are_seen():
     """A candidate longer than a row: its middle changes the score, and every run of characters stands in some row."""
     net = S.Network.new(3)
