@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..operators import numbered
 from . import runs as R
 from . import words as W
-from .store import cut, drop, tidy
+from .store import cut, drop, large, tidy
 
 #: Distinct words that a task holds before it hands on their counts.
 HELD = 300_000
@@ -133,7 +133,7 @@ def near_words(words: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), part.column("id").take(pa.array(of)), *(pa.array(x.astype(np.int32)) for x in (size, i, j))], names=["k1", "k2", "id", "size", "i", "j"])
 
     keys = words.select("id", "word").mapInArrow(run, "k1 bigint, k2 bigint, id bigint, size int, i int, j int")
-    a, b = keys.alias("a"), keys.alias("b")
+    a, b = keys.alias("a"), large(keys.alias("b"))  # Spark sizes keys as the words, of which each has several
     shared = (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.id") != F.col("b.id"))
     near = (F.col("a.size") != F.col("b.size")) | (F.col("a.i") <= F.col("b.j")) & (F.col("b.i") <= F.col("a.j"))
     return a.join(b, shared & near).groupBy(F.col("a.id").alias("id")).agg(F.count(F.lit(1)).alias("n_near"), F.min("b.id").alias("best"))
@@ -143,7 +143,7 @@ def roots(forms: DataFrame) -> DataFrame:
     """Of links (id, root) without cycles: each id with the end of its chain, in as many rounds as the longest chain has binary digits."""
     now = cut(forms.select("id", "root"), "roots")
     while True:
-        a, b = now.alias("a"), now.alias("b")
+        a, b = now.alias("a"), large(now.alias("b"))
         step = a.join(b, F.col("a.root") == F.col("b.id"), "left").select("a.id", F.coalesce("b.root", "a.root").alias("root"), F.col("b.root").isNotNull().alias("moved"))
         done = cut(step, "roots")
         drop(now)
@@ -169,11 +169,11 @@ def spelling_groups(counts: DataFrame, ratio: int = 2) -> DataFrame:
     near = near_words(words)
     best = words.select(F.col("id").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
     far = F.col("form_n") >= ratio * F.col("n")
-    linked = words.join(near, "id", "left").join(best, "best", "left")
+    linked = words.join(large(near), "id", "left").join(large(best), "best", "left")
     linked = cut(linked.select("id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), *(F.when(far, F.col(c)).alias(c) for c in ("best", "form", "form_n"))), "forms")
     ends = roots(linked.where("best is not null").select("id", F.col("best").alias("root"))).withColumnRenamed("root", "end")
     named = words.select(F.col("id").alias("end"), F.col("word").alias("root"))
-    return linked.join(ends, "id", "left").join(named, "end", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return linked.join(large(ends), "id", "left").join(large(named), "end", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 @tidy

@@ -126,6 +126,11 @@ def small(df: DataFrame) -> DataFrame:
     return broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
+def large(df: DataFrame) -> DataFrame:
+    """df marked for a shuffle join, for tables that grow with the input: Spark may size one too low (compressed files, more rows out of a batch than came in) and broadcast it."""
+    return df.hint("merge")
+
+
 #: Hashes by which samples are taken are below this.
 SPAN = 1 << 40
 

@@ -99,3 +99,23 @@ def test_small_tables(spark):
     assert rows(S.spelling_groups(spark.createDataFrame([("word", 4), (None, 3), ("ward", None)], "word string, n long"))) == {"word": (None, "word", 4, 0, None)}
     with pytest.raises(ValueError):
         S.spelling_groups(spark.createDataFrame([("word", 4)], "word string, n long"), ratio=1)
+
+
+def test_tables_of_words_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def cut(df, name, *rest):
+        if name != "words":  # numbering broadcasts a row for each range
+            plans.append(plan(df))
+        return made(df, name, *rest)
+
+    made = S.cut
+    monkeypatch.setattr(S, "cut", cut)
+    counts = {"q" * k: 2**k for k in range(5, 30)} | {"wörld": 3, "world": 40, "words": 7}
+    got = S.spelling_groups(spark.createDataFrame(list(counts.items()), "word string, n long"))
+    assert rows(got) == direct(counts)
+    assert sum("SortMergeJoin" in p for p in plans) > 2
+    assert not any("BroadcastHashJoin" in p for p in [*plans, plan(got)])
