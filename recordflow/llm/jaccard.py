@@ -22,6 +22,11 @@ XOR of the mixed positions of its odd bits.
   compared in blocks: Hamming distance of dense sketches, then exact sets, for
   pairs that no link found so far connects.  A block returns a forest, not its
   pairs.  No bucket, family or partner count is capped.
+* Lines and passages that many documents hold join unrelated ones to a family, the
+  larger the more documents there are.  So the members of families of
+  WIDE blocks and more are tied once more, by their rarest shingles as counted among them: partners
+  share one of the first n - ceil(n * percent / 100) + 1 in any common order, and a set with as many
+  shingles of its own has no partner.  What is compared in blocks are the components of these ties.
 * The forest is the shortcut of jaccard_components.  jaccard_join checks every
   candidate pair of a block and returns all links between classes.
 """
@@ -38,12 +43,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .store import cut, drop, small, summed, tidy
+from .store import cut, drop, large, small, summed, tidy
 
 #: Bits of a dense sketch; a multiple of 64.
 DENSE = 2048
 #: Members of a block and bytes of their sets, about; a family of b blocks is compared in b^2 / 2 tasks' worth of pairs.
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Families of so many blocks are parted first; fewer blocks are dealt out for less than their shingles' counts cost.
+WIDE = 4
 #: log2 of the number of shared counters for shingle frequency.
 COUNTER_BITS = 18
 #: A class of shingles is common from so many times the mean on.
@@ -257,6 +264,51 @@ def shared_chunks(heads: DataFrame) -> DataFrame:
     return rows.select("head", F.coalesce("lead", least).alias("lead")).where("head <> lead").select(F.col("head").alias("a"), F.col("lead").alias("b")).distinct()
 
 
+def _rarest(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """head, n (set size), keys of each set of docs (doc_id, text): those of its rarest shingles by which a partner finds it, none that it has alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch):
+                sets = list(_sets(part, k))
+                n = np.array([len(s) for s in sets], np.int64)
+                mark = np.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], np.int64)
+                head = part.column("doc_id").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x, n)) for x in (head, mark, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["head", "mark", "n", "shingle"])
+
+    rows = cut(docs.select("doc_id", "text").mapInArrow(run, "head bigint, mark bigint, n bigint, shingle bigint"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1")
+    # by rising count, then by hash
+    key = F.shiftleft(F.least("times", F.lit((1 << 15) - 1)), 48).bitwiseOR(F.shiftrightunsigned("shingle", 16))
+    shared = rows.join(large(often), "shingle").groupBy("head", "mark").agg(F.max("n").alias("n"), F.collect_list("shingle").alias("shared"), F.collect_list(key).alias("keys"))
+    alone = F.col("n") - F.size(F.array_distinct("shared"))
+    take = (F.floor(F.col("n") * (100 - percent) / 100) + 1 - alone).cast("int")
+    return shared.select("head", "n", F.slice(F.array_sort(F.array_distinct("keys")), F.lit(1), F.greatest(take, F.lit(0))).alias("keys"))
+
+
+def _blocks(sized: DataFrame) -> DataFrame:
+    """doc_id, family, n -> doc_id, family, blocks."""
+    size = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("long").alias("blocks"))
+    return cut(sized.join(small(cut(size, "blocks")), "family").select("doc_id", "family", "blocks"), "members")
+
+
+def _parted(docs: DataFrame, known: DataFrame, k: int, percent: int) -> DataFrame:
+    """known (doc_id, family, blocks) with the families of WIDE blocks and more parted by ties of rare shingles; members without a tie are left out."""
+    wide = known.where(F.col("blocks") >= WIDE)
+    if wide.isEmpty():
+        return known
+    heads = cut(_rarest(docs.join(small(wide.select("doc_id")), "doc_id"), k, percent), "rarest")
+    ties = cut(shared_chunks(heads.where(F.size("keys") > 0)), "ties")
+    families = components(ties, "families").select(F.col("id").alias("doc_id"), F.col("root").alias("family"))
+    sizes = heads.groupBy(F.col("head").alias("doc_id")).agg(F.max("n").alias("n"), F.count("*").alias("sets"))
+    # sets of one doc_id stay together
+    sized = sizes.join(small(families), "doc_id", "left").where("family is not null or sets > 1")
+    parted = _blocks(cut(sized.select("doc_id", F.coalesce("family", "doc_id").alias("family"), "n"), "sized"))
+    drop(heads)
+    drop(ties)
+    return cut(known.where(F.col("blocks") < WIDE).union(parted), "members")
+
+
 def _candidates(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """classes (doc_id, n, sig) of every row, and the family members that may link (family, blocks, doc_id, sketch, set)."""
     common = docs.sparkSession.sparkContext.broadcast(common_classes(docs, k))
@@ -270,10 +322,10 @@ def _candidates(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     families = components(ties, "families")
     sized = families.join(small(held.join(small(families.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("n").alias("n"))), families.id == F.col("doc_id"))
     sized = cut(sized.select("doc_id", F.col("root").alias("family"), "n"), "sized")
-    size = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("long").alias("blocks"))
-    known = cut(sized.join(small(cut(size, "blocks")), "family").select("doc_id", "family", "blocks"), "members")
+    known = _blocks(sized)
     drop(ties)
     drop(sized)
+    known = _parted(docs, known, k, percent)
     return classes, member_table(docs.join(small(known), "doc_id"), k)
 
 

@@ -117,18 +117,18 @@ def tidy(operator: Callable) -> Callable:
     return run
 
 
+def large(df: DataFrame) -> DataFrame:
+    """df marked for a shuffle join, for tables that grow with the input: Spark may size one too low (compressed files, more rows out of a batch than came in) and broadcast it."""
+    return df.hint("merge")
+
+
 #: Rows of two or three numbers that may be broadcast.
 SMALL_ROWS = 1_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df marked for a broadcast if it has at most SMALL_ROWS rows, which is counted; else as it is, for a shuffle join."""
-    return broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
-
-def large(df: DataFrame) -> DataFrame:
-    """df marked for a shuffle join, for tables that grow with the input: Spark may size one too low (compressed files, more rows out of a batch than came in) and broadcast it."""
-    return df.hint("merge")
+    """df marked for a broadcast if it has at most SMALL_ROWS rows, which is counted; else for a shuffle join."""
+    return broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else large(df)
 
 
 #: Hashes by which samples are taken are below this.
